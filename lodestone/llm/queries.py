@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import against_next
+from .gif import store_bytes
 from .packing import pack
+from .secret_scan import digest, secret_spans
 from .sentence_pieces import encode_decode
 from .token_counts import token_counts
 
@@ -25,10 +28,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(secret_spans(table(spark, sf_dir, "documents")))
+
+
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
 
 
+def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_bytes(table(spark, sf_dir, "documents"))
+
+
+def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return against_next(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -37,7 +52,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_token_counts,
+        op3_secret_scan,
         op5_sentence_pieces,
+        op6_gif_media,
+        op7_bottom_k,
         op9_packing,
     )
 }
