@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import against_next
 from .gif import store_bytes
+from .jaccard_join import similarity_components
 from .packing import pack
+from .quality import classify, trusted_ids
 from .secret_scan import digest, secret_spans
 from .sentence_pieces import encode_decode
 from .token_counts import token_counts
@@ -24,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -32,6 +38,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_spans(table(spark, sf_dir, "documents")))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(table(spark, sf_dir, "documents"))
+
+
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), digests=True)
 
@@ -51,8 +61,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality,
         op2_token_counts,
         op3_secret_scan,
+        op4_jaccard_join,
         op5_sentence_pieces,
         op6_gif_media,
         op7_bottom_k,
