@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .fingerprints import against_next
 from .gif import store_bytes
 from .jaccard_join import similarity_components
+from .language_id import identify
 from .packing import pack
 from .quality import classify, trusted_ids
+from .repeats import remove_repeats
 from .secret_scan import digest, secret_spans
 from .sentence_pieces import encode_decode
 from .token_counts import token_counts
@@ -54,10 +56,18 @@ def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return against_next(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -68,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_sentence_pieces,
         op6_gif_media,
         op7_bottom_k,
+        op8_language_id,
         op9_packing,
+        op10_repeats,
     )
 }
 
