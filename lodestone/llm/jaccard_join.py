@@ -4,7 +4,8 @@ Every text is its set of distinct five-word shingles.  All sets are sorted by on
 shingles first; a pair at the threshold t that shares the overlap o must share l shingles within the
 first |x| - ceil(t|x|) + l of either.  Each document chooses its own l: a longer prefix costs more
 index entries and leaves fewer candidates, by the estimated lengths of its posting lists.  A pair is
-verified if it shares the lesser l of both.
+verified if it shares the lesser l of both, and as many as the overlap needs beyond what the ends after
+the prefixes can hold.
 
 Order and estimates come from one sketch of document frequencies over all sets; whatever its error,
 every set has the same order, so no link is lost.  Equal sets are one node.  Before all remaining
@@ -261,7 +262,11 @@ def links(entries: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame |
     a = placed.where("not is_major").select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "l", "component")))
     b = placed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "l", "component", "is_major")))
     met = a.join(b, "token").where((F.col("a_component") != F.col("b_component")) & _size_fits("a_n", "b_n") & (F.col("b_is_major") | (F.col("a_node") < F.col("b_node"))))
-    found = met.groupBy(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).agg(F.count("*").alias("shared"), F.min(F.least("a_l", "b_l")).alias("needed"))
+    # beyond the prefixes a pair can share no more than the end of the one whose prefix ends first
+    least = lambda n: F.ceil(F.lit(NUMERATOR) * F.col(n) / DENOMINATOR)
+    overlap = F.ceil(F.lit(NUMERATOR) * (F.col("a_n") + F.col("b_n")) / (NUMERATOR + DENOMINATOR))
+    needed = F.greatest(F.least("a_l", "b_l"), overlap - F.greatest(least("a_n") - F.col("a_l"), least("b_n") - F.col("b_l")))
+    found = met.groupBy(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).agg(F.count("*").alias("shared"), F.min(needed).alias("needed"))
     rest = stored(found.where("shared >= needed").select("u", "v"), "candidates")
     new = stored(verified(rest, texts), "links")
     if new.isEmpty():
