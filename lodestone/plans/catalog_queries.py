@@ -33,9 +33,9 @@ def repo_list(spark, d):
     return catalog.ready(repositories(spark, d)).select("id", "stars", "default_branch", "file_count")
 
 
-@_r.add(_R + "SELECT id FROM r WHERE contains(lower(name), 'an') OR contains(lower(coalesce(description, '')), 'an')")
+@_r.add(_R + "SELECT id FROM r WHERE contains(lower(name), 'nation_1') OR contains(lower(coalesce(description, '')), 'nation_1')")
 def repo_search(spark, d):
-    return catalog.search(repositories(spark, d), "AN").select("id")
+    return catalog.search(repositories(spark, d), "NATION_1").select("id")
 
 
 @_r.add(_R + "SELECT id, lower(owner || '--' || name) AS slug, 2 AS parts FROM r")

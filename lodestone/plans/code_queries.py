@@ -89,12 +89,12 @@ def _paths(spark, d):
 
 @_r.add(
     f"SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'typescript' WHEN 1 THEN 'typescript' WHEN 2 THEN 'typescript' WHEN 3 THEN 'python' WHEN 4 THEN 'go' WHEN 5 THEN 'rust' WHEN 7 THEN 'python' END AS language, "
-    f"array_to_string(string_split({_PATH_SQL}, '/')[-2:], '/') AS short, '...' || array_to_string(string_split({_PATH_SQL}, '/')[-3:], '/') AS longer, 'src/' || source AS folder FROM documents"
+    f"array_to_string(string_split({_PATH_SQL}, '/')[-2:], '/') AS short, '.../' || array_to_string(string_split({_PATH_SQL}, '/')[-3:], '/') AS longer, 'src/' || source AS folder FROM documents"
 )
 def path_functions(spark, d):
     p = F.col("path")
     up = paths.normal(F.concat_ws("/", paths.parent(p), F.lit(".."), F.lit("."), F.lit("")))
-    return _paths(spark, d).select("doc_id", paths.language(p).alias("language"), paths.short(p).alias("short"), paths.short(p, 3, "...").alias("longer"), up.alias("folder"))
+    return _paths(spark, d).select("doc_id", paths.language(p).alias("language"), paths.short(p).alias("short"), paths.short(p, 3, ".../").alias("longer"), up.alias("folder"))
 
 
 @_r.add(

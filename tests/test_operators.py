@@ -1,0 +1,260 @@
+"""Operators of code retrieval on small frames."""
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from lodestone.functions import paths
+from lodestone.operators import agent, analyzers, catalog, chunking, context, embedding, evaluation, graph, retrieval, telemetry, vector
+from lodestone.plans.tables import project
+from lodestone.schema import GRAPH_EDGES, REPOSITORIES, TRACES
+from lodestone.sources import files as sources
+from lodestone.sources import index_store
+from lodestone.streaming import traces as streaming
+
+
+def vectors(spark, *rows):
+    return spark.createDataFrame(list(rows), "id string, filepath string, embedding array<float>")
+
+
+STORE = [("a", "x.ts", [1.0, 0.0, 0.0]), ("b", "x.ts", [0.9, 0.1, 0.0]), ("c", "y.ts", [0.0, 1.0, 0.0]), ("z", "y.ts", [0.0, 0.0, 0.0])]
+
+
+def test_top_k_order_ties_and_bounds(spark):
+    store = vectors(spark, *STORE)
+    got = vector.top_k(store, [1, 0, 0], 10).collect()
+    assert [r.id for r in got] == ["a", "b", "c", "z"] and got[0].score == pytest.approx(1.0) and got[3].score == 0
+    assert [r.id for r in vector.top_k(vector.with_norms(store), [1, 0, 0], 2).collect()] == ["a", "b"]
+    assert vector.top_k(store, [1, 0, 0], 10, 0.5).count() == 2 and vector.top_k(store, [1, 0, 0], 10, 0.0, strict=True).count() == 2
+    assert vector.top_k(store, [1, 0, 0], 0).count() == 0 and vector.top_k(store, [0, 0, 0], 5).count() == 4
+    with pytest.raises(PySparkException, match="dimension mismatch"):
+        vector.top_k(store, [1, 0], 1).collect()
+
+
+def test_store_changes(spark):
+    store = vectors(spark, *STORE)
+    new = vectors(spark, ("a", "x.ts", [0.0, 0.0, 1.0]))
+    got = {r.id: list(r.embedding) for r in vector.upsert(store, new).collect()}
+    assert len(got) == 4 and got["a"] == [0, 0, 1]
+    assert vector.upsert(vector.upsert(store, new), new).count() == 4
+    assert vector.delete_ids(store, ["a", "b"]).count() == 2 and vector.delete_ids(store, []).count() == 4
+    assert vector.delete_path(store, "x.ts").count() == 2 and vector.by_path(store, "y.ts").count() == 2
+    assert vector.stats(vector.create(spark, store.schema), "m").first()[:2] == (0, 0)
+
+
+def test_batch_search_checks_its_size(spark, monkeypatch):
+    store = vectors(spark, *STORE)
+    asked = store.select(F.col("id").alias("q"), "embedding")
+    got = vector.batch_top_k(store, asked, 1, "id", "q", min_score=0.1).collect()
+    assert {(r.q, r.id) for r in got} == {("a", "a"), ("b", "b"), ("c", "c")}
+    monkeypatch.setattr(vector, "BROADCAST_NUMBERS", 5)
+    with pytest.raises(ValueError, match="blocks"):
+        vector.batch_top_k(store, asked, 1, "id", "q")
+
+
+def test_embedding_backends(spark):
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(6)], "id int, text string").coalesce(1)
+
+    def backend(texts):
+        if "t2" in texts:
+            raise RuntimeError("remote failure")
+        return [[float(len(t))] for t in texts]
+
+    got = {r.id: r.embedding for r in embedding.embed(rows, backend, batch=2).collect()}
+    assert got == {0: [2.0], 1: [2.0], 2: None, 3: None, 4: [2.0], 5: [2.0]}
+    assert embedding.pending(rows, rows.where("id < 4")).count() == 2
+    v = rows.select(embedding.hash_embedding(F.col("text"), 40).alias("v")).first().v
+    assert len(v) == 40 and sum(x * x for x in v) == pytest.approx(1.0) and v[0] == pytest.approx(v[32])
+
+
+def test_graph_of_the_project(spark):
+    files = project(spark)
+    edges = graph.edges(files, graph.workspace_packages(files)).cache()
+    pairs = {(r.src, r.dst) for r in edges.collect()}
+    assert ("src/app.ts", "src/log.js") in pairs and ("src/model/user.ts", "packages/core/base.ts") in pairs
+    plain = {(r.src, r.dst) for r in graph.edges(files, follow=False).collect()}
+    assert plain == {("src/app.ts", "src/model/user.ts"), ("src/app.ts", "src/crypto.ts"), ("src/app.ts", "src/log.js"), ("src/model/user.ts", "src/crypto.ts")}
+    start = spark.createDataFrame([("src/crypto.ts", 1)], "filepath string, rank int")
+    one = [r.filepath for r in graph.expand(edges, start, 1).orderBy("rank").collect()]
+    two = [r.filepath for r in graph.expand(edges, start, 2).orderBy("rank").collect()]
+    assert one[0] == "src/crypto.ts" and set(one[1:]) == {"src/app.ts", "src/model/user.ts"} and two[:3] == one and set(two[3:]) == {"src/log.js", "packages/core/base.ts"}
+    assert graph.expand(edges, start, 0).count() == 1 and graph.expand(edges, start, 2, max_files=2).count() == 2
+    both = spark.createDataFrame([("src/app.ts", 1), ("src/log.js", 2)], "filepath string, rank int")
+    assert graph.expand(edges, both, 2, max_files=1).count() == 2
+    assert graph.expand(edges, start, 2, include_imports=False, include_dependents=False).count() == 1
+    nodes = {r.filepath: r for r in graph.nodes(files).collect()}
+    assert nodes["src/crypto.ts"].exports == ["hash", "verify", "default"] and nodes["README.md"].imports == []
+    assert [i.symbol for i in nodes["src/app.ts"].imports] == ["User", "Login", "hash", "verify", "log", "React", "*"]
+    empty = spark.createDataFrame([], GRAPH_EDGES)
+    assert graph.statistics(files.limit(0), empty).first()[:] == (0, 0, 0.0, 0.0)
+
+
+def test_chunks_of_languages(spark):
+    rows = chunking.chunks(project(spark)).collect()
+    of = lambda path: [(r.node_type, r.name, r.start_line, r.end_line, list(r.exports)) for r in rows if r.filepath == path]
+    assert of("src/app.ts") == [("function", "signIn", 8, 17, ["signIn"]), ("function", "limit", 19, 19, ["limit"]), ("function", "grow", 20, 23, [])]
+    assert [x[:2] for x in of("src/model/user.ts")] == [("interface", "User"), ("type", "Session"), ("class", "Account"), ("class", "Hidden"), ("function", "run"), ("other", "Account, Hidden")]
+    assert [x[:2] for x in of("tools/run.py")] == [("function", "main"), ("function", "inner"), ("class", "Job"), ("function", "go")]
+    assert [x[:2] for x in of("cmd/main.go")] == [("type", "Server"), ("struct", "Server"), ("function", "Start"), ("function", "main")]
+    assert [x[:2] for x in of("lib/mod.rs")] == [("struct", "Point"), ("class", "impl Point"), ("function", "fmt"), ("type", "Kind"), ("function", "run")]
+    assert not of("README.md") and not of("src/empty.ts") and not of("src/comment.ts")
+    app = next(r for r in rows if r.name == "signIn")
+    own = spark.createDataFrame([(app.filepath, app.content)], "p string, c string")
+    assert own.select(chunking.content_hash_id(F.col("p"), F.lit(app.start_line), F.col("c"))).first()[0] == app.id
+
+
+@pytest.mark.parametrize("text", ['const s = "} function x() {";\nfunction y() { return `}${"{"}`; }\n', "function y() { // }\n  return '}';\n}\n", "/* function z() {} */\nfunction y() {}\n"])
+def test_strings_and_comments_do_not_confuse_the_scanner(text):
+    assert [r[6] for r in chunking.parse("a.ts", text)] == ["y"]
+
+
+def test_chunk_checks(spark):
+    texts = [None, " \n", "// a\n\n * b\n# c", "short", "long enough text", "x" * 2501]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k")
+    assert [r[0] for r in rows.select(chunking.validate(F.col("t"))).collect()] == ["empty", "empty", "only comments", "too short", None, None]
+    cut = rows.select(chunking.truncate(F.col("t")).alias("c")).collect()
+    assert cut[4].c == texts[4] and cut[5].c == "x" * 2500 + chunking.CUT
+
+
+def test_analysers(spark):
+    files = project(spark)
+    calls = {(r.filepath, r.name): r.calls for r in analyzers.call_graph(files).collect()}
+    # a line such as `if (…) {` has the shape of a method head
+    assert calls[("src/app.ts", "if")] == ["deny", "verify", "list", "info", "hash", "accept"] and calls[("src/model/user.ts", "open")] == ["check", "hash"]
+    kinds = {(r.filepath, r.kind): r.targets for r in analyzers.by_kind(analyzers.inline_dependencies(files)).collect()}
+    assert kinds[("src/model/user.ts", "implements")] == ["Stored", "Named"] and kinds[("src/model/user.ts", "extends")] == ["Base"]
+    flows = {r.name: (r.kind, r.type, r.flows) for r in analyzers.type_flow(files).collect()}
+    assert flows["hash"] == ("function", "(string) → string", ["string", "string"]) and flows["limit"] == ("variable", "number", ["number"]) and flows["Session"][1].endswith("…")
+    worst = analyzers.complexity(files).orderBy(F.desc("complexity")).first()
+    assert (worst.name, worst.complexity, worst.loc, worst.bucket) == ("signIn", 8, 10, "Complex")
+    depths = {r.name: r.depth for r in analyzers.outline(files.where("filepath = 'src/model/user.ts'")).collect()}
+    assert depths["../crypto"] == 0 and depths["Hidden"] == 1  # the brace of a method closes it, that of the class does not
+    text = spark.createDataFrame([("f", "a\n```js\nx = 1\n```\nb\n```mermaid\ng\n```\n```\ny\n```")], "filepath string, content string")
+    assert [(r.kind, r.language) for r in analyzers.fence_blocks(text).orderBy("pos").collect()] == [("text", None), ("code", "js"), ("text", None), ("mermaid", None), ("text", None), ("code", "typescript")]
+    assert text.select(analyzers.all_code(F.col("content"))).first()[0] == "x = 1\n\ny"
+    shown = text.select(analyzers.views(F.col("content"), F.lit("import a from 'b'")).alias("v")).first().v
+    assert shown == ["text", "diagram", "ast", "deps"]
+    assert text.select(analyzers.analysis_input(F.array(F.lit("a"), F.lit("")), F.array(F.lit("b")))).first()[0] == "a\n\nb"
+    repos = spark.createDataFrame([("r1",), ("r2",)], "id string")
+    known = spark.createDataFrame([("r1", ["q"])], "id string, questions array<string>")
+    assert {r.id: r.questions for r in analyzers.suggested_questions(repos, known, ["d"]).collect()} == {"r1": ["q"], "r2": ["d"]}
+    circle = analyzers.radial_layout(spark.createDataFrame([("a", "file"), ("b", "file")], "id string, kind string")).orderBy("id").collect()
+    assert circle[0].x == pytest.approx(250) and circle[1].x == pytest.approx(-250)
+
+
+CHUNKS = [("c1", "x.ts", 1, 5, "function", "alpha", "find the user token", [1.0, 0.0]), ("c2", "x.ts", 6, 9, "class", "beta", "other words", [0.9, 0.1]), ("c3", "y.ts", 1, 2, "function", "gamma", "user token store", [0.0, 1.0]), ("c4", "z.ts", 1, 2, "function", "delta", "class alpha here", [-1.0, 0.0])]
+
+
+def chunk_frame(spark):
+    return spark.createDataFrame(CHUNKS, "id string, filepath string, start_line int, end_line int, node_type string, name string, content string, embedding array<float>")
+
+
+def test_retrieval_stages(spark):
+    store = chunk_frame(spark)
+    edges = spark.createDataFrame([("x.ts", "y.ts", 1)], GRAPH_EDGES)
+    o = retrieval.Options(top_k=1, reranker="none")
+    rows = retrieval.retrieve(store, edges, [1.0, 0.0], options=o).orderBy("rank").collect()
+    assert [(r.id, r.stage, r.score > 0) for r in rows] == [("c1", "graph", True), ("c2", "graph", False), ("c3", "graph", False)]
+    two = retrieval.retrieve(store, edges, [1.0, 0.0], "user token store", retrieval.Options(top_k=1, rerank_top_k=2)).orderBy("rank").collect()
+    assert [(r.id, r.stage) for r in two] == [("c3", "reranked"), ("c1", "reranked")]
+    assert retrieval.retrieve(store.limit(0), edges, [1.0, 0.0], "x").count() == 0
+    hits = retrieval.vector_stage(store, [1.0, 0.0], retrieval.Options(top_k=3))
+    assert [(r.id, round(r.score, 1)) for r in retrieval.rerank_by_answer(hits, "best: [2, 0, 9]", 2).orderBy("rank").collect()] == [("c3", 1.0), ("c1", 0.9)]
+    assert retrieval.rerank_by_answer(hits, "no list", 2).count() == 2
+    assert {r.stage: r.chunks for r in retrieval.stage_counts(hits).collect()} == {"vector": 3}
+
+
+@pytest.mark.parametrize(
+    ("query", "given", "ok"),
+    [("q", {}, True), ("", {}, False), (5, {}, False), ("q" * 2001, {}, False), ("q", {"top_k": 1}, True), ("q", {"top_k": 50}, True), ("q", {"top_k": 51}, False), ("q", {"top_k": "5"}, False), ("q", {"max_hops": 0}, True), ("q", {"max_hops": 6}, False), ("q", {"max_expanded_chunks": 101}, False), ("q", {"reranker": "llm"}, True), ("q", {"reranker": "x"}, False)],
+)
+def test_option_bounds(query, given, ok):
+    assert (retrieval.validate(query, given) is None) == ok
+
+
+def test_tools_and_loop(spark):
+    files = project(spark)
+    assert [r.text for r in agent.read_file(files, "../src/./crypto.ts", 1, 2).collect()][0].startswith("const node")
+    top = agent.list_directory(files, "", 2).collect()
+    assert [r.name for r in top][:2] == ["cmd", "lib"] and top[-1].name == "README.md" and not top[-1].is_folder
+    assert [r.id for r in agent.find_symbol(chunk_frame(spark), "alpha").collect()] == ["c1", "c4"]
+    said = iter([{"tool": "look", "input": {"path": "p"}, "input_tokens": 2}, {"tool": "none"}, {"text": "done", "output_tokens": 3}])
+    run = agent.loop(lambda m: next(said), {"look": lambda path: f"saw {path}"}, "q")
+    assert run.answer == "done" and [s["output"] for s in run.steps] == ["saw p", "unknown tool none"] and (run.input_tokens, run.output_tokens, run.files) == (2, 3, {"p"})
+    assert agent.loop(lambda m: {"tool": "t", "text": "end"}, {}, "q", 2).answer == "end"
+
+
+def test_catalog(spark):
+    rows = [("github:a/b", "A", "B", "u", None, None, None, None, None, None, "ready", None), ("github:c/d", "C", "D", "u", "Text", None, 5, "dev", 1, 2, "ready", None), ("github:e/f", "E", "F", "u", None, None, 9, None, 1, 2, "failed", None)]
+    repos = spark.createDataFrame(rows, REPOSITORIES)
+    assert [(r.id, r.stars, r.default_branch) for r in catalog.ready(repos).collect()] == [("github:c/d", 5, "dev"), ("github:a/b", 0, "main")]
+    assert catalog.search(repos, "tEx").count() == 1 and catalog.by_slug(repos, "a--b").count() == 1 and catalog.by_slug(repos, "a").count() == 0
+    assert catalog.update_status(repos, "github:c/d", "failed", chunk_count=9).where("id = 'github:c/d'").select("status", "file_count", "chunk_count").first()[:] == ("failed", 1, 9)
+    ids = catalog.with_ids(spark.createDataFrame([("https://github.com/o/cal.com",), ("git@github.com:o/r.git",)], "url string"))
+    assert [r.id for r in ids.collect()] == ["github:o/cal", "github:o/r"]
+    with pytest.raises(PySparkException, match="invalid repository"):
+        catalog.with_ids(spark.createDataFrame([("nowhere",)], "url string")).collect()
+
+
+def trace_rows(spark):
+    rows = [(f"t{k}", 1704067200000 + k * 3_600_000, "q" * (k * 30), None, "chat", [("retrieval", 0, 10 * k, 10 * k), ("open", 0, 0, None)], (1, 2, 3), (0.0, 0.0, 0.0, 0.5), k, "llm" if k % 2 else None, k != 3, None) for k in range(30)]
+    return spark.createDataFrame(rows, TRACES)
+
+
+def test_telemetry(spark):
+    rows = trace_rows(spark)
+    m = telemetry.metrics(rows, 0, 2**60).first()
+    assert (m.requests, m.succeeded, m.failed, m.tokens, m.cost, m.p95_latency) == (30, 29, 1, 90, 15.0, 280) and m.by_mode == {"chat": 30} and m.by_reranker_used == {"llm": 15}
+    none = telemetry.metrics(rows.limit(0), 0, 1).first()
+    assert (none.requests, none.tokens, none.cost, none.p95_latency, none.by_mode) == (0, 0, 0.0, 0, {})
+    days = {r.day: r.requests for r in telemetry.cost_by_day(rows, 0).collect()}
+    assert days == {"2024-01-01": 24, "2024-01-02": 6, None: 30}
+    s = telemetry.latency_by_stage(rows).collect()
+    assert [(r.name, r.n, r.p50, r.p95, r.p99) for r in s] == [("retrieval", 30, 150, 280, 290)]
+    assert telemetry.recent(rows, 0).count() == 0 and telemetry.view(rows, 500).first().query == "q" * 100 + "..."
+    listed = rows.select(F.explode("spans").alias("s")).groupBy("s.name").agg(telemetry.floor_percentile(F.col("s.duration_ms").cast("double"), 0.95).alias("p")).where("name = 'retrieval'")
+    assert listed.first().p == 280
+    with pytest.raises(ValueError, match="valid: metrics"):
+        telemetry.by_view("x")
+
+
+def test_evaluation_bounds(spark):
+    rows = spark.createDataFrame([(1, ["a/x.ts", "b/x.ts", "y.ts"], ["f"], ["y"], ["f"]), (2, [], [], ["y"], []), (3, ["z"], [], [], [])], "id int, files array<string>, chunk_names array<string>, expected_files array<string>, expected_chunks array<string>")
+    got = {r.id: (r.precision, r.recall, r.mrr) for r in evaluation.score(rows).collect()}
+    assert got == {1: (0.5, 1.0, 1.0), 2: (0.0, 0.0, 0.0), 3: (0.0, 1.0, 0.0)}
+    with pytest.raises(AssertionError):
+        evaluation.gate(0.5)
+
+
+def test_scan_and_index(spark, tmp_path):
+    root = tmp_path / "re po"
+    for p in ("src/a.ts", "node_modules/b.ts", "src/deep/c.py", "src/D.TS", "go.sum", "x.md"):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text("text é")
+    got = {r.filepath: r.content for r in sources.scan(spark, str(root), "r").collect()}
+    assert got == {"src/a.ts": "text é", "src/deep/c.py": "text é"}
+    at = str(tmp_path / "index")
+    assert index_store.load(spark, at, "embeddings") is None and index_store.missing(spark, at) == list(index_store.TABLES)
+    chunks = spark.createDataFrame([("r1", "i", 1), ("r1", "i", 2), ("r2", "i", 3)], "repository_id string, id string, start_line int")
+    nodes = spark.createDataFrame([("f",)], "filepath string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b")], "src string, dst string")
+    index_store.save_repository(chunks, nodes, edges, at)
+    index_store.save_repository(chunks.where("repository_id = 'r2'").withColumn("start_line", F.lit(9)), nodes, edges, at)
+    kept = {(r.repository_id, r.start_line) for r in index_store.load(spark, at, "embeddings").collect()}
+    assert kept == {("r1", 2), ("r2", 9)} and index_store.load(spark, at, "graph_edges").count() == 1
+    index_store.truncate(spark, at)
+    assert index_store.load(spark, at, "graph_edges").count() == 0
+
+
+def test_daily_stream(spark, tmp_path):
+    trace_rows(spark).write.parquet(str(tmp_path / "in"))
+    query = streaming.daily(streaming.read(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(r.requests for r in spark.table("daily").collect()) == [6, 24]
+
+
+def test_paths(spark):
+    row = spark.range(1).select(paths.normal(F.lit("a/./b/../../c//d")).alias("n"), paths.short(F.lit("a/b/c/d"), 3, ".../").alias("s"), paths.parse_slug(F.lit("a--b--c")).alias("p"), paths.citation_url(F.lit(None).cast("string"), F.lit("m"), F.lit("f"), F.lit(1), F.lit(2)).alias("u")).first()
+    assert row.n == "c/d" and row.s == ".../b/c/d" and row.p is None and row.u == "f#L1-L2"
+    lines = spark.createDataFrame([(1, "0:hi"), (2, "zz")], "seq int, line string")
+    assert [tuple(r) for r in context.decode_stream(lines).collect()] == [(1, "text", "hi")]
