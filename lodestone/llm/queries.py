@@ -84,4 +84,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All words, shingle sets, pairs and reachable documents, without any shortcut.
+JACCARD_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingles AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), each AS (SELECT doc_id, unnest(s) AS x FROM shingles
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN shingles p ON p.doc_id = a JOIN shingles q ON q.doc_id = b WHERE 100 * n >= 75 * (len(p.s) + len(q.s) - n)
+), edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (SELECT doc_id, doc_id AS other FROM shingles UNION SELECT edges.b, reach.other FROM reach JOIN edges ON edges.a = reach.doc_id
+), copies AS (SELECT doc_id, CASE WHEN len(s) > 0 THEN count(*) OVER (PARTITION BY md5(array_to_string(list_sort(s), chr(10)))) ELSE 1 END AS n_copies FROM shingles)
+SELECT shingles.doc_id, len(s) AS n_shingles, min(other) AS component_id, any_value(n_copies) AS n_copies
+FROM shingles JOIN reach ON reach.doc_id = shingles.doc_id JOIN copies ON copies.doc_id = shingles.doc_id GROUP BY shingles.doc_id, len(s)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL}

@@ -352,3 +352,16 @@ def test_language_evidence(spark):
     got = {r.page_id: r for r in identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
     assert len(got) == 15 and all(got[k].lang == ("de" if k % 2 else "en") for k in range(12)) and got[22].lang == "de"
     assert identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs.limit(0)).first().lang is None
+
+
+def test_jaccard_sql_agrees(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from lodestone.llm.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    got = QUERIES["op4_jaccard_join"](spark, sf)
+    want = con.execute(ORACLE_SQL["op4_jaccard_join"])
+    assert [c[0] for c in want.description] == got.columns
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
