@@ -72,14 +72,8 @@ def lzw_encode(data: bytes, size: int = 8) -> bytes:
     codes.append(clear + 1)
     at = np.arange(len(codes))
     since = at - np.array([0, *restarts])[np.searchsorted(restarts, at, "right")]
-    width = _WIDTHS[size][since]
-    ends = np.cumsum(width)
-    bit = ends - width
-    value = np.array(codes, np.uint32) << (bit & 7).astype(np.uint32)
-    out = np.zeros(int(ends[-1] + 7) // 8 + 3, np.uint8)
-    for k in range(3):
-        np.bitwise_or.at(out, (bit >> 3) + k, (value >> np.uint32(8 * k) & np.uint32(255)).astype(np.uint8))
-    return out[: int(ends[-1] + 7) // 8].tobytes()
+    bits = np.unpackbits(np.array(codes, "<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < _WIDTHS[size][since][:, None]], bitorder="little").tobytes()
 
 
 def flat_encode(data: bytes, size: int = 8) -> bytes:
@@ -111,6 +105,35 @@ def _flat_decode(stream: bytes, size: int) -> bytes | None:
     return codes[codes < clear].astype(np.uint8).tobytes()
 
 
+def _expand(codes: list[int], table: list[bytes], prev: bytes | None, clear: int) -> list[bytes]:
+    """The entries of codes between two clear codes; the table grows with each but the first, up to 4096."""
+    if not codes:
+        return []
+    rest = iter(codes)
+    out = []
+    add = out.append
+    if prev is None:
+        code = next(rest)
+        if code >= clear:
+            raise ValueError("a stream begins with a code that is not in the table")
+        prev = table[code]
+        add(prev)
+    grow, size = table.append, len(table)
+    for code in rest:
+        if code < size:
+            entry = table[code]
+        elif code == size < 4096:
+            entry = prev + prev[:1]
+        else:
+            raise ValueError("a code is not in the table")
+        add(entry)
+        if size < 4096:
+            grow(prev + entry[:1])
+            size += 1
+        prev = entry
+    return out
+
+
 def lzw_decode(stream: bytes, size: int, most: int) -> bytes:
     """The bytes of a code stream, `most` at most; a stream that breaks off gives what it holds."""
     if (flat := _flat_decode(stream, size)) is not None:
@@ -133,24 +156,9 @@ def lzw_decode(stream: bytes, size: int, most: int) -> bytes:
             codes = word >> (bit & 7).astype(np.uint32) & ((np.uint32(1) << widths[:usable].astype(np.uint32)) - np.uint32(1))
             stop = np.flatnonzero((codes == clear) | (codes == end))
             n = int(stop[0]) if len(stop) else usable
-            pieces = []
-            for code in codes[:n].tolist():
-                if first:
-                    if code >= clear:
-                        raise ValueError("a stream begins with a code that is not in the table")
-                    prev, first = table[code], False
-                    pieces.append(prev)
-                    continue
-                if code < len(table):
-                    entry = table[code]
-                elif code == len(table) and code < 4096:
-                    entry = prev + prev[:1]
-                else:
-                    raise ValueError("a code is not in the table")
-                pieces.append(entry)
-                if len(table) < 4096:
-                    table.append(prev + entry[:1])
-                prev = entry
+            pieces = _expand(codes[:n].tolist(), table, prev if not first else None, clear)
+            if pieces:
+                prev, first = pieces[-1], False
             out += pieces
             have += sum(map(len, pieces))
             if len(stop):
@@ -281,12 +289,12 @@ def media_frames(media: DataFrame, id_col: str, gif_col: str) -> DataFrame:
     return media.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{gif_col}`")).where(F.col(f"`{gif_col}`").isNotNull()).mapInArrow(run, kind)
 
 
-def store_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False, compress: bool = False) -> DataFrame:
+def store_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False, compress: bool = True) -> DataFrame:
     """Store each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as a GIF and read it back.
 
     Per row: doc_id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 of what is read back,
     media_bytes, media_sha256, feature (frames, duration and the summed grey histogram), and media
-    with `with_media`.  `compress` chooses growing LZW codes instead of flat ones.  Null and empty texts are 64 zero bytes; repeated rows give repeated rows.
+    with `with_media`.  Without `compress` the code stream is flat: larger, quicker.  Null and empty texts are 64 zero bytes; repeated rows give repeated rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
