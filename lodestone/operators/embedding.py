@@ -16,12 +16,17 @@ def template(node_type: Column, name: Column, content: Column) -> Column:
     return F.concat(node_type, F.lit(": "), name, F.lit("\n\n"), content)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once a row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hash_embedding(text: Column, dims: int = 384) -> Column:
     """The bytes of the text's sha256, cycled, scaled to [-1, 1] and normalised; all in the JVM."""
-    digest = F.sha2(text, 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substr(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1)
-    length = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / length)
+    values = _let(F.sha2(text, 256), lambda h: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 * 2 - 1))
+    raw = _let(values, lambda v: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.get(v, i % 32)))
+    length = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))
+    return _let(raw, lambda r: _let(length(r), lambda n: F.transform(r, lambda x: x / n)))
 
 
 def register(name: str, backend: Callable[[list[str]], list[list[float]]]) -> None:
