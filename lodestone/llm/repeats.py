@@ -182,7 +182,8 @@ def _first_of_each(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, end): byte spans under strings of `length` that also start earlier.  docs: doc_id, text."""
     spark = docs.sparkSession
-    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # as many as read the texts at least, so that a task's phrases follow from a split's size
+    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     bins = 4 * tasks
     span = np.dtype([("d", "<i8"), ("s", "<i8"), ("e", "<i8")])
 
