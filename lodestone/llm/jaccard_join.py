@@ -236,29 +236,27 @@ def _overlap(a: str, b: str):
     return F.ceil(F.lit(NUMERATOR) * (F.col(a) + F.col(b)) / (NUMERATOR + DENOMINATOR))
 
 
-def _fits(a: str, a_room: str, b: str, b_room: str):
-    """Whether sizes, and what either can share with any other, leave room for the overlap."""
-    return _overlap(a, b) <= F.least(a, b, a_room, b_room)
+def _size_fits(a: str, b: str):
+    low, high = F.least(a, b), F.greatest(a, b)
+    return DENOMINATOR * low.cast("long") >= NUMERATOR * high.cast("long")
 
 
 def links(entries: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Verified links (u, v) that join all components of the similarity graph, and their components."""
-    # prefix shingles that no other node has are not among the entries: of the others a node has `room` at most
-    room = F.ceil(F.lit(NUMERATOR) * F.max("n") / DENOMINATOR) - F.max("l") + F.count("*")
-    spread = stored(entries.groupBy("node").agg((F.count("*") / F.max("n")).alias("share"), F.max("n").alias("size"), room.alias("room")), "spread")
-    entries = entries.join(spread.select("node", "room"), "node").where(DENOMINATOR * F.col("room") >= NUMERATOR * F.col("n"))
+    # a prefix shingle without other entries may still stand behind another node's prefix: it proves nothing of a node alone
+    spread = stored(entries.groupBy("node").agg((F.count("*") / F.max("n")).alias("share"), F.max("n").alias("size")), "spread")
     edges, comp = None, None
     for turn in range(2):
         pick = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("token", F.lit(turn)), "token"))
-        keys = entries.drop("room").select("token", "node", pick.alias("k")).where(F.col("k") <= STAR_KEYS).drop("k").join(spread, "node")
+        keys = entries.select("token", "node", pick.alias("k")).where(F.col("k") <= STAR_KEYS).drop("k").join(spread, "node")
         if comp is not None:
             keys = keys.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         else:
             keys = keys.withColumn("component", F.col("node"))
         # the member with most shared shingles; the second time the least one
-        best = F.max_by(F.struct("node", "size", "room", "component"), F.struct("share", -F.col("node"))) if turn == 0 else F.min_by(F.struct("node", "size", "room", "component"), F.struct("node"))
+        best = F.max_by(F.struct("node", "size", "component"), F.struct("share", -F.col("node"))) if turn == 0 else F.min_by(F.struct("node", "size", "component"), F.struct("node"))
         centre = keys.groupBy("token").agg(best.alias("c"))
-        star = keys.join(centre, "token").where((F.col("node") != F.col("c.node")) & (F.col("component") != F.col("c.component")) & _fits("size", "room", "c.size", "c.room"))
+        star = keys.join(centre, "token").where((F.col("node") != F.col("c.node")) & (F.col("component") != F.col("c.component")) & _size_fits("size", "c.size"))
         star = stored(star.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct(), "star")
         new = stored(verified(star, texts), "links")
         edges = new if edges is None else edges.union(new)
@@ -267,10 +265,10 @@ def links(entries: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame |
     size = comp.groupBy("component").agg(F.count("*").alias("weight"))
     placed = entries.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(size, "component", "left").fillna(1, ["weight"])
     lists = placed.groupBy("token").agg(F.max_by("component", F.struct("weight", "component")).alias("major"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    placed = stored(placed.join(lists.select("token", "major"), "token").select("token", "node", "n", "l", "room", "component", (F.col("component") == F.col("major")).alias("is_major")), "placed")
-    a = placed.where("not is_major").select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "l", "room", "component")))
-    b = placed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "l", "room", "component", "is_major")))
-    met = a.join(b, "token").where((F.col("a_component") != F.col("b_component")) & _fits("a_n", "a_room", "b_n", "b_room") & (F.col("b_is_major") | (F.col("a_node") < F.col("b_node"))))
+    placed = stored(placed.join(lists.select("token", "major"), "token").select("token", "node", "n", "l", "component", (F.col("component") == F.col("major")).alias("is_major")), "placed")
+    a = placed.where("not is_major").select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "l", "component")))
+    b = placed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "l", "component", "is_major")))
+    met = a.join(b, "token").where((F.col("a_component") != F.col("b_component")) & _size_fits("a_n", "b_n") & (F.col("b_is_major") | (F.col("a_node") < F.col("b_node"))))
     # beyond the prefixes a pair can share no more than the end of the one whose prefix ends first
     least = lambda n: F.ceil(F.lit(NUMERATOR) * F.col(n) / DENOMINATOR)
     needed = F.greatest(F.least("a_l", "b_l"), _overlap("a_n", "b_n") - F.greatest(least("a_n") - F.col("a_l"), least("b_n") - F.col("b_l")))

@@ -266,6 +266,19 @@ def test_similarity_components_match_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows) and len(got) == len(rows)
 
 
+def test_similarity_of_extended_texts(spark):
+    """A text and itself with a fifth to a third more: what it has in common may stand behind the longer one's prefix."""
+    rnd = random.Random(11)
+    rows = []
+    for k in range(60):
+        base = [f"b{k}x{j}" for j in range(rnd.randrange(60, 160))]
+        more = [f"m{k}x{j}" for j in range(int(len(base) * rnd.uniform(0.2, 0.33)))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + more if k % 2 else more + base))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert sum(v[1] != k for k, v in got.items()) > 40
+
+
 def test_similarity_of_repeated_and_null_ids(spark):
     text = "one two three four five six"
     rows = [(5, text), (5, text), (5, "other words are here too now"), (9, "other words are here too now"), (None, text), (2, None)]
