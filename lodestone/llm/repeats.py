@@ -29,10 +29,10 @@ MOST_STRINGS = 1024
 HELD = 3_000_000
 #: Bytes of phrases in a shard, about.
 SHARD_BYTES = 1 << 20
-#: Ids up to which a table of ids is broadcast (8 bytes each, thrice).
+#: Ids up to which a table of ids is broadcast (16 bytes each, thrice).
 BROADCAST_IDS = 1_000_000
 _LAST = (1 << 63) - 1
-_KEY = np.dtype([("m", "<u8"), ("c", "<u8"), ("d", "<i8"), ("s", "<i8"), ("n", "<i4"), ("r", "u1")])
+_KEY = np.dtype([("m", "<u8"), ("c", "<u8"), ("d", "<i8"), ("t", "<i8"), ("s", "<i8"), ("n", "<i4"), ("r", "u1")])
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -142,19 +142,19 @@ class RunIndex:
         return out
 
 
-def _merged(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unions of touching spans [a, b) of each document."""
+def _merged(doc: np.ndarray, of: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Unions of touching spans [a, b) of each text `of` of each document."""
     if not len(doc):
-        return doc, a, b
-    by = np.lexsort((a, doc))
-    doc, a, b = doc[by], a[by], b[by]
-    group = np.concatenate([[0], np.cumsum(doc[1:] != doc[:-1])])
+        return doc, of, a, b
+    by = np.lexsort((a, of, doc))
+    doc, of, a, b = doc[by], of[by], a[by], b[by]
+    group = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (of[1:] != of[:-1]))])
     wide = int(b.max()) + 1
     high = np.maximum.accumulate(b + group * wide) - group * wide
     new = np.ones(len(doc), bool)
     new[1:] = (group[1:] != group[:-1]) | (a[1:] > high[:-1])
     heads = np.flatnonzero(new)
-    return doc[heads], a[heads], high[np.append(heads[1:], len(doc)) - 1]
+    return doc[heads], of[heads], a[heads], high[np.append(heads[1:], len(doc)) - 1]
 
 
 def _pack(bin_: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -172,20 +172,30 @@ def _unpack(n: int, raw: bytes, kind: np.dtype) -> np.ndarray:
 
 
 def _first_of_each(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key, bytes' hash and place; which of them are the first of their bytes."""
-    rows = rows[np.lexsort((rows["s"], rows["d"], rows["c"], rows["m"]))]
+    """Rows sorted by key, bytes' hash and place, each place once; which of them are the first of their bytes."""
+    rows = rows[np.lexsort((rows["s"], rows["t"], rows["d"], rows["c"], rows["m"]))]
     first = np.ones(len(rows), bool)
     first[1:] = (rows["m"][1:] != rows["m"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
-    return rows, first
+    again = np.zeros(len(rows), bool)  # an equal row's phrase is the same occurrence, not a later one
+    again[1:] = ~first[1:] & (rows["d"][1:] == rows["d"][:-1]) & (rows["t"][1:] == rows["t"][:-1]) & (rows["s"][1:] == rows["s"][:-1])
+    return rows[~again], first[~again]
+
+
+def _text_key():
+    """What tells the texts of one id apart: a hash of 62 bits; those of null ids come after all others."""
+    return F.shiftrightunsigned(F.xxhash64("text"), 2) + F.when(F.col("doc_id").isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, end): byte spans under strings of `length` that also start earlier.  docs: doc_id, text."""
+    """(doc_id, of, start, end): byte spans under strings of `length` that also start earlier.  docs: doc_id, of, text.
+
+    doc_id and of are not null and name a text; equal rows are one.
+    """
     spark = docs.sparkSession
     # as many as read the texts at least, so that a task's phrases follow from a split's size
     tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     bins = 4 * tasks
-    span = np.dtype([("d", "<i8"), ("s", "<i8"), ("e", "<i8")])
+    span = np.dtype([("d", "<i8"), ("t", "<i8"), ("s", "<i8"), ("e", "<i8")])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -193,9 +203,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             rows, first = _first_of_each(np.concatenate(held))
             later = rows[~first]
-            d, s, e = _merged(later["d"], later["s"], later["s"] + later["n"] + length - 1)
+            d, t, s, e = _merged(later["d"], later["t"], later["s"], later["s"] + later["n"] + length - 1)
             if len(d):
-                yield _pack(-1, d, s, e)
+                yield _pack(-1, d, t, s, e)
             rows = rows[first]
             where = (rows["m"] >> np.uint64(20)).astype(np.int64) % bins
             by = np.argsort(where, kind="stable")
@@ -205,12 +215,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield _pack(int(b), *(part[c] for c in _KEY.names))
 
         for part in slices(batches, "text"):
-            data, ends = buffers(part.column(1))
+            data, ends = buffers(part.column(2))
             row, start, count, key, text, again = phrases(data, ends, length)
             if len(row):
                 got = np.zeros(len(row), _KEY)
                 got["m"], got["c"], got["s"], got["n"], got["r"] = key, text, start, count, again
-                got["d"] = part.column(0).fill_null(_LAST).to_numpy(zero_copy_only=False)[row]
+                got["d"], got["t"] = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1))
                 held.append(got)
                 if sum(map(len, held)) > HELD:
                     yield from flush()
@@ -221,70 +231,74 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
 
-        def rows_of(d, s, e, m):
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(e), pa.array(m, mask=np.zeros(len(d), bool) if m is not None else None) if m is not None else pa.nulls(len(d), pa.int64())], ["doc_id", "start", "end", "key"])
+        def rows_of(d, t, s, e, m):
+            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(s), pa.array(e), pa.array(m) if m is not None else pa.nulls(len(d), pa.int64())], ["doc_id", "of", "start", "end", "key"])
 
         for batch in batches:
             for b, n, raw in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 if b < 0:
                     got = _unpack(n, raw, span)
-                    yield rows_of(got["d"], got["s"], got["e"], None)
+                    yield rows_of(got["d"], got["t"], got["s"], got["e"], None)
                 else:
                     held.setdefault(b, []).append(_unpack(n, raw, _KEY))
         for b in list(held):
             rows, first = _first_of_each(np.concatenate(held.pop(b)))
             later = rows[~first]
             if len(later):
-                yield rows_of(*_merged(later["d"], later["s"], later["s"] + later["n"] + length - 1), None)
+                yield rows_of(*_merged(later["d"], later["t"], later["s"], later["s"] + later["n"] + length - 1), None)
             rows = rows[first]
             same = rows["m"][1:] == rows["m"][:-1]
             # shared by other bytes, or perhaps repeating inside itself
             rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (rows["r"] > 0)]
             if len(rows):
-                yield rows_of(rows["d"], rows["s"], rows["s"] + rows["n"] + length - 1, rows["m"].astype(np.int64))
+                yield rows_of(rows["d"], rows["t"], rows["s"], rows["s"] + rows["n"] + length - 1, rows["m"].astype(np.int64))
 
     packed = docs.mapInArrow(keys, "bin int, rows int, packed binary")
     # spans that are settled already go anywhere
     dealt = packed.repartition(tasks, F.when(F.col("bin") < 0, F.xxhash64("packed")).otherwise(F.col("bin").cast("long")))
-    found = stored(dealt.mapInArrow(dictionary, "doc_id long, start long, end long, key long"), "phrases")
+    found = stored(dealt.mapInArrow(dictionary, "doc_id long, of long, start long, end long, key long"), "phrases")
     settled, open_ = found.where("key is null").drop("key"), found.where("key is not null")
     size = open_.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     if not size:
         return settled
     shards = max(1, int(size // SHARD_BYTES))
-    wanted = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "key")).alias("cuts"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
-    ids = open_.select("doc_id").distinct()
+    wanted = open_.groupBy("doc_id", "of").agg(F.collect_list(F.struct("start", "end", "key")).alias("cuts"))
+    texts = docs.select("doc_id", "of", "text")
+    ids = open_.select("doc_id", "of").distinct()
     if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+        texts = texts.join(F.broadcast(ids), ["doc_id", "of"], "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for part in slices(batches, "text"):
             out: list[tuple] = []
-            for doc, text, cuts in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
-                raw = text.encode()
-                out += [((x["key"] >> 13) % shards, doc, x["start"], raw[x["start"] : x["end"]]) for x in cuts if x["end"] <= len(raw)]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["shard", "doc_id", "start", "bytes"])
+            for doc, of, text, cuts in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
+                if (doc, of) == last:  # an equal row
+                    continue
+                last, raw = (doc, of), text.encode()
+                out += [((x["key"] >> 13) % shards, doc, of, x["start"], raw[x["start"] : x["end"]]) for x in cuts if x["end"] <= len(raw)]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "doc_id", "of", "start", "bytes"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for s, *row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for s, *row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 held.setdefault(s, []).append(row)
         for s in list(held):
-            rows = sorted(held.pop(s), key=lambda r: (r[0], r[1]))
-            sizes = np.array([len(r[2]) for r in rows], np.int64)
-            ids, starts = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
-            own = RunIndex(np.frombuffer(b"".join(r[2] for r in rows), np.uint8), np.cumsum(sizes) - sizes, sizes, np.arange(len(rows)), length)
+            rows = list({tuple(r[:3]): r for r in sorted(held.pop(s), key=lambda r: r[:3])}.values())
+            sizes = np.array([len(r[3]) for r in rows], np.int64)
+            ids, ofs, starts = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 2))
+            own = RunIndex(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), np.cumsum(sizes) - sizes, sizes, np.arange(len(rows)), length)
             hit = np.flatnonzero(own.long_matches())
             phrase = np.searchsorted(own.first, hit, "right") - 1
             at = starts[phrase] + hit - own.first[phrase]
-            d, a, b = _merged(ids[phrase], at, at + length)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], ["doc_id", "start", "end"])
+            d, t, a, b = _merged(ids[phrase], ofs[phrase], at, at + length)
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(a), pa.array(b)], ["doc_id", "of", "start", "end"])
 
-    cuts = texts.join(wanted, "doc_id").select("doc_id", "text", "cuts").mapInArrow(cut, "shard int, doc_id long, start long, bytes binary")
-    return settled.union(cuts.repartition(min(shards, 4 * tasks), "shard").mapInArrow(index, "doc_id long, start long, end long"))
+    cuts = texts.join(wanted, ["doc_id", "of"]).select("doc_id", "of", "text", "cuts").mapInArrow(cut, "shard int, doc_id long, of long, start long, bytes binary")
+    return settled.union(cuts.repartition(min(shards, 4 * tasks), "shard").mapInArrow(index, "doc_id long, of long, start long, end long"))
 
 
 def remove_repeats(
@@ -294,22 +308,23 @@ def remove_repeats(
 
     Per row of `docs`: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), then kept_sha256 with
     `digests` or the kept text (broken characters at cuts go), then the `keep` columns.  Strings are
-    judged on the input.  Null and empty texts lose nothing; rows with one id and text have one result;
-    a null id comes last in order.
+    judged on the input.  Null and empty texts lose nothing; rows with one id and text are one and have
+    one result.  Different texts of one id follow each other in the order of a hash, each by its starts;
+    null ids come last in order, each text of its own.
     """
     kept = [f"k{k}" for k in range(len(keep))]
     source = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)))
     base = id_text(source, "i", "t", *kept)
-    spans = stored(repeated_spans(base.select("doc_id", "text"), length), "spans")
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "of")
-    order = F.coalesce("doc_id", F.lit(_LAST))
-    ids = spans.select("doc_id").distinct().withColumnRenamed("doc_id", "of")
+    keyed = base.select(F.coalesce("doc_id", F.lit(_LAST)).alias("at"), _text_key().alias("of"), "doc_id", "text", *kept)
+    spans = stored(repeated_spans(keyed.select(F.col("at").alias("doc_id"), "of", "text"), length), "spans").withColumnRenamed("doc_id", "at")
+    lists = spans.groupBy("at", "of").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    ids = spans.select("at", "of").distinct()
     if ids.count() <= BROADCAST_IDS:  # rows without spans need no shuffle
-        with_ = base.join(F.broadcast(ids), order == F.col("of"), "left_semi").join(lists, order == F.col("of")).drop("of")
+        with_ = keyed.join(F.broadcast(ids), ["at", "of"], "left_semi").join(lists, ["at", "of"])
         none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
-        judged = with_.union(base.join(F.broadcast(ids), order == F.col("of"), "left_anti").withColumn("spans", none))
+        judged = with_.union(keyed.join(F.broadcast(ids), ["at", "of"], "left_anti").withColumn("spans", none))
     else:
-        judged = base.join(lists, order == F.col("of"), "left").drop("of")
+        judged = keyed.join(lists, ["at", "of"], "left")
     judged = judged.select("doc_id", "text", "spans", *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

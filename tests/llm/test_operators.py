@@ -322,6 +322,21 @@ def test_repeats_match_brute_force(spark):
     assert remove_repeats(docs.limit(0), digests=True).count() == 0
 
 
+def test_repeats_of_equal_rows_null_ids_and_shared_ids(spark):
+    rnd = random.Random(21)
+    prose = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    a, b, c, d, p, q = prose(300), prose(260), prose(240), prose(280), prose(150), prose(130)
+    rows = [(1, a), (1, a), (2, b + p), (None, c + p), (None, c + p), (None, d), (None, d), (None, q + "x" + b[:40]), (5, q), (5, c[:50] + q + "y"), (6, q), ((1 << 63) - 1, d)]
+    got = [(r.doc_id, r.text, r.n_bytes - r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    assert len(got) == len(rows) and all(len(t) == n for _, t, n in got)
+    kept = lambda i: sorted(t for j, t, _ in got if j == i)
+    assert kept(1) == [a, a] and kept(2) == [b + p] and kept(6) == [""] and kept((1 << 63) - 1) == [d]
+    # only what another row has earlier goes: p of both equal rows, d twice, q of the third text
+    assert kept(None) == sorted([c, c, "", "", "x" + b[:40]])
+    # two texts of one id: one keeps q, the other loses it
+    assert kept(5) in (sorted([q, c[:50] + "y"]), sorted(["", c[:50] + q + "y"]))
+
+
 def test_quality_ways_agree_and_reject_noise(spark):
     rnd = random.Random(8)
     syllables = "ka lo mi ter an do shi ver".split()
