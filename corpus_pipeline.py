@@ -17,7 +17,7 @@ from lodestone.llm.packing import pack
 from lodestone.llm.quality import classify, trusted_ids
 from lodestone.llm.queries import vocabulary
 from lodestone.llm.repeats import remove_repeats
-from lodestone.llm.secret_scan import secret_spans
+from lodestone.llm.secret_scan import corpus_words, secret_spans
 from lodestone.llm.spark import stored
 
 SECRET_MARK = "[secret]"
@@ -62,7 +62,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return like(docs, secret_spans(docs, keep=others(docs), redact=SECRET_MARK))
+    return like(docs, secret_spans(docs, words=corpus_words(docs), keep=others(docs), redact=SECRET_MARK))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from .language_id import identify
 from .packing import pack
 from .quality import classify, trusted_ids
 from .repeats import remove_repeats
-from .secret_scan import digest, secret_spans
+from .secret_scan import corpus_words, digest, secret_spans
 from .sentence_pieces import encode_decode
 from .token_counts import token_counts
 
@@ -37,7 +37,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(secret_spans(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return digest(secret_spans(docs, words=corpus_words(docs)))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

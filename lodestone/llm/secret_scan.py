@@ -2,7 +2,8 @@
 
 `guess_cost` is the least log10 number of guesses over all segmentations of a value into dictionary
 words, dates, repeats, keyboard walks and brute-force characters.  A value that follows a credential
-name (or stands as the password of a URL) and costs `min_cost` or more is a span of kind `guess`.
+name (or stands as the password of a URL) and costs `min_cost` or more is a span of kind `guess`,
+unless a pattern span covers it wholly.  An authentication scheme before the value is not part of it.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: Names of credentials, then a separator and a value; or the password of a URL.
+_SCHEME = r"(?:bearer|basic|digest|token|negotiate|hmac)"
+#: Names of credentials, then a separator, perhaps a scheme, and a value; the password of a URL; a bearer's token.
 CONTEXT = re.compile(
     r"(?ai:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer)"
-    r"[\"']?\x20*(?:[:=]|=>)\x20*[\"']?([^\s\"'<>,;]{6,})"
+    r"[\"']?\x20*(?:[:=]|=>)\x20*[\"']?"
+    rf"(?ai:{_SCHEME}[\x20\t]+)?(?!(?ai:{_SCHEME})(?:[\s\"'<>,;]|$))([^\s\"'<>,;]{{6,}})"
     r"|://[^\s/:@]+:([^\s/@]{6,})@"
+    r"|(?<![A-Za-z])(?ai:bearer)[\x20\t]+([^\s\"'<>,;]{6,})"
 )
 #: log10 of the guesses from which a credential value counts as a secret.
 MIN_COST = 8.0
@@ -43,6 +47,8 @@ WORDS = (
     "internet server service private public system office company school student teacher orange purple yellow silver "
     "golden black white green blue red star moon sun fire water earth wind king queen"
 ).split()
+#: Words of a corpus that `corpus_words` gives at most, and the documents that must have one.
+MOST_WORDS, WORD_DOCS = 50_000, 10
 _KEYS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
 _LEET = str.maketrans("4301$57@!", "aeoissta" + "i")
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
@@ -118,17 +124,28 @@ def base_spans(text: str, hex_run: bool = True) -> list[tuple[int, int, int]]:
 
 
 def guessed_spans(text: str, cost, min_cost: float, base: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Credential-context values that no pattern span touches and that cost `min_cost` guesses or more."""
-    if ":" not in text and "=" not in text:
+    """Credential-context values that no pattern span covers wholly and that cost `min_cost` guesses or more."""
+    if ":" not in text and "=" not in text and "bearer" not in text.lower():
         return []
     out = []
     for m in CONTEXT.finditer(text):
-        a, b = m.span(1) if m.group(1) is not None else m.span(2)
-        if not any(s < b and a < e for s, _, e in base) and cost(text[a:b]) >= min_cost:
+        a, b = m.span(m.lastindex)
+        if not any(s <= a and b <= e for s, _, e in base) and cost(text[a:b]) >= min_cost:
             out.append((a, 3, b))
     return out
 
 
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS, least: int = WORD_DOCS) -> list[str]:
+    """The built-in words, then those of letters only that most documents have: a dictionary for `guess_cost`.
+
+    Words stand between white space, perhaps with punctuation behind; parts of values do not count.
+    """
+    found = F.array_distinct(F.split(F.lower(F.col(f"`{text_col}`").cast("string")), r"[.,;:!?]*\s+"))
+    words = docs.select(F.explode(found).alias("w")).where(F.length("w").between(2, 24)).groupBy("w").agg(F.count("*").alias("n"))
+    words = words.where((F.col("n") >= least) & F.col("w").rlike(r"^\p{L}+$")).orderBy(F.desc("n"), "w").limit(most)
+    return [*WORDS, *(r.w for r in words.select("w").collect())]  # `most` rows at most
+
+
 def _hex_rows(col: pa.Array) -> np.ndarray:
     """Rows with a run of 24 or more hex digits, from the bytes."""
     data, ends = buffers(col)
