@@ -3,7 +3,8 @@
 Counts of character n-grams (order 4) are gathered over all trusted documents of each language; the
 lower orders are continuation counts.  Discounts, back-off weights and probabilities come from joins
 of the count tables on context and suffix keys.  Each document then has a perplexity under its own
-language's model and is kept up to a threshold that its language's trusted quantiles set.
+language's model and is kept up to a threshold that its language's trusted quantiles set.  Repetition
+is easy to predict: a document with too few distinct n-grams for its language goes as well.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ WHOLE_MODEL_ROWS = 4_000_000
 BROADCAST_IDS = 2_000_000
 #: Bytes of text of a shard in the sharded way.
 SHARD_BYTES = 16 << 20
-#: Threshold: median + SPREAD * (upper quantile - median) of the trusted log perplexities.
-UPPER, SPREAD = 0.95, 4.0
+#: Threshold: median + SPREAD * (upper quantile - median) of the trusted log perplexities, and as much below for variety.
+UPPER, SPREAD, VARIETY_SPREAD = 0.95, 4.0, 4.0
 #: Characters of median perplexity that are added to each document, so that short ones don't swing.
 PRIOR_CHARS = 64
+#: Characters of a window whose distinct n-grams are counted: few of them mean repetition, which perplexity cannot see.
+WINDOW = 256
 
 
 def _grams(col: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +182,16 @@ def _losses(log_p: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[:-1]] - total[at[1:]]
 
 
+def _kinds(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row: the distinct n-grams of its windows, summed."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    window = np.cumsum((np.arange(len(key)) - at[row]) % WINDOW == 0)
+    by = np.lexsort((key, window))
+    new = np.ones(len(by), bool)
+    new[1:] = (key[by][1:] != key[by][:-1]) | (window[by][1:] != window[by][:-1])
+    return np.bincount(row[by[new]], minlength=len(at) - 1)
+
+
 def _score_whole(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     arrays = {}
     for name, t in tables.items():
@@ -191,9 +204,9 @@ def _score_whole(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         model = made.setdefault(0, None) or made.update({0: Model(shared.value)}) or made[0]
         for part in slices(batches, "text"):
             key, at = _grams(part.column(1), part.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(at)), pa.array(_losses(model.log_p(key), at))], ["doc_id", "lang", "n", "loss"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(at)), pa.array(_losses(model.log_p(key), at)), pa.array(_kinds(key, at), pa.int64())], ["doc_id", "lang", "n", "loss", "kinds"])
 
-    return docs.mapInArrow(run, "doc_id long, lang string, n long, loss double")
+    return docs.mapInArrow(run, "doc_id long, lang string, n long, loss double, kinds long")
 
 
 def _score_sharded(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -231,12 +244,12 @@ def _score_sharded(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
             rows = left.iloc[a : a + 512]
             key, at = _grams(pa.array(rows["text"], pa.string()), [x if isinstance(x, str) else None for x in rows["lang"]])
             loss = _losses(lp[np.searchsorted(grams, key)] if len(key) else np.zeros(0), at)
-            out.append(rows[["doc_id", "lang"]].assign(n=np.diff(at), loss=loss))
+            out.append(rows[["doc_id", "lang"]].assign(n=np.diff(at), loss=loss, kinds=_kinds(key, at)))
         import pandas as pd
 
-        return pd.concat(out) if out else left[["doc_id", "lang"]].assign(n=0, loss=0.0)
+        return pd.concat(out) if out else left[["doc_id", "lang"]].assign(n=0, loss=0.0, kinds=0)
 
-    return dealt.groupBy("shard").cogroup(brought.groupBy("shard")).applyInPandas(run, "doc_id long, lang string, n long, loss double")
+    return dealt.groupBy("shard").cogroup(brought.groupBy("shard")).applyInPandas(run, "doc_id long, lang string, n long, loss double, kinds long")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -274,14 +287,18 @@ def classify(
     scores = scores.withColumn("of", language).join(F.broadcast(seen), "of", "left")  # a row for each language
     settled = (F.col("loss") + PRIOR_CHARS * F.coalesce("mid", mean)) / (F.col("n") + PRIOR_CHARS)
     scores = scores.withColumn("score", F.when(F.col("n") > 0, settled))
-    high = scores.where("n > 0").join(ids, "doc_id", "left_semi").groupBy("of").agg(F.percentile_approx("score", upper, 100_000).alias("high"))
+    scores = scores.withColumn("variety", F.when(F.col("n") > 0, F.col("kinds") / F.col("n")))
+    quantiles = [F.percentile_approx("score", upper, 100_000).alias("high"), F.percentile_approx("variety", 0.5, 100_000).alias("v_mid"), F.percentile_approx("variety", 1 - upper, 100_000).alias("v_low")]
+    high = scores.where("n > 0").join(ids, "doc_id", "left_semi").groupBy("of").agg(*quantiles)
     scores = scores.join(F.broadcast(high), "of", "left")
     limit = F.col("mid") + spread * F.greatest(F.col("high") - F.col("mid"), F.lit(0.01))
+    least = F.col("v_mid") - VARIETY_SPREAD * F.greatest(F.col("v_mid") - F.col("v_low"), F.lit(0.01))
+    kept = (F.col("score") <= limit) & (F.col("variety") >= least)
     return scores.select(
         "doc_id",
         "lang",
         F.col("n").alias("n_chars"),
         F.exp("score").alias("perplexity"),
         F.exp(limit).alias("threshold"),
-        F.coalesce((F.col("n") > 0) & F.coalesce(F.col("score") <= limit, F.lit(True)), F.lit(False)).alias("keep"),
+        F.coalesce((F.col("n") > 0) & F.coalesce(kept, F.lit(True)), F.lit(False)).alias("keep"),
     )

@@ -367,6 +367,19 @@ def test_quality_ways_agree_and_reject_noise(spark):
     assert one[88].keep and one[88].threshold is None and not one[90].keep and not one[91].keep
 
 
+def test_quality_rejects_repetition(spark):
+    """Repeated trusted words are as predictable as can be, and still go; both ways agree."""
+    rnd = random.Random(9)
+    syllables = "ka lo mi ter an do shi ver".split()
+    good = [" ".join("".join(rnd.choices(syllables, k=rnd.randrange(1, 4))) for _ in range(rnd.randrange(20, 300))) for _ in range(80)]
+    docs = frame(spark, good + [f"{w} " * 400 for w in ("kalo", "mi ter", "ander")] + ["mi", ""], lang=["xx"] * 85)
+    trusted = spark.createDataFrame([(k,) for k in [*range(60), 84]], "i long")
+    for rows in (10**6, 0):
+        keep = {r.doc_id: r.keep for r in classify(docs, trusted, whole_model_rows=rows).collect()}
+        assert [keep[k] for k in range(80, 85)] == [False, False, False, True, False]
+        assert sum(keep[k] for k in range(80)) >= 78
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Probabilities of all next characters after a context sum to one over the code space."""
     from lodestone.llm.quality import BITS, ORDER, Model, _count_grams, train
