@@ -1,16 +1,18 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Every text is its set of distinct five-word shingles.  All sets are sorted by one global order, rare
-shingles first; a pair at the threshold t that shares the overlap o must share l shingles within the
-first |x| - ceil(t|x|) + l of either.  Each document chooses its own l: a longer prefix costs more
-index entries and leaves fewer candidates, by the estimated lengths of its posting lists.  A pair is
-verified if it shares the lesser l of both, and as many as the overlap needs beyond what the ends after
-the prefixes can hold.
+Every text is its set of distinct five-word shingles; equal sets are one node.  Links come in two ways,
+both verified exactly: two star rounds link the members of posting lists to one well-connected member
+each (no multi-match test there), so that a group of copies costs its size; then all pairs of different
+components that pass the multi-match test are candidates.
+
+All sets are sorted by one global order, rare shingles first; a pair that needs the overlap o must share l
+shingles within the first |x| - o + l of either set (its pair prefix).  Each document chooses its own l: a
+longer prefix costs more index entries and leaves fewer candidates, by the estimated lengths of its posting
+lists.  An entry holds its place in the order, so an entry meets only partners whose size puts it into both
+pair prefixes: in a group of near copies, the common shingles of a member with many own ones meet nobody.
 
 Order and estimates come from one sketch of document frequencies over all sets; whatever its error,
-every set has the same order, so no link is lost.  Equal sets are one node.  Before all remaining
-candidates are verified, two rounds link the members of posting lists to one well-connected member
-each, and then only pairs of different components are candidates: a group of copies costs its size.
+every set has the same order, so no link is lost.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ HEAVY = 4096
 STAR_KEYS = 4
 #: Ids up to which a table of ids is broadcast (8 bytes each, thrice).
 BROADCAST_IDS = 1_000_000
+_ENTRY = np.dtype([("t", "<u8"), ("v", "<i8"), ("n", "<i4"), ("p", "<i4"), ("l", "u1")])
 
 
 def overlap_needed(n: int) -> int:
@@ -110,16 +113,19 @@ def frequency_sketch(nodes: DataFrame, bits: int) -> np.ndarray:
 
 
 def choose_matches(order_frequency: np.ndarray, n: int) -> int:
-    """The multi-match l of least estimated cost for a set of n shingles with these list lengths, in order."""
-    short = n - overlap_needed(n)
-    lengths = np.cumsum(np.maximum(order_frequency[: short + MOST_MATCHES], 0))
-    most = min(MOST_MATCHES, overlap_needed(n), n - short)
-    cost = [lengths[min(short + m, len(lengths)) - 1] * (1 + VERIFY_COST / m) for m in range(1, most + 1)]
+    """The multi-match l of least estimated cost for a set of n shingles with these list lengths, in order.
+
+    Costs are those of partners of like size, whose pair prefix has n - o + l shingles for the overlap o.
+    """
+    overlap = -(-2 * NUMERATOR * n // (NUMERATOR + DENOMINATOR))
+    lengths = np.cumsum(np.maximum(order_frequency[: n - overlap + MOST_MATCHES], 0))
+    most = min(MOST_MATCHES, overlap_needed(n))
+    cost = [lengths[min(n - overlap + m, len(lengths)) - 1] * (1 + VERIFY_COST / m) for m in range(1, most + 1)]
     return int(np.argmin(cost)) + 1
 
 
 def postings(nodes: DataFrame, sketch: np.ndarray, bits: int, total: int = 0) -> DataFrame:
-    """Entries (token, node, n, l) of the shingles that more than one node may have in its prefix."""
+    """Entries (token, node, n, p, l) of the shingles that more than one node may have in its prefix; p: place in the set's order."""
     shared = nodes.sparkSession.sparkContext.broadcast(sketch)  # 1 << bits bytes
     typical = float(np.mean(sketch[sketch > 0])) if sketch.any() else 0.0
     noise = 2 ** (typical / 8) - 1  # what unrelated shingles add to a counter
@@ -127,7 +133,7 @@ def postings(nodes: DataFrame, sketch: np.ndarray, bits: int, total: int = 0) ->
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for part in slices(batches, "text"):
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for node, own in zip(part.column(0).to_pylist(), distinct_shingles(part.column(1), SHINGLE), strict=True):
                 n = len(own)
                 if not n:
@@ -137,29 +143,29 @@ def postings(nodes: DataFrame, sketch: np.ndarray, bits: int, total: int = 0) ->
                 estimate = np.exp2(level[first] / 8.0) - 1
                 matches = choose_matches(estimate - noise, n)
                 take = n - overlap_needed(n) + matches
-                for c, x in zip(cols, (own[first[:take]], np.full(len(first[:take]), node, np.int64), np.full(len(first[:take]), n, np.int32), np.full(len(first[:take]), matches, np.int32), estimate[:take] >= HEAVY + noise), strict=True):
+                took = len(first[:take])
+                for c, x in zip(cols, (own[first[:take]], np.full(took, node, np.int64), np.full(took, n, np.int32), np.arange(took, dtype=np.int32), np.full(took, matches, np.uint8), estimate[:take] >= HEAVY + noise), strict=True):
                     c.append(x)
             if not cols[0]:
                 continue
-            token, node, n, matches, heavy = map(np.concatenate, cols)
-            raw = np.zeros(len(token), np.dtype([("t", "<u8"), ("v", "<i8"), ("n", "<i4"), ("l", "<i4")]))
-            raw["t"], raw["v"], raw["n"], raw["l"] = token, node, n, matches
+            token, node, n, place, matches, heavy = map(np.concatenate, cols)
+            raw = np.zeros(len(token), _ENTRY)
+            raw["t"], raw["v"], raw["n"], raw["p"], raw["l"] = token, node, n, place, matches
             for bin_, rows in _by_bin(token[~heavy], bins, raw[~heavy]):
                 yield _packed(bin_, rows)
             for k in range(0, int(heavy.sum()), 1 << 15):  # as they are: their lists have no bound
                 yield _packed(-1, raw[heavy][k : k + (1 << 15)])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype([("t", "<u8"), ("v", "<i8"), ("n", "<i4"), ("l", "<i4")])
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if b < 0:
-                    yield _rows(np.frombuffer(_unpack(raw), kind))
+                    yield _rows(_unpack(raw))
                 else:
                     held.setdefault(b, []).append(raw)
         for parts in held.values():
-            rows = np.concatenate([np.frombuffer(_unpack(x), kind) for x in parts])
+            rows = np.concatenate([_unpack(x) for x in parts])
             rows = rows[np.argsort(rows["t"], kind="stable")]
             same = rows["t"][1:] == rows["t"][:-1]
             twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
@@ -172,7 +178,7 @@ def postings(nodes: DataFrame, sketch: np.ndarray, bits: int, total: int = 0) ->
     bins = max(8, tasks) * 4
     packed = nodes.mapInArrow(entries, "bin int, salt int, entries binary")
     dealt = packed.repartition(tasks, F.when(F.col("bin") >= 0, F.col("bin")).otherwise(-1 - F.col("salt")))
-    return dealt.mapInArrow(repeated, "token long, node long, n int, l int")
+    return dealt.mapInArrow(repeated, "token long, node long, n int, p int, l int")
 
 
 def _by_bin(token: np.ndarray, bins: int, raw: np.ndarray):
@@ -190,19 +196,18 @@ def _packed(bin_: int, rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bin_], pa.int32()), pa.array([salt], pa.int32()), pa.array([columns.tobytes()], pa.binary())], ["bin", "salt", "entries"])
 
 
-def _unpack(raw: bytes) -> bytes:
-    n = len(raw) // 24
-    out = np.zeros(n, np.dtype([("t", "<u8"), ("v", "<i8"), ("n", "<i4"), ("l", "<i4")]))
-    at = 0
+def _unpack(raw: bytes) -> np.ndarray:
+    n, at = len(raw) // _ENTRY.itemsize, 0
+    out = np.zeros(n, _ENTRY)
     for c in out.dtype.names:
         size = out.dtype[c].itemsize * n
         out[c] = np.frombuffer(raw[at : at + size], out.dtype[c])
         at += size
-    return out.tobytes()
+    return out
 
 
 def _rows(rows: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows["t"].astype(np.int64)), pa.array(rows["v"]), pa.array(rows["n"]), pa.array(rows["l"])], ["token", "node", "n", "l"])
+    return pa.RecordBatch.from_arrays([pa.array(rows["t"].astype(np.int64)), *(pa.array(rows[c].astype(k)) for c, k in (("v", np.int64), ("n", np.int32), ("p", np.int32), ("l", np.int32)))], ["token", "node", "n", "p", "l"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -231,9 +236,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
-def _overlap(a: str, b: str):
-    """The overlap that two sets of these sizes need."""
-    return F.ceil(F.lit(NUMERATOR) * (F.col(a) + F.col(b)) / (NUMERATOR + DENOMINATOR))
+def _in_pair_prefix(n: str, place: str, other, matches):
+    """Whether a shingle's place in a set of n is within the prefix that must hold `matches` shingles shared with a set of `other`.
+
+    The first l shared shingles of a link with the overlap o stand at places below n - o + l of either set.
+    """
+    needed = F.expr(f"{NUMERATOR}L") * (F.col(n).cast("long") + other)
+    # in integers: place < n - ceil(needed / 7) + matches
+    return needed <= (F.col(n) - F.col(place) + matches - 1).cast("long") * (NUMERATOR + DENOMINATOR)
 
 
 def _size_fits(a: str, b: str):
@@ -264,15 +274,18 @@ def links(entries: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame |
     # what is left: pairs of different components, of which one is not its list's largest
     size = comp.groupBy("component").agg(F.count("*").alias("weight"))
     placed = entries.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(size, "component", "left").fillna(1, ["weight"])
-    lists = placed.groupBy("token").agg(F.max_by("component", F.struct("weight", "component")).alias("major"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    placed = stored(placed.join(lists.select("token", "major"), "token").select("token", "node", "n", "l", "component", (F.col("component") == F.col("major")).alias("is_major")), "placed")
-    a = placed.where("not is_major").select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "l", "component")))
-    b = placed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "l", "component", "is_major")))
-    met = a.join(b, "token").where((F.col("a_component") != F.col("b_component")) & _size_fits("a_n", "b_n") & (F.col("b_is_major") | (F.col("a_node") < F.col("b_node"))))
-    # beyond the prefixes a pair can share no more than the end of the one whose prefix ends first
-    least = lambda n: F.ceil(F.lit(NUMERATOR) * F.col(n) / DENOMINATOR)
-    needed = F.greatest(F.least("a_l", "b_l"), _overlap("a_n", "b_n") - F.greatest(least("a_n") - F.col("a_l"), least("b_n") - F.col("b_l")))
-    found = met.groupBy(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).agg(F.count("*").alias("shared"), F.min(needed).alias("needed"))
+    # the earliest of l shared shingles stands where the rest can hold the overlap, whatever the partner: its list's smallest set needs least
+    least = placed.groupBy("token").agg(F.min("n").alias("least_n"))
+    open_ = placed.join(least, "token").where(_in_pair_prefix("n", "p", F.greatest("least_n", F.ceil(F.lit(NUMERATOR) * F.col("n") / DENOMINATOR)), F.col("l")))
+    open_ = stored(open_.drop("least_n"), "open")
+    lists = open_.groupBy("token").agg(F.max_by("component", F.struct("weight", "component")).alias("major"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    placed = stored(open_.join(lists.select("token", "major"), "token").select("token", "node", "n", "p", "l", "component", (F.col("component") == F.col("major")).alias("is_major")), "placed")
+    a = placed.where("not is_major").select("token", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "p", "l", "component")))
+    b = placed.select("token", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "p", "l", "component", "is_major")))
+    matches = F.least("a_l", "b_l")
+    fits = _size_fits("a_n", "b_n") & _in_pair_prefix("a_n", "a_p", F.col("b_n"), matches) & _in_pair_prefix("b_n", "b_p", F.col("a_n"), matches)
+    met = a.join(b, "token").where((F.col("a_component") != F.col("b_component")) & fits & (F.col("b_is_major") | (F.col("a_node") < F.col("b_node"))))
+    found = met.groupBy(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v")).agg(F.count("*").alias("shared"), F.min(matches).alias("needed"))
     rest = stored(found.where("shared >= needed").select("u", "v"), "candidates")
     new = stored(verified(rest, texts), "links")
     if new.isEmpty():
