@@ -61,6 +61,9 @@ def _adjacent() -> dict[str, str]:
 
 
 NEAR = _adjacent()
+#: Characters of a repeated unit, and of a word or date, at most; costs of a date, of a walk's first key and of a turn.
+MOST_UNIT, LONGEST = 8, 32
+_DATE_COST, _KEYS_COST, _TURN = math.log10(365 * 120), math.log10(len(NEAR)), math.log10(5)
 
 
 def _case_cost(word: str) -> float:
@@ -72,43 +75,106 @@ def _case_cost(word: str) -> float:
     return math.log10(sum(math.comb(len(word), k) for k in range(1, min(upper, len(word) - upper) + 1)) + 1)
 
 
-def guess_cost(value: str, ranks: dict[str, int] | None = None) -> float:
-    """The least log10 guesses over all segmentations; 0 for the empty value."""
+class Dictionary(dict):
+    """Ranks by word; `prefixes` holds all beginnings of words, so that a lookup stops early."""
+
+    def __init__(self, words: Sequence[str]):
+        super().__init__({w.lower(): k + 1 for k, w in reversed(list(enumerate(words))) if len(w) <= LONGEST})
+        self.prefixes = {w[:k] for w in self for k in range(1, len(w) + 1)}
+
+
+class _Starts:
+    """Starts i of a growing token, whose cost at its end j is base + log10((j - i) / unit).
+
+    Of two starts the older one gains with j, so one that an older start beats is dropped for good.
+    """
+
+    __slots__ = ("held", "shortest", "unit")
+
+    def __init__(self, unit: int, shortest: int):
+        self.unit, self.shortest, self.held = unit, shortest, []
+
+    def add(self, i: int, base: float) -> None:
+        self.held.append((i, base))
+
+    def least(self, j: int) -> float:
+        """The least cost at j over starts that are `shortest` away at least."""
+        out, held, unit, shortest = math.inf, self.held, self.unit, self.shortest
+        if len(held) == 1:
+            i, base = held[0]
+            return base + math.log10((j - i) / unit) if j - i >= shortest else out
+        keep = []
+        for i, base in held:
+            if j - i < shortest:
+                keep.append((i, base))
+            elif (cost := base + math.log10((j - i) / unit)) < out:
+                out = cost
+                keep.append((i, base))
+        self.held = keep
+        return out
+
+
+def guess_cost(value: str, ranks: Dictionary | None = None, enough: float = math.inf) -> float:
+    """The least log10 guesses over all segmentations; 0 for the empty value.
+
+    Linear in the value's length.  A result of `enough` or more may be a lower bound, from the place
+    where every segmentation has reached `enough`.
+    """
     ranks = _RANKS if ranks is None else ranks
-    n = len(value)
+    n, low = len(value), value.lower()
+    if len(low) != n:  # a few characters grow in lower case
+        low = "".join(c if len(c.lower()) != 1 else c.lower() for c in value)
     alphabet = sum(size for rx, size in ((r"[a-z]", 26), (r"[A-Z]", 26), (r"\d", 10), (r"[^a-zA-Z\d]", 33)) if re.search(rx, value))
-    per_char, low = math.log10(max(alphabet, 10)), value.lower()
-    plain = low.translate(_LEET)
-    longest = max(map(len, ranks), default=0)
+    per_char, plain, prefixes = math.log10(max(alphabet, 10)), low.translate(_LEET), ranks.prefixes
+    same_text = plain == low
     best = [0.0] + [math.inf] * n
-    walk = turns = 0  # length and turns of the keyboard walk that ends before i
-    for i in range(n):
-        here = best[i]
-        best[i + 1] = min(best[i + 1], here + per_char)
-        for j in range(i + 2, min(n, i + longest) + 1):  # words, with case and substitutions
-            for k, text in enumerate((low[i:j], plain[i:j])):
-                if (rank := ranks.get(text)) is not None:
-                    best[j] = min(best[j], here + math.log10(rank + 1) + _case_cost(value[i:j]) + k * math.log10(2))
-        if m := _DATE.match(value, i):
-            best[m.end()] = min(best[m.end()], here + math.log10(365 * 120))
-        for unit in range(1, min(8, (n - i) // 2) + 1):  # repeats of short units
-            j = i + unit
-            while value.startswith(value[i : i + unit], j):
-                j += unit
-                best[j] = min(best[j], here + unit * per_char + math.log10((j - i) // unit))
-        # walks: each step goes to a near key; a change of direction is a turn
-        j, turns, step = i + 1, 0, None
-        while j < n and low[j] in NEAR.get(low[j - 1], ""):
-            new = NEAR[low[j - 1]].index(low[j])
-            turns += new != step
-            step = new
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], here + math.log10(len(NEAR)) + turns * math.log10(5) + math.log10(j - i))
+    repeats = {u: [_Starts(u, 2 * u) for _ in range(u)] for u in range(1, MOST_UNIT + 1)}
+    run = [0] * (MOST_UNIT + 1)  # characters before j that equal those a unit earlier
+    walk, turns, walked, step = _Starts(1, 3), 0, 0, None  # keys walked so far, and turns of the walk up to j
+    for j in range(n + 1):
+        if j:
+            here = min(best[j], best[j - 1] + per_char)
+            char = value[j - 1]
+            for u in range(1, min(MOST_UNIT, j - 1) + 1):  # repeats of short units
+                if value[j - 1 - u] != char:
+                    run[u] = 0
+                    continue
+                run[u] += 1
+                if run[u] >= u and (u == 1 or run[1] < 2 * u):  # equal characters are repeats of one
+                    starts = repeats[u][j % u]
+                    if run[u] < 2 * u or u > 1 and starts.held and starts.held[-1][0] < j - run[u] - u:
+                        starts.held = [x for x in starts.held if x[0] >= j - run[u] - u]
+                    i = j - 2 * u
+                    if not starts.held or starts.held[-1][0] < i:
+                        starts.add(i, best[i] + u * per_char)
+                    here = min(here, starts.least(j))
+            if j > 1 and (near := NEAR.get(low[j - 2])) and (new := near.find(low[j - 1])) >= 0:
+                turns += new != step
+                step, walked = new, walked + 1
+                # a walk from i turns once at its first step, then as the walk does from there
+                walk.add(j - 2, best[j - 2] - (turns - 1) * _TURN)
+                if walked >= 2:
+                    here = min(here, walk.least(j) + _KEYS_COST + turns * _TURN)
+            else:
+                walk.held, walked, step = [], 0, None
+            best[j] = here
+            if j % 64 == 0 and enough < math.inf:
+                ahead = min(best[max(0, j - 2 * MOST_UNIT - 1) : j + 1 + LONGEST])
+                if min([ahead, *(x[1] for s in (walk, *(s for r in repeats.values() for s in r)) for x in s.held)]) >= enough:
+                    return enough
+        here = best[j]
+        for text, extra in ((low, 0.0),) if same_text else ((low, 0.0), (plain, math.log10(2))):
+            k = j + 1  # words, with case and substitutions
+            while k <= n and (part := text[j:k]) in prefixes:
+                if k - j > 1 and (rank := ranks.get(part)) is not None:
+                    best[k] = min(best[k], here + math.log10(rank + 1) + _case_cost(value[j:k]) + extra)
+                k += 1
+        if j < n and "0" <= value[j] <= "3" and (m := _DATE.match(value, j)):
+            best[m.end()] = min(best[m.end()], here + _DATE_COST)
     return best[n]
 
 
-_RANKS = {w: k + 1 for k, w in enumerate(WORDS)}
+_RANKS = Dictionary(WORDS)
 
 
 def base_spans(text: str, hex_run: bool = True) -> list[tuple[int, int, int]]:
@@ -169,14 +235,14 @@ def secret_spans(
     words: dictionary of `guess_cost`, most frequent first (default: the built-in list).  Null and
     empty texts have no spans; repeated rows give repeated rows.  One narrow pass, no shuffle.
     """
-    ranks = {w.lower(): k + 1 for k, w in reversed(list(enumerate(words)))} if words is not None else _RANKS
+    ranks = Dictionary(words) if words is not None else _RANKS
     kept = [f"k{k}" for k in range(len(keep))]
     base = id_text(docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True))), "i", "t", *kept)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     schema = "doc_id long, spans array<struct<kind:string,start:int,end:int>>" + ", text string" * (redact is not None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = lru_cache(1 << 14)(lambda v: guess_cost(v, ranks))
+        cost = lru_cache(1 << 14)(lambda v: guess_cost(v, ranks, min_cost))
         for part in slices(batches, "text"):
             spans, texts = [], part.column(1).to_pylist()
             for text, has_hex in zip(texts, _hex_rows(part.column(1)), strict=True):
