@@ -1,10 +1,12 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every source is a queue of tokens.  Of the first N packed tokens each source has its target share
-but for a small deficit, and the deficit left by one window is what the next one makes up.  That
-state has a closed form (`Mixture.taken`), a balanced tree of two-way splits, so that each document
-finds its own windows without any pass over the windows before it: deficits carry across windows
-and across partitions alike.  Only the counts of tokens by (partition, source) are gathered.
+Every source is a queue of tokens.  The round-robin is hierarchical: at each node of a balanced tree over
+the queues the left half earns its target share of every token and is served when its deficit reaches a
+half, the right half else.  So each source is within half a token for each level of the tree of its target
+after any number of tokens, and the deficit left by one window is what the next one makes up.  That state
+has a closed form (`Mixture.taken`), so that each document finds its own windows without any pass over the
+windows before it: deficits carry across windows and across partitions alike.  Only the counts of tokens by
+(partition, source) are gathered.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from .spark import id_text, slices, stored
 from .vocab import LETTER, NUMBER, SPACE, UNPLAIN, Merges, Table
 
 PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
-#: Queues at most; more sources share queues by hash.
+#: Control characters whose bytes stand for word ends in the quick merges; texts with one go to the library.
+CONTROL = re.compile("[\x00-\x08\x0e-\x1b\x7f]")
+#: Queues of sources without a target of their own at most; more of them share queues by hash.
 MAX_QUEUES = 4096
+#: Numbers of a table of tokens taken, by row and queue, that is held at a time.
+STATE_NUMBERS = 1 << 20
 #: Rows of the table of queue starts up to which it is broadcast (about 50 bytes each); a shuffle join beyond.
 BROADCAST_ROWS = 200_000
 
@@ -50,9 +56,10 @@ class WordIds:
         return np.array([i for p in PRE_TOKEN.findall(text) for i in ids(p)], self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if UNPLAIN.search(text) or any(s in text for s in self.special):
+        low = text.lower()  # a capital that is plain may have a lower case that is not
+        if UNPLAIN.search(text) or UNPLAIN.search(low) or CONTROL.search(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return b"".join(map(self.words.__getitem__, low.split()))
 
 
 def word_ids(path: str) -> WordIds:
@@ -121,11 +128,35 @@ class Mixture:
         for k, (start, base, own) in enumerate(self.phases):
             rows = np.flatnonzero(which == k)
             if len(rows):
-                out[rows] = np.minimum(self._split(n[rows] - start, own) + np.array(base, object), np.array(self.totals, object)).astype(np.int64)
+                out[rows] = np.minimum(self._split(n[rows] - start, own).astype(np.int64) + np.array(base, np.int64), np.array(self.totals, np.int64))
         return out
 
+    @property
+    def step(self) -> int:
+        """Rows that are handled at a time: a row has a number for each queue."""
+        return max(64, STATE_NUMBERS // max(1, len(self.totals)))
+
+    def windows(self, queue: np.ndarray, at: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, window) of the windows that may hold one of the tokens [at, at + n) of each row's queue.
+
+        Between its first and last window a row has them all, or only those of its tokens if these are fewer.
+        """
+        first, last = self.window(queue, at, length), self.window(queue, at + n - 1, length)
+        each = np.where(last - first + 1 <= 2 * n, last - first + 1, 0)
+        row = np.repeat(np.arange(len(at)), each)
+        win = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each) + first[row]
+        thin = np.flatnonzero(each == 0)  # a small queue: its tokens stand far apart
+        if len(thin):
+            of = np.repeat(thin, n[thin])
+            token = np.arange(len(of)) - np.repeat(np.cumsum(n[thin]) - n[thin], n[thin]) + at[of]
+            pairs = np.unique(np.stack([of, self.window(queue[of], token, length)], axis=1), axis=0)
+            row, win = np.concatenate([row, pairs[:, 0]]), np.concatenate([win, pairs[:, 1]])
+        return row, win
+
     def window(self, queue: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         """The window that holds token `at` of `queue`."""
+        if len(at) > self.step:
+            return np.concatenate([self.window(queue[k : k + self.step], at[k : k + self.step], length) for k in range(0, len(at), self.step)])
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), (sum(self.totals) - 1) // length)
         rows = np.arange(len(at))
         if len(self.phases) == 1 and len(at):  # near the token's share of the whole
@@ -156,13 +187,19 @@ def pack(
 
     One row per piece: doc_id, start (ids of its document before it), length, ids_crc32, doc_tokens,
     sequence_id, offset, and ids with `with_ids`.  Sequences are full but for the last.  `weights`
-    are target proportions by source (default: the corpus' own).  Null or empty texts have the end id
-    alone; a null source is a queue of its own; repeated rows are packed as often as they occur; no
+    are target proportions by source (default: the corpus' own token shares); sources without one follow
+    when those with one have ended.  Of the sources without a target more than MAX_QUEUES share queues by
+    hash; those with one never do.  A null source counts as the empty name; a null id is packed like any
+    other; extra columns are ignored whatever their names.  Null or empty texts have the end id
+    alone; repeated rows are packed as often as they occur; no
     rows give no pieces.
     """
-    source = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("queue")
-    if docs.select(F.approx_count_distinct(source)).first()[0] > 0.9 * MAX_QUEUES:
-        source = F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string").alias("queue")
+    name = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
+    own = name.isin(list(weights)) if weights else F.lit(False)
+    source = name.alias("queue")
+    if docs.where(~own).select(F.count_distinct(name)).first()[0] > MAX_QUEUES:
+        shared = F.concat(F.lit("\0"), F.pmod(F.xxhash64(name), F.lit(MAX_QUEUES)).cast("string"))
+        source = F.when(own, name).otherwise(shared).alias("queue")
     base = id_text(docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), source), "i", "t", "queue")
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,19 +237,20 @@ def pack(
                 ids = rows.column(4).to_pylist()
                 queue = np.array([number[q] for q in rows.column(1).to_pylist()], np.int64)
                 at, n = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
-                first, last = mix.window(queue, at, length), mix.window(queue, at + n - 1, length)
-                many = last - first + 1
-                doc = np.repeat(np.arange(len(at)), many)
-                win = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]
-                edges = np.unique(np.concatenate([win, win + 1]))
-                taken = mix.taken(edges * length)
-                lo, hi = taken[np.searchsorted(edges, win)], taken[np.searchsorted(edges, win + 1)]
-                ahead = np.cumsum(hi - lo, axis=1) - (hi - lo)
-                each = np.arange(len(doc)), queue[doc]
-                a, b = np.maximum(lo[each], at[doc]), np.minimum(hi[each], at[doc] + n[doc])
+                doc, win = mix.windows(queue, at, n, length)
+                lo, hi, ahead = (np.zeros(len(doc), np.int64) for _ in range(3))
+                for j in range(0, len(doc), mix.step):
+                    piece = slice(j, j + mix.step)
+                    edges = np.unique(np.concatenate([win[piece], win[piece] + 1]))
+                    taken = mix.taken(edges * length)
+                    each = np.arange(len(win[piece])), queue[doc[piece]]
+                    low, high = taken[np.searchsorted(edges, win[piece])], taken[np.searchsorted(edges, win[piece] + 1)]
+                    lo[piece], hi[piece] = low[each], high[each]
+                    ahead[piece] = (np.cumsum(high - low, axis=1) - (high - low))[each]
+                a, b = np.maximum(lo, at[doc]), np.minimum(hi, at[doc] + n[doc])
                 keep = np.flatnonzero(b > a)
                 doc, win, a, b = doc[keep], win[keep], a[keep], b[keep]
-                offset = (ahead[each] - lo[each])[keep] + a
+                offset = (ahead - lo)[keep] + a
                 a, b = a - at[doc], b - at[doc]
                 wide = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in ids]
                 crc = [zlib.crc32(wide[d][4 * i : 4 * j]) for d, i, j in zip(doc.tolist(), a.tolist(), b.tolist(), strict=True)]

@@ -110,6 +110,60 @@ def test_packing_is_gapless_and_mixed(spark, weights):
     assert pack(frame(spark, [], source=[]), path).count() == 0
 
 
+def test_packing_ids_of_controls_and_capitals(spark):
+    """Each character that the quick splitter admits, alone and beside letters, digits and signs, as the library gives it."""
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.packing import word_ids
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), word_ids(path)
+    points = [*range(0x1C), *range(0x20, 0x250), *range(0x2010, 0x205F), 0x20AC]
+    texts = [f"{a}{chr(c)}{b}" for c in points for a, b in (("", ""), ("AZ", "R"), ("", "?"), ("1", "x"), (". ", "'s"))]
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(t), own.kind).tolist() == e.ids, repr(t)
+
+
+def test_weighted_sources_keep_their_queues(spark):
+    """Of more sources than queues, those with a target keep it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    sources = [f"s{k}" for k in range(5000)] + ["hot"] * 300 + ["warm"] * 300
+    docs = frame(spark, ["one two three"] * len(sources), source=sources)
+    rows = pack(docs, path, length=64, weights={"hot": 3, "warm": 1}).join(docs.select("doc_id", "source"), "doc_id").collect()
+    first = [r for r in rows if r.sequence_id < 16]
+    share = {s: sum(r.length for r in first if r.source == s) for s in ("hot", "warm")}
+    assert share == {"hot": 768, "warm": 256}
+
+
+def sequential_deficits(weights, n):
+    """Token by token: at each node of the tree the left half earns its share and is served from a deficit of a half on."""
+    owed, out, counts = defaultdict(int), [], [0] * len(weights)
+    for _ in range(n):
+        a, b = 0, len(weights)
+        while b - a > 1:
+            mid, whole = (a + b) // 2, sum(weights[a:b])
+            owed[a, b] += 2 * sum(weights[a:mid])  # in halves of a token, times the node's weight
+            if owed[a, b] >= whole:
+                owed[a, b] -= 2 * whole
+                b = mid
+            else:
+                a = mid
+        counts[a] += 1
+        out.append(list(counts))
+    return out
+
+
+def test_mixture_is_the_sequential_deficit_round_robin():
+    for weights in ([5, 1, 3], [7, 2, 2, 9, 1, 4, 30], [1, 1]):
+        totals = [w * 80 for w in weights]  # no queue ends within the first half
+        want = sequential_deficits(weights, sum(totals) // 2)
+        assert Mixture(totals, weights).taken(np.arange(1, sum(totals) // 2 + 1)).tolist() == want
+        # a flat deficit round-robin over windows: each queue within half a token for each level of the tree
+        for n in range(16, sum(totals) // 2, 16):
+            flat = [n * w / sum(weights) for w in weights]
+            assert max(abs(a - b) for a, b in zip(want[n - 1], flat)) <= 0.5 * np.ceil(np.log2(len(weights))) + 0.5
+
+
 def test_mixture_keeps_proportions():
     totals = [100, 7, 3000, 1, 55]
     q = Mixture(totals).taken(np.arange(sum(totals) + 1))
@@ -161,6 +215,43 @@ def test_guess_cost_prefers_structure():
     assert cost(brute) == pytest.approx(4 * np.log10(26))
 
 
+def quadratic_cost(value):
+    """The guess cost by all tokens from each place."""
+    cost, n, low = secret_scan, len(value), value.lower()
+    size = sum(k for rx, k in (("[a-z]", 26), ("[A-Z]", 26), (r"\d", 10), (r"[^a-zA-Z\d]", 33)) if re.search(rx, value))
+    one, best = np.log10(max(size, 10)), [0.0] + [np.inf] * n
+    for i in range(n):
+        ends = [(i + 1, one)]
+        for text, more in ((low, 0), (low.translate(cost._LEET), np.log10(2))):
+            ends += [(j, np.log10(cost._RANKS[text[i:j]] + 1) + cost._case_cost(value[i:j]) + more) for j in range(i + 2, n + 1) if text[i:j] in cost._RANKS]
+        if m := cost._DATE.match(value, i):
+            ends.append((m.end(), np.log10(365 * 120)))
+        for u in range(1, 9):
+            ends += [(i + u * k, u * one + np.log10(k)) for k in range(2, n // u + 1) if value[i : i + u * k] == value[i : i + u] * k]
+        steps = []
+        for j in range(i + 1, n):
+            if low[j] not in cost.NEAR.get(low[j - 1], ""):
+                break
+            steps.append(cost.NEAR[low[j - 1]].index(low[j]))
+            turns = 1 + sum(a != b for a, b in zip(steps, steps[1:]))
+            if j - i >= 2:
+                ends.append((j + 1, np.log10(len(cost.NEAR)) + turns * np.log10(5) + np.log10(j + 1 - i)))
+        for j, c in ends:
+            best[j] = min(best[j], best[i] + c)
+    return best[n]
+
+
+def test_guess_cost_is_linear_and_exact():
+    rnd = random.Random(31)
+    parts = "password Passw0rd qwerty aaaa abab 1999 12/31/2001 asdf $$$ Summer 2024 abcabc qaz p@ss lkjhg abcdeabcde".split()
+    for _ in range(400):
+        value = "".join(rnd.choice(parts) if rnd.random() < 0.7 else rnd.choice("aAbB1$qwe") for _ in range(rnd.randrange(1, 5)))
+        want = quadratic_cost(value)
+        assert secret_scan.guess_cost(value) == pytest.approx(want), value
+        assert (secret_scan.guess_cost(value, None, 8.0) >= 8.0) == (want >= 8.0), value
+    assert secret_scan.guess_cost("$" * 100_000, None, 8.0) < 8 < secret_scan.guess_cost("aB3$xYz9" * 10_000 + "k", None, 8.0)
+
+
 @pytest.mark.parametrize("size", [2, 8])
 def test_code_streams_round_trip(size):
     rnd = random.Random(size)
