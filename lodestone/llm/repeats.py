@@ -2,11 +2,13 @@
 
 A string of `length` bytes is routed by the least hash of its 32-byte grams, which equal strings share.
 Consecutive strings with the same least hash form a phrase.  Equal phrases are one entry of a
-dictionary, whose later occurrences are wholly repeated.  Where different phrases share a key, their
-bytes meet in a shard, and the shard is indexed: a Burrows-Wheeler transform of its phrases in the
-order of `length`-byte contexts, compressed to runs, with samples at the ends of runs.  Streaming the
-phrases right to left through the runs gives the match length at each position, long or not, and long
-matches with an earlier start are marked.
+dictionary, whose later occurrences are wholly repeated: most repeats of a corpus are settled there, by
+hash.  Where different phrases share a key, their bytes meet in a shard, and the shard is indexed: a
+Burrows-Wheeler transform in the order of `length`-byte contexts (ties by place), compressed to runs, with
+the match length to the row above sampled where a run begins.  Inside a run a match grows by one byte to
+the left, so the samples, streamed right to left, give the matching statistics of all other positions;
+matches of `length` have an earlier start and are marked.  A key whose phrases outgrow a shard is split:
+its strings are routed one by one by their own hashes, and only the first of each stays.
 """
 
 from __future__ import annotations
@@ -29,7 +31,11 @@ MOST_STRINGS = 1024
 HELD = 3_000_000
 #: Bytes of phrases in a shard, about.
 SHARD_BYTES = 1 << 20
-#: Ids up to which a table of ids is broadcast (16 bytes each, thrice).
+#: Bytes of the phrases under one key from which its strings are routed one by one.
+HOT_BYTES = 1 << 20
+#: Bits of a place in a slice of texts, whose offsets Arrow keeps in 31.
+PLACE_BITS = 31
+#: Ids up to which a table of ids is broadcast (16 bytes each, thrice), and keys.
 BROADCAST_IDS = 1_000_000
 _LAST = (1 << 63) - 1
 _KEY = np.dtype([("m", "<u8"), ("c", "<u8"), ("d", "<i8"), ("t", "<i8"), ("s", "<i8"), ("n", "<i4"), ("r", "u1")])
@@ -63,7 +69,8 @@ def phrases(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
     h = _gram_hashes(data)
-    low = np.uint64((1 << len(h).bit_length()) - 1)
+    # hashes are compared by their upper bits, alike for slices of any size; equal ones by place
+    low = np.uint64((1 << PLACE_BITS) - 1)
     at = np.arange(len(h), dtype=np.uint64)
     left = (_sliding_min(h & ~low | at, length - GRAM + 1) & low).astype(np.int64)
     right = (low - (_sliding_min(h & ~low | (low - at), length - GRAM + 1) & low)).astype(np.int64)
@@ -91,55 +98,100 @@ def phrases(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
     return row[heads], at[heads], count, own[heads], text, again
 
 
+def _string_hashes(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the `length` bytes from each position on."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    up, down = _power(len(data) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LUT[data] * up[: len(data)])])
+    one = mix64((total[length:] - total[:n]) * down[:n])
+    grams, two = _gram_hashes(data), np.zeros(n, np.uint64)
+    for at in {*range(0, length - GRAM + 1, GRAM), length - GRAM}:
+        two = mix64(two * np.uint64(0x9E3779B97F4A7C15) + grams[at : at + n] * np.uint64(2 * at + 1))
+    return one, two
+
+
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of phrases, in the order of `length`-byte contexts.
 
-    Rows are the strings of the phrases, ordered by their bytes, then by `order` and position.  A run is
-    a stretch of rows with one context and one preceding byte.  Kept are the runs' ends and, for strings
-    that the transform reaches from a run's first row or that end a phrase, a sample: whether the
-    string matches the row above.
+    Rows are the strings of the phrases, ordered by their bytes, then by `order` and position.  A run is a
+    stretch of rows with one preceding byte whose left neighbours follow each other as well.  Kept are the
+    runs' first rows and the samples (position, match length with the row above) of the strings that no
+    run's inner row leads to: those left of a run's first row and those that end a phrase.  Match lengths
+    are compared for these positions only.
     """
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: np.ndarray, length: int = LENGTH):
+        self.length = length
         self.strings = sizes - length + 1
         self.first = np.cumsum(self.strings) - self.strings  # number of each phrase's first string
         phrase = np.repeat(np.arange(len(starts)), self.strings)
         inside = np.arange(len(phrase)) - self.first[phrase]
         place = starts[phrase] + inside
-        rank = self._context_ranks(data, place, length)
+        levels = self._levels(data, length)
+        rank = self._context_ranks(levels, place, length)
         by = np.lexsort((inside, order[phrase], rank))
-        before = np.where(inside > 0, data[np.maximum(place - 1, 0)].astype(np.int16), -1)[by]
-        same = np.concatenate([[False], rank[by][1:] == rank[by][:-1]])  # matches the row above
-        inner = same & (before >= 0) & np.concatenate([[False], before[1:] == before[:-1]])
-        self.run_ends = np.flatnonzero(np.append(~inner[1:], True))
+        byte = np.where(inside > 0, data[np.maximum(place - 1, 0)].astype(np.int16), -1)[by]
         row = np.empty(len(by), np.int64)
         row[by] = np.arange(len(by))
-        # the string left of an inner row's matches the one left of the row above; all others are sampled
-        reached = np.zeros(len(by), bool)
-        reached[by[inner] - 1] = True
-        self.sampled = np.flatnonzero(~reached)
-        self.samples = same[row[self.sampled]]
+        inner = np.flatnonzero((byte[1:] == byte[:-1]) & (byte[1:] >= 0)) + 1
+        # LF keeps the order of rows with one preceding byte, unless contexts that end at `length` bytes tie on the left
+        inner = inner[row[by[inner] - 1] == row[by[inner - 1] - 1] + 1]
+        first = np.ones(len(by), bool)
+        first[inner] = False
+        self.runs = np.flatnonzero(first)
+        led = np.zeros(len(by), bool)
+        led[by[inner] - 1] = True
+        self.sampled = np.flatnonzero(~led)
+        at = row[self.sampled]
+        self.samples = np.where(at > 0, self._common(data, levels, place[by[at]], place[by[np.maximum(at - 1, 0)]], length), 0)
 
     @staticmethod
-    def _context_ranks(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-        """Ranks of the `length` bytes from each place on, by doubling sorted prefixes."""
+    def _levels(data: np.ndarray, length: int) -> dict[int, np.ndarray]:
+        """Ranks of the 8, 16, ... bytes from each place on, by doubling."""
         padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
         v = padded.astype(np.uint64)
         for step in (1, 2, 4):
             v = v[:-step] << np.uint64(8 * step) | v[step:]
         n, size = len(data), 8
-        rank = np.unique(v[:n], return_inverse=True)[1].astype(np.int64)
+        out = {8: np.unique(v[:n], return_inverse=True)[1].astype(np.int64)}
         while size * 2 <= length:
+            rank = out[size]
             ahead = np.concatenate([rank[size:], np.zeros(size, np.int64)])[:n]
-            rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+            out[size * 2] = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64)
             size *= 2
-        return np.unique(rank[place] * (n + 1) + rank[place + length - size], return_inverse=True)[1].astype(np.int64)
+        return out
+
+    @staticmethod
+    def _context_ranks(levels: dict[int, np.ndarray], place: np.ndarray, length: int) -> np.ndarray:
+        size = max(levels)
+        rank = levels[size]
+        return np.unique(rank[place] * (len(rank) + 1) + rank[place + length - size], return_inverse=True)[1].astype(np.int64)
+
+    @staticmethod
+    def _common(data: np.ndarray, levels: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+        """Bytes that the strings at places a and b share, `length` at most."""
+        same, n = np.zeros(len(a), np.int64), len(data)
+        for size in (max(levels), *sorted(levels, reverse=True)):
+            rank = levels[size]
+            fits = same + size <= length
+            x, y = np.minimum(a + same, n - 1), np.minimum(b + same, n - 1)
+            same += np.where(fits & (rank[x] == rank[y]), size, 0)
+        for _ in range(8):
+            x, y = np.minimum(a + same, n - 1), np.minimum(b + same, n - 1)
+            same += (same < length) & (data[x] == data[y])
+        return same
+
+    def matching_statistics(self) -> np.ndarray:
+        """Of each string: the bytes it shares with the row above, `length` at most, from the samples right of it."""
+        at = np.arange(int(self.strings.sum()))
+        next_ = np.searchsorted(self.sampled, at)  # the last string of a phrase is sampled
+        return np.minimum(self.length, self.samples[next_] + self.sampled[next_] - at)
 
     def long_matches(self) -> np.ndarray:
-        """Of each string: whether it also starts earlier.  Run interiors carry the match leftwards; samples give the rest."""
-        out = np.ones(int(self.strings.sum()), bool)
-        out[self.sampled] = self.samples
-        return out
+        """Of each string: whether it also starts earlier, which the order puts above it."""
+        return self.matching_statistics() >= self.length
 
 
 def _merged(doc: np.ndarray, of: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -197,36 +249,61 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     bins = 4 * tasks
     span = np.dtype([("d", "<i8"), ("t", "<i8"), ("s", "<i8"), ("e", "<i8")])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Spans of later occurrences, and the first of each by bin."""
+        rows, first = _first_of_each(np.concatenate(held))
+        later = rows[~first]
+        d, t, s, e = _merged(later["d"], later["t"], later["s"], later["s"] + later["n"] + length - 1)
+        if len(d):
+            yield _pack(-1, d, t, s, e)
+        rows = rows[first]
+        where = (rows["m"] >> np.uint64(20)).astype(np.int64) % bins
+        by = np.argsort(where, kind="stable")
+        edges = np.searchsorted(where[by], np.arange(bins + 1))
+        for b in np.flatnonzero(np.diff(edges)):
+            part = rows[by[edges[b] : edges[b + 1]]]
+            yield _pack(int(b), *(part[c] for c in _KEY.names))
+
+    def occurrences(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows, first = _first_of_each(np.concatenate(held))
-            later = rows[~first]
-            d, t, s, e = _merged(later["d"], later["t"], later["s"], later["s"] + later["n"] + length - 1)
-            if len(d):
-                yield _pack(-1, d, t, s, e)
-            rows = rows[first]
-            where = (rows["m"] >> np.uint64(20)).astype(np.int64) % bins
-            by = np.argsort(where, kind="stable")
-            edges = np.searchsorted(where[by], np.arange(bins + 1))
-            for b in np.flatnonzero(np.diff(edges)):
-                part = rows[by[edges[b] : edges[b + 1]]]
-                yield _pack(int(b), *(part[c] for c in _KEY.names))
-
-        for part in slices(batches, "text"):
-            data, ends = buffers(part.column(2))
-            row, start, count, key, text, again = phrases(data, ends, length)
-            if len(row):
-                got = np.zeros(len(row), _KEY)
-                got["m"], got["c"], got["s"], got["n"], got["r"] = key, text, start, count, again
-                got["d"], got["t"] = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1))
-                held.append(got)
-                if sum(map(len, held)) > HELD:
-                    yield from flush()
-                    held.clear()
+        for got in found:
+            held.append(got)
+            if sum(map(len, held)) > HELD:
+                yield from settle(held)
+                held.clear()
         if held:
-            yield from flush()
+            yield from settle(held)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[np.ndarray]:
+            for part in slices(batches, "text"):
+                data, ends = buffers(part.column(2))
+                row, start, count, key, text, again = phrases(data, ends, length)
+                if len(row):
+                    got = np.zeros(len(row), _KEY)
+                    got["m"], got["c"], got["s"], got["n"], got["r"] = key, text, start, count, again
+                    got["d"], got["t"] = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in (0, 1))
+                    yield got
+
+        yield from occurrences(found())
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings of the cuts, each a phrase of its own under its own hash."""
+
+        def found() -> Iterator[np.ndarray]:
+            for part in slices(batches, "text"):
+                data, ends = buffers(part.column(2))
+                m, c = _string_hashes(data, length)
+                ids, ofs = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                for r, cuts in enumerate(part.column(3).to_pylist()):
+                    for x in cuts:
+                        at = np.arange(x["start"], x["end"] - length + 1)
+                        got = np.zeros(len(at), _KEY)
+                        got["m"], got["c"], got["s"], got["n"] = m[ends[r] + at], c[ends[r] + at], at, 1
+                        got["d"], got["t"] = ids[r], ofs[r]
+                        yield got
+
+        yield from occurrences(found())
 
     def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -253,20 +330,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if len(rows):
                 yield rows_of(rows["d"], rows["t"], rows["s"], rows["s"] + rows["n"] + length - 1, rows["m"].astype(np.int64))
 
-    packed = docs.mapInArrow(keys, "bin int, rows int, packed binary")
-    # spans that are settled already go anywhere
-    dealt = packed.repartition(tasks, F.when(F.col("bin") < 0, F.xxhash64("packed")).otherwise(F.col("bin").cast("long")))
-    found = stored(dealt.mapInArrow(dictionary, "doc_id long, of long, start long, end long, key long"), "phrases")
+    kind = "bin int, rows int, packed binary"
+
+    def firsts(packed: DataFrame, name: str) -> DataFrame:
+        # spans that are settled already go anywhere
+        dealt = packed.repartition(tasks, F.when(F.col("bin") < 0, F.xxhash64("packed")).otherwise(F.col("bin").cast("long")))
+        return stored(dealt.mapInArrow(dictionary, "doc_id long, of long, start long, end long, key long"), name)
+
+    def with_cuts(open_: DataFrame) -> DataFrame:
+        """The texts of open phrases with their cuts: a list of one text's own phrases."""
+        wanted = open_.groupBy("doc_id", "of").agg(F.collect_list(F.struct("start", "end", "key")).alias("cuts"))
+        texts, ids = docs.select("doc_id", "of", "text"), open_.select("doc_id", "of").distinct()
+        if ids.count() <= BROADCAST_IDS:
+            texts = texts.join(F.broadcast(ids), ["doc_id", "of"], "left_semi")
+        return texts.join(wanted, ["doc_id", "of"]).select("doc_id", "of", "text", "cuts")
+
+    found = firsts(docs.mapInArrow(keys, kind), "phrases")
     settled, open_ = found.where("key is null").drop("key"), found.where("key is not null")
+    hot = stored(open_.groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("key"), "hot")
+    if n_hot := hot.count():
+        few = F.broadcast(hot) if n_hot <= BROADCAST_IDS else hot
+        own = firsts(with_cuts(open_.join(few, "key", "left_semi")).mapInArrow(strings, kind), "strings")
+        settled, open_ = settled.union(own.where("key is null").drop("key")), open_.join(few, "key", "left_anti").select(*open_.columns)
     size = open_.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     if not size:
         return settled
     shards = max(1, int(size // SHARD_BYTES))
-    wanted = open_.groupBy("doc_id", "of").agg(F.collect_list(F.struct("start", "end", "key")).alias("cuts"))
-    texts = docs.select("doc_id", "of", "text")
-    ids = open_.select("doc_id", "of").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), ["doc_id", "of"], "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -297,7 +386,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             d, t, a, b = _merged(ids[phrase], ofs[phrase], at, at + length)
             yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(a), pa.array(b)], ["doc_id", "of", "start", "end"])
 
-    cuts = texts.join(wanted, ["doc_id", "of"]).select("doc_id", "of", "text", "cuts").mapInArrow(cut, "shard int, doc_id long, of long, start long, bytes binary")
+    cuts = with_cuts(open_).mapInArrow(cut, "shard int, doc_id long, of long, start long, bytes binary")
     return settled.union(cuts.repartition(min(shards, 4 * tasks), "shard").mapInArrow(index, "doc_id long, of long, start long, end long"))
 
 

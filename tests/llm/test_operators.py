@@ -249,7 +249,7 @@ def test_guess_cost_is_linear_and_exact():
         want = quadratic_cost(value)
         assert secret_scan.guess_cost(value) == pytest.approx(want), value
         assert (secret_scan.guess_cost(value, None, 8.0) >= 8.0) == (want >= 8.0), value
-    assert secret_scan.guess_cost("$" * 100_000, None, 8.0) < 8 < secret_scan.guess_cost("aB3$xYz9" * 10_000 + "k", None, 8.0)
+    assert secret_scan.guess_cost("$" * 100_000, None, 8.0) < 8 <= secret_scan.guess_cost("aB3$xYz9" * 10_000 + "k", None, 8.0)
 
 
 @pytest.mark.parametrize("size", [2, 8])
@@ -425,6 +425,39 @@ def test_repeats_match_brute_force(spark):
     assert remove_repeats(docs.limit(0), digests=True).count() == 0
 
 
+def test_run_index_gives_matching_statistics():
+    """Match lengths with the row above, from samples alone, against direct comparison; few runs in repetitive phrases."""
+    from lodestone.llm.repeats import RunIndex
+
+    rnd = random.Random(41)
+    base = bytes(rnd.choices(b"abcd", k=400))
+    for length in (32, 100):
+        parts = [base[rnd.randrange(150) : rnd.randrange(260, 400)] for _ in range(40)] + [b"x" * 200, b"ab" * 90]
+        sizes = np.array([len(x) for x in parts])
+        own = RunIndex(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes, np.arange(len(parts)), length)
+        strings = [x[k : k + length] for x in parts for k in range(len(x) - length + 1)]
+        rows = sorted(range(len(strings)), key=lambda k: (strings[k], k))
+        want = [0] * len(strings)
+        for a, b in zip(rows, rows[1:]):
+            want[b] = next((k for k in range(length) if strings[a][k] != strings[b][k]), length)
+        assert own.matching_statistics().tolist() == want
+        assert len(own.runs) < len(strings) / 4 and len(own.sampled) < len(strings) / 4
+
+
+@pytest.mark.parametrize("hot", [1, 2000, 1 << 20])
+def test_repeats_under_a_hot_key(spark, monkeypatch, hot):
+    """A passage between different ends in every document: its keys are split string by string."""
+    from lodestone.llm import repeats
+
+    monkeypatch.setattr(repeats, "HOT_BYTES", hot)
+    rnd = random.Random(43)
+    prose = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    passage = prose(130)
+    rows = [(k, prose(rnd.randrange(40, 90)) + passage[rnd.randrange(12) :] + prose(rnd.randrange(90))) for k in range(150)]
+    got = {r.doc_id: tuple(r)[1:] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), digests=True).collect()}
+    assert got == brute_repeats(rows) and sum(v[1] for v in got.values()) > 10_000
+
+
 def test_repeats_of_equal_rows_null_ids_and_shared_ids(spark):
     rnd = random.Random(21)
     prose = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
