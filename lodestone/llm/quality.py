@@ -9,8 +9,7 @@ is easy to predict: a document with too few distinct n-grams for its language go
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,9 @@ from pyspark.sql import functions as F
 from .spark import id_text, slices, stored
 from .textcore import buffers
 
-ORDER, BITS = 4, 14
-_MASK = (1 << BITS) - 1
+ORDER, BITS = 4, 13
+#: Languages with trusted text at most: what a 63-bit key leaves beside ORDER characters, and no number for none.
+MAX_LANGUAGES = (1 << 63 - ORDER * BITS) - 1
 #: Rows of the model up to which workers get it whole (16 bytes each); beyond, sharded joins bring each shard its own part.
 WHOLE_MODEL_ROWS = 4_000_000
 #: Trusted ids up to which they are broadcast (8 bytes each); a shuffle join beyond.
@@ -36,11 +36,12 @@ PRIOR_CHARS = 64
 WINDOW = 256
 
 
-def _grams(col: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each character, its n-gram key (language, then ORDER characters) and the rows' offsets.
+def _grams(col: pa.Array, langs: list[str | None], numbers: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each character, its n-gram key (number of the language, then ORDER characters) and the rows' offsets.
 
-    Characters have 14 bits: code points beyond fold onto the upper half.  White space is one class,
-    digits another; each row begins after ORDER - 1 blanks.
+    Characters have 13 bits: code points up to U+0FFF are classes of their own, those beyond (ideographs,
+    Hangul, emoji) fold onto 4,096 further classes, some to a class.  White space is one class, digits
+    another; each row begins after ORDER - 1 blanks.  Languages without trusted text have the number 0.
     """
     data, ends = buffers(col)
     head = (data & 0xC0) != 0x80
@@ -48,9 +49,10 @@ def _grams(col: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarr
     at = np.concatenate([[0], np.cumsum(head)])[ends]
     points[(points >= 48) & (points <= 57)] = 48
     points[(points >= 9) & (points <= 13)] = 32
-    points = np.where(points > 8191, 8192 + points % 8192, points)
+    half = 1 << BITS - 1
+    points = np.where(points >= half, half + points % half, points)
     n, rows = len(points), np.diff(at)
-    tag = np.repeat(np.array([zlib.crc32((x or "").encode()) & 0x7F for x in langs], np.int64), rows)
+    tag = np.repeat(np.array([numbers.get(x or "", 0) for x in langs], np.int64), rows)
     since = np.arange(n) - np.repeat(at[:-1], rows)
     key = tag
     for back in range(ORDER - 1, -1, -1):
@@ -59,25 +61,28 @@ def _grams(col: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarr
     return key, at
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, counts, held = [], [], 0
+def _count_grams(numbers: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held = [], [], 0
 
-    def flush() -> pa.RecordBatch:
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], ["gram", "n"])
+        def flush() -> pa.RecordBatch:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(total)], ["gram", "n"])
 
-    for part in slices(batches, "text"):
-        key, _ = _grams(part.column(1), part.column(2).to_pylist())
-        key, n = np.unique(key, return_counts=True)
-        keys.append(key)
-        counts.append(n)
-        held += len(key)
-        if held > 4_000_000:
+        for part in slices(batches, "text"):
+            key, _ = _grams(part.column(1), part.column(2).to_pylist(), numbers)
+            key, n = np.unique(key, return_counts=True)
+            keys.append(key)
+            counts.append(n)
+            held += len(key)
+            if held > 4_000_000:
+                yield flush()
+                keys, counts, held = [], [], 0
+        if keys:
             yield flush()
-            keys, counts, held = [], [], 0
-    if keys:
-        yield flush()
+
+    return run
 
 
 def _suffix(order: int):
@@ -103,7 +108,7 @@ def train(counts: DataFrame) -> dict[str, DataFrame]:
         # within (0, k), also where counts of counts are degenerate
         discounts = ones.select("lang", *(F.greatest(F.lit(0.1 * k), F.least(F.lit(k - 0.1), k - (k + 1) * y * ratio(k))).alias(f"d{k}") for k in (1, 2, 3)))
         took = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = own.join(F.broadcast(discounts), "lang").withColumn("took", took)  # 128 languages at most
+        own = own.join(F.broadcast(discounts), "lang").withColumn("took", took)  # MAX_LANGUAGES rows at most
         context = own.groupBy("context").agg(F.sum("n").alias("total"), F.sum("took").alias("freed"))
         tables[f"g{order - 1}"] = context.select(F.col("context").alias("gram"), (F.col("freed") / F.col("total")).alias("weight"))
         own = own.join(context, "context").withColumn("top", (F.col("n") - F.col("took")) / F.col("total"))
@@ -192,7 +197,7 @@ def _kinds(key: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.bincount(row[by[new]], minlength=len(at) - 1)
 
 
-def _score_whole(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def _score_whole(docs: DataFrame, tables: dict[str, DataFrame], numbers: dict[str, int]) -> DataFrame:
     arrays = {}
     for name, t in tables.items():
         got = t.toArrow()
@@ -203,13 +208,13 @@ def _score_whole(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = made.setdefault(0, None) or made.update({0: Model(shared.value)}) or made[0]
         for part in slices(batches, "text"):
-            key, at = _grams(part.column(1), part.column(2).to_pylist())
+            key, at = _grams(part.column(1), part.column(2).to_pylist(), numbers)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(at)), pa.array(_losses(model.log_p(key), at)), pa.array(_kinds(key, at), pa.int64())], ["doc_id", "lang", "n", "loss", "kinds"])
 
     return docs.mapInArrow(run, "doc_id long, lang string, n long, loss double, kinds long")
 
 
-def _score_sharded(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def _score_sharded(docs: DataFrame, tables: dict[str, DataFrame], numbers: dict[str, int]) -> DataFrame:
     """Documents and the log probabilities of their distinct grams meet in shards of bounded size."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, int(size // SHARD_BYTES))
@@ -218,9 +223,10 @@ def _score_sharded(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            key, at = _grams(part.column(1), part.column(2).to_pylist())
-            pairs = np.unique(np.stack([np.repeat(np.array(part.column(3).to_pylist(), np.int64), np.diff(at)), key], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int32)), pa.array(pairs[:, 1])], ["shard", "gram"])
+            key, at = _grams(part.column(1), part.column(2).to_pylist(), numbers)
+            kinds, which = np.unique(key, return_inverse=True)
+            pairs = np.unique(np.repeat(part.column(3).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(at)) * max(1, len(kinds)) + which)
+            yield pa.RecordBatch.from_arrays([pa.array((pairs // max(1, len(kinds))).astype(np.int32)), pa.array(kinds[pairs % max(1, len(kinds))])], ["shard", "gram"])
 
     asked = stored(dealt.mapInArrow(wanted, "shard int, gram long").distinct(), "asked")
     grams = asked.select("gram").distinct()
@@ -242,7 +248,7 @@ def _score_sharded(docs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         out = []
         for a in range(0, len(left), 512):
             rows = left.iloc[a : a + 512]
-            key, at = _grams(pa.array(rows["text"], pa.string()), [x if isinstance(x, str) else None for x in rows["lang"]])
+            key, at = _grams(pa.array(rows["text"], pa.string()), [x if isinstance(x, str) else None for x in rows["lang"]], numbers)
             loss = _losses(lp[np.searchsorted(grams, key)] if len(key) else np.zeros(0), at)
             out.append(rows[["doc_id", "lang"]].assign(n=np.diff(at), loss=loss, kinds=_kinds(key, at)))
         import pandas as pd
@@ -267,20 +273,27 @@ def classify(
     upper: float = UPPER,
     spread: float = SPREAD,
 ) -> DataFrame:
-    """One row per row of `docs`: doc_id, lang, n_chars, perplexity, threshold, keep.
-
-    trusted: one column of ids.  Null and empty texts have no perplexity and are not kept; a language
-    without trusted text has no threshold, and its documents are kept; a null language is one of its
-    own; repeated rows count and are scored each.
+    """One row per row of `docs`: doc_id, lang, n_chars, perplexity, settled, threshold, keep.
+
+    trusted: one column of ids.  perplexity is the text's own; settled is that of the text with
+    PRIOR_CHARS characters of its language's median perplexity added, which threshold holds for.
+    Null and empty texts have no perplexity and are not kept; a language without trusted text has no
+    threshold, and its documents are kept; a null language is the empty one; repeated rows count and are
+    scored each; null ids are scored like others and never trusted; no rows give none; extra columns are
+    ignored whatever their names.  More than MAX_LANGUAGES languages with trusted text are an error.
     """
     base = id_text(docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("lang")), "i", "t", "lang")
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     good = base.join(ids, "doc_id", "left_semi")
-    tables = train(good.mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    named = [r[0] for r in good.select(F.coalesce("lang", F.lit(""))).distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if len(named) > MAX_LANGUAGES:
+        raise ValueError(f"trusted text has more than {MAX_LANGUAGES} languages")
+    numbers = {x: k + 1 for k, x in enumerate(sorted(named))}
+    tables = train(good.mapInArrow(_count_grams(numbers), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     rows = sum(t.count() for t in tables.values())
-    scores = stored((_score_whole if rows <= whole_model_rows else _score_sharded)(base, tables), "scores")
+    scores = stored((_score_whole if rows <= whole_model_rows else _score_sharded)(base, tables, numbers), "scores")
     language = F.coalesce("lang", F.lit(""))
     mean = F.col("loss") / F.col("n")
     seen = scores.where("n > 0").join(ids, "doc_id", "left_semi").groupBy(language.alias("of")).agg(F.percentile_approx(mean, 0.5, 100_000).alias("mid"))
@@ -298,7 +311,8 @@ def classify(
         "doc_id",
         "lang",
         F.col("n").alias("n_chars"),
-        F.exp("score").alias("perplexity"),
+        F.when(F.col("n") > 0, F.exp(mean)).alias("perplexity"),
+        F.exp("score").alias("settled"),
         F.exp(limit).alias("threshold"),
         F.coalesce((F.col("n") > 0) & F.coalesce(kept, F.lit(True)), F.lit(False)).alias("keep"),
     )

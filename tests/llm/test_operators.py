@@ -509,7 +509,7 @@ def test_kneser_ney_sums_to_one(spark):
     from lodestone.llm.quality import BITS, ORDER, Model, _count_grams, train
 
     docs = frame(spark, ["abracadabra abba", "cabal abaca"], lang=["a", "a"]).select("doc_id", "text", "lang")
-    tables = train(docs.mapInArrow(_count_grams, "gram long, n long").groupBy("gram").sum("n").toDF("gram", "n"))
+    tables = train(docs.mapInArrow(_count_grams({"a": 1}), "gram long, n long").groupBy("gram").sum("n").toDF("gram", "n"))
     model = Model({k: tuple(c.to_numpy() for c in t.toArrow().columns) for k, t in tables.items()})
     grams = tables[f"p{ORDER}"].first().gram
     for context in (grams >> BITS, (grams >> BITS) ^ 5):
@@ -517,6 +517,48 @@ def test_kneser_ney_sums_to_one(spark):
         assert np.exp(model.log_p(keys)).sum() == pytest.approx(1.0)
 
 
+def brute_kneser_ney(texts, order, size):
+    """Probability of a character after a context, by the recursive definition over plain dictionaries."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        padded = " " * (order - 1) + t
+        counts[order].update(padded[k : k + order] for k in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts = [None]
+    for k in range(1, order + 1):
+        n = [0, *(sum(c == m for c in counts[k].values()) for m in (1, 2, 3, 4))]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        discounts.append([0.0, *(max(0.1 * m, min(m - 0.1, m - (m + 1) * y * n[m + 1] / max(n[m], 1))) for m in (1, 2, 3))])
+
+    def p(context, c, k):
+        if not k:
+            return 1 / size
+        own = {g[-1]: n for g, n in counts[k].items() if g[:-1] == context}
+        if not own:
+            return p(context[1:], c, k - 1)
+        took = lambda n: discounts[k][min(n, 3)]
+        return (max(own.get(c, 0) - took(own.get(c, 0)), 0) + sum(map(took, own.values())) * p(context[1:], c, k - 1)) / sum(own.values())
+
+    return p
+
+
+def test_perplexity_matches_brute_force(spark):
+    """Languages of one table have models of their own, in both ways of scoring."""
+    from lodestone.llm.quality import BITS, ORDER
+
+    texts = {"en": ["abracadabra abba", "cabal abaca", "a cab"], "ro": ["zyzzyx yzy", "xyz zyx yy"], "pt": ["abba xyz"]}
+    rows = [(t, lang) for lang, own in texts.items() for t in own] + [("abra xyz", lang) for lang in texts]
+    docs = frame(spark, [t for t, _ in rows], lang=[x for _, x in rows])
+    trusted = spark.createDataFrame([(k,) for k in range(6)], "i long")
+    for limit in (0, 10**6):
+        got = {r.doc_id: r for r in classify(docs, trusted, whole_model_rows=limit).collect()}
+        for k, (t, lang) in enumerate(rows):
+            p, padded = brute_kneser_ney(texts[lang], ORDER, 1 << BITS), " " * (ORDER - 1) + t
+            loss = -sum(np.log(p(padded[j : j + ORDER - 1], padded[j + ORDER - 1], ORDER)) for j in range(len(t)))
+            assert got[k].perplexity == pytest.approx(np.exp(loss / len(t))), (k, limit)
+
+
 def test_language_evidence(spark):
     assert declared_language('<HTML class=x lang="de-AT">') == "de" and declared_language("<p>") == ""
     assert declared_language('<meta http-equiv="content-language" content="fr">') == "fr"
