@@ -21,6 +21,10 @@ from .spark import id_text, slices
 
 #: Width and most rows of a frame when bytes are stored as 8-bit samples.
 WIDTH, ROWS = 64, 256
+#: Pixels of a screen or frame at most (64 MB as RGBA); larger ones are an error of their stream.
+MOST_PIXELS = 1 << 24
+#: Bytes of pictures that `media_frames` holds before it passes rows on.
+HELD_BYTES = 8 << 20
 
 
 class Frame(NamedTuple):
@@ -197,8 +201,8 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def frames(data: bytes) -> Iterator[Frame]:
-    """The composed frames of a GIF in order."""
+def frames(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """The composed frames of a GIF in order; ValueError, IndexError or struct.error where the stream is broken."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     wide, tall, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
@@ -206,6 +210,8 @@ def frames(data: bytes) -> Iterator[Frame]:
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
         shared, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
+    if wide * tall > most_pixels:
+        raise ValueError("the screen has too many pixels")
     canvas = np.zeros((tall, wide, 4), np.uint8)
     time = 0
     disposal, delay, clear_index = 0, 0, None
@@ -228,6 +234,10 @@ def frames(data: bytes) -> Iterator[Frame]:
         if palette is None:
             raise ValueError("a frame without a palette")
         size = data[at]
+        if not 2 <= size <= 8:
+            raise ValueError("a code size outside 2 to 8")
+        if w * h > most_pixels:
+            raise ValueError("a frame has too many pixels")
         stream, at = _blocks(data, at + 1)
         got = np.frombuffer(lzw_decode(stream, size, w * h), np.uint8)
         pixels = np.zeros(w * h, np.uint8)
@@ -264,27 +274,38 @@ def histogram(canvas: np.ndarray, bins: int = 16) -> list[int]:
     return [int(x) for c in range(3) for x in np.bincount(opaque[:, c].astype(np.int64) * bins // 256, minlength=bins)]
 
 
-def media_frames(media: DataFrame, id_col: str, gif_col: str) -> DataFrame:
+def media_frames(media: DataFrame, id_col: str, gif_col: str, most_pixels: int = MOST_PIXELS) -> DataFrame:
     """One row per frame of each GIF: id, frame, start_ms, delay_ms, width, height, rgba, colours, error.
 
-    Null media give no rows; a broken stream gives one row with `error` and the frames before it.
+    Null media give no rows; a broken stream gives one row with `error` after the frames before it, as do
+    screens and frames of more than `most_pixels`.  Repeated rows give repeated rows, null ids rows with a
+    null id; an empty table gives none; extra columns are ignored whatever their names.
     """
     kind = "id long, frame int, start_ms long, delay_ms long, width int, height int, rgba binary, colours array<long>, error string"
+    names = [x.split()[0] for x in kind.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+
+    def pictures(i: int | None, data: bytes) -> Iterator[tuple]:
+        k = 0
+        try:
+            for k, f in enumerate(frames(data, most_pixels), 1):
+                yield i, k - 1, f.start_ms, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), histogram(f.canvas), None
+        except (ValueError, LookupError, OverflowError, struct.error) as e:
+            yield i, k, *[None] * 6, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in kind.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names)
         for batch in batches:
+            held, size = [], 0
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows, error = [], None
-                try:
-                    for k, f in enumerate(frames(data.as_py())):
-                        rows.append((i, k, f.start_ms, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), histogram(f.canvas), None))
-                except (ValueError, IndexError, struct.error) as e:
-                    error = str(e)
-                if error is not None:
-                    rows.append((i, len(rows), None, None, None, None, None, None, error))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(types)], names)
+                for row in pictures(i, data.as_py()):
+                    held.append(row)
+                    size += len(row[6] or b"") + 64
+                    if size > HELD_BYTES:
+                        yield made(held)
+                        held, size = [], 0
+            if held:
+                yield made(held)
 
     return media.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{gif_col}`")).where(F.col(f"`{gif_col}`").isNotNull()).mapInArrow(run, kind)
 

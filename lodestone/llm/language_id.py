@@ -21,6 +21,8 @@ from .spark import id_text, slices, stored
 from .textcore import _LOWER, buffers
 
 BITS = 14
+#: Distinct labels of labelled text at most: their models are gathered on the driver (16,384 numbers each).
+MAX_LANGUAGES = 512
 #: Trigrams overlap and repeat: the text's log likelihood counts as this share, of this many trigrams at most.
 TEMPER, TEXT_GRAMS = 0.25, 400
 #: Pseudo-counts with which each level of the host hierarchy leans on the level above it.
@@ -28,22 +30,43 @@ LEAN = 5.0
 #: Hosts up to which their table is broadcast; beyond, a join salted by SALTS.
 BROADCAST_HOSTS, SALTS = 50_000, 16
 
-_HIDDEN = re.compile(r"<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_HIDDEN = re.compile(r"<(script|style|noscript)\b|<!--", re.I)
+_END = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript")} | {"": re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
-_META = re.compile(r"<meta\b(?=[^>]*content-language)[^>]*?\bcontent\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
+_HEAD = re.compile(r"<(html|meta)\b([^<>]*)", re.I)
+_LANG = re.compile(r"\b(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
+_CONTENT = re.compile(r"\bcontent\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
 _HOST = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 def page_text(html: str) -> str:
-    """The visible text of a page."""
-    return _TAG.sub(" ", _HIDDEN.sub(" ", html))
+    """The visible text of a page, in one pass: scripts, styles and comments that end, then tags that end."""
+    out, at, endless = [], 0, set()
+    for m in _HIDDEN.finditer(html):
+        kind = (m[1] or "").lower()
+        if m.start() < at or kind in endless:
+            continue
+        end = _END[kind].search(html, m.end())
+        if not end:
+            endless.add(kind)
+            continue
+        out.append(html[at : m.start()])
+        at = end.end()
+    shown = " ".join([*out, html[at:]])
+    last = shown.rfind(">") + 1  # no tag ends behind it
+    return _TAG.sub(" ", shown[:last]) + shown[last:]
 
 
 def declared_language(html: str) -> str:
-    """Primary subtag of the markup's language; empty if none."""
-    m = _DECLARED.search(html) or _META.search(html)
-    return m.group(1).lower() if m else ""
+    """Primary subtag of the markup's language, of the page or else of its meta tags; empty if none."""
+    meta = ""
+    for m in _HEAD.finditer(html):
+        if m[1].lower() == "html":
+            if found := _LANG.search(m[2]):
+                return found[1].lower()
+        elif not meta and "content-language" in m[2].lower() and (found := _CONTENT.search(m[2])):
+            meta = found[1].lower()
+    return meta
 
 
 def host_levels(url: str) -> tuple[str, str, str]:
@@ -70,7 +93,8 @@ def _trigrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities of the 1 << BITS trigram hashes, from all labelled documents.
 
-    Null and empty languages are left out; the result's size is that of the label set alone.
+    Null and empty languages are left out; the result's size is that of the label set alone, and more than
+    MAX_LANGUAGES labels are an error.
     """
     base = id_text(docs.select(F.lit(0).alias("i"), F.col(f"`{text_col}`").alias("t"), F.lower(F.col(f"`{lang_col}`").cast("string")).alias("lang")), "i", "t", "lang").where("lang <> ''")
 
@@ -87,6 +111,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some), pa.array(n[some])], ["lang", "gram", "n"])
 
+    if base.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"labelled text has more than {MAX_LANGUAGES} languages")
     rows = base.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r[0] for r in rows})
     table = np.full((len(langs), 1 << BITS), 0.5)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,14 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
+    """The cluster's shared folder; a folder of our own only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,10 +44,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Remove every table written by `stored`; frames that read them end with it."""
-    while _scratch:
-        spark, path = _scratch.pop()
+def marked() -> int:
+    """A mark for `release`: tables written from now on."""
+    return len(_scratch)
+
+
+def release(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove the tables written by `stored` after a mark, but for those that `keep` reads; frames that read them end with it."""
+    kept = set(keep.inputFiles()) if keep is not None else set()
+    held = _scratch[since:]
+    del _scratch[since:]
+    for spark, path in held:
+        if any(path.rsplit("/", 1)[1] in f for f in kept):
+            _scratch.append((spark, path))
+            continue
         try:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -52,18 +65,22 @@ def release() -> None:
             return
 
 
+def offsets(col: pa.Array) -> np.ndarray:
+    """Byte offsets of a string or binary column's rows, of either width."""
+    wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
+    return np.frombuffer(col.buffers()[1], np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+
+
 atexit.register(release)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a slice have `limit` bytes, or it is one row."""
-    import numpy as np
-
     for batch in batches:
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+        ends = offsets(col)
         at = 0
         while at < len(col):
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)

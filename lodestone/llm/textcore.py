@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .spark import offsets
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -42,7 +44,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and the offsets of its rows."""
-    ends = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    ends = offsets(col)
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     return data, ends - ends[0]
 

@@ -286,6 +286,100 @@ def test_frames_follow_disposal_and_transparency(spark):
     assert sum(rows[0].colours) == 3 * 16
 
 
+def plain_gif(data):
+    """Composed frames as lists of RGBA tuples, read bit by bit and pixel by pixel."""
+    wide, tall, flags, at = data[6] + 256 * data[7], data[8] + 256 * data[9], data[10], 13
+    shared, screen, shown, control = None, {}, [], (0, None)
+    if flags & 128:
+        n = 2 << (flags & 7)
+        shared, at = [tuple(data[at + 3 * k : at + 3 * k + 3]) for k in range(n)], at + 3 * n
+
+    def blocks(at):
+        out = b""
+        while data[at]:
+            out, at = out + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        return out, at + 1
+
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            label = data[at + 1]
+            body, at = blocks(at + 2)
+            if label == 0xF9:
+                control = body[0] >> 2 & 7, body[3] if body[0] & 1 else None
+            continue
+        x0, y0, w, h = (data[at + k] + 256 * data[at + k + 1] for k in (1, 3, 5, 7))
+        own, at, palette = data[at + 9], at + 10, shared
+        if own & 128:
+            n = 2 << (own & 7)
+            palette, at = [tuple(data[at + 3 * k : at + 3 * k + 3]) for k in range(n)], at + 3 * n
+        size = data[at]
+        stream, at = blocks(at + 1)
+        bits = [b >> k & 1 for b in stream for k in range(8)]
+        pixels, table, width, prev, i = [], None, size + 1, None, 0
+        while i + width <= len(bits):
+            code, i = sum(bits[i + k] << k for k in range(width)), i + width
+            if code == 1 << size:
+                table, width, prev = [[v] for v in range(1 << size)] + [None, None], size + 1, None
+                continue
+            if code == (1 << size) + 1:
+                break
+            entry = table[code] if code < len(table) else prev + prev[:1]
+            pixels += entry
+            if prev is not None and len(table) < 4096:
+                table.append(prev + entry[:1])
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+            prev = entry
+        rows = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, h, step)] if own & 64 else range(h)
+        before = dict(screen)
+        for k, v in enumerate(pixels[: w * h]):
+            if v != control[1]:
+                screen[x0 + k % w, y0 + rows[k // w]] = (*palette[v], 255)
+        shown.append([screen.get((x, y), (0, 0, 0, 0)) for y in range(tall) for x in range(wide)])
+        if control[0] == 2:
+            screen = {p: v for p, v in screen.items() if not (x0 <= p[0] < x0 + w and y0 <= p[1] < y0 + h)}
+        elif control[0] == 3:
+            screen = before
+        control = 0, None
+    return shown
+
+
+def random_gif(rnd):
+    """Frames with every disposal, transparent colours, interlace and palettes of their own."""
+    w, h = rnd.randrange(1, 30), rnd.randrange(1, 30)
+    two = lambda *v: b"".join(x.to_bytes(2, "little") for x in v)
+    out = [b"GIF89a", two(w, h), bytes([0x80 | 2, 0, 0]), bytes(rnd.choices(range(256), k=24))]
+    for _ in range(rnd.randrange(1, 5)):
+        x, y = rnd.randrange(w), rnd.randrange(h)
+        a, b = rnd.randrange(1, w - x + 1), rnd.randrange(1, h - y + 1)
+        own = rnd.choice([0, 0x80 | 1]) | rnd.choice([0, 0x40])
+        stream = gif.lzw_encode(bytes(rnd.choices(range(4 if own & 0x80 else 8), k=a * b)), 3)
+        out += [b"\x21\xf9\x04", bytes([rnd.randrange(4) << 2 | rnd.randrange(2)]), two(rnd.randrange(9)), bytes([rnd.randrange(4), 0]), b"\x2c", two(x, y, a, b), bytes([own])]
+        out += [bytes(rnd.choices(range(256), k=12)) if own & 0x80 else b"", b"\x03"]
+        out += [bytes([len(stream[k : k + 255])]) + stream[k : k + 255] for k in range(0, len(stream), 255)] + [b"\0"]
+    return b"".join(out) + b"\x3b"
+
+
+def test_frames_match_a_plain_decoder(spark):
+    rnd = random.Random(51)
+    made = [random_gif(rnd) for _ in range(60)]
+    for data in made:
+        want = plain_gif(data)
+        got = list(gif.frames(data))
+        assert [f.canvas.reshape(-1, 4).tolist() for f in got] == [[list(p) for p in s] for s in want]
+    broken = []
+    for data in made * 4:  # truncated and changed streams give frames or an error, never a crash
+        bad = bytearray(data[: rnd.randrange(len(data))] if rnd.random() < 0.3 else data)
+        for _ in range(rnd.randrange(4)):
+            if bad:
+                bad[rnd.randrange(len(bad))] = rnd.randrange(256)
+        broken.append(bad)
+    broken += [bytearray(b"GIF89a\xff\xff\xff\xff\0\0\0;"), bytearray(), bytearray(animated()[:25] + b"\0" * 9)]
+    rows = gif.media_frames(spark.createDataFrame([(k, x, "z") for k, x in enumerate(broken)], "frame long, g binary, error string"), "frame", "g").collect()
+    assert {r.id for r in rows if r.error} and max(Counter(r.id for r in rows if r.error).values()) == 1
+    assert gif.media_frames(spark.createDataFrame([], "i long, g binary"), "i", "g").count() == 0
+
+
 @pytest.mark.parametrize("compress", [False, True])
 def test_stored_bytes_come_back(spark, compress):
     texts = [None, "", "x", "y" * 64, "é" * 40000, "x"]
@@ -559,6 +653,30 @@ def test_perplexity_matches_brute_force(spark):
             assert got[k].perplexity == pytest.approx(np.exp(loss / len(t))), (k, limit)
 
 
+def test_page_text_is_linear():
+    from lodestone.llm.language_id import page_text
+
+    assert page_text("a<!-- x -->b<SCRIPT>q</script >c<p>d<style>e") == "a b c d e"
+    for unit in ("<script ", "<!-- ", "<html ", "<meta ", "<", "</script "):
+        many = unit * 200_000
+        assert page_text(many).startswith(unit[:1]) and declared_language(many) == ""
+
+
+def test_wide_offsets_and_odd_pieces(spark):
+    from lodestone.llm.sentence_pieces import Pieces
+    from lodestone.llm.textcore import buffers
+
+    texts = ["ab", "", "cde é"]
+    for kind in (pa.string(), pa.large_string()):
+        data, ends = buffers(pa.array(["x", *texts], kind).slice(1))
+        assert [bytes(data[a:b]).decode() for a, b in zip(ends, ends[1:])] == texts
+    own = Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    want = list(own.digests(["alpha beta", "beta gamma"]))
+    own.table["beta"] = ""
+    own.odd.add("beta")
+    assert list(own.digests(["alpha beta", "beta gamma"])) == want
+
+
 def test_language_evidence(spark):
     assert declared_language('<HTML class=x lang="de-AT">') == "de" and declared_language("<p>") == ""
     assert declared_language('<meta http-equiv="content-language" content="fr">') == "fr"
