@@ -18,7 +18,7 @@ from lodestone.llm.quality import classify, trusted_ids
 from lodestone.llm.queries import vocabulary
 from lodestone.llm.repeats import remove_repeats
 from lodestone.llm.secret_scan import corpus_words, secret_spans
-from lodestone.llm.spark import stored
+from lodestone.llm.spark import marked, release, stored
 
 SECRET_MARK = "[secret]"
 
@@ -78,8 +78,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over the documents of `sf_dir`, each result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = marked()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs, name)
+            release(since, docs)  # the stage's own tables, and its input
     return docs
