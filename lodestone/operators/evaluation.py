@@ -54,10 +54,8 @@ def pattern_score(answers: DataFrame, pass_at: float = 0.5) -> DataFrame:
 
 def pass_rates(scored: DataFrame) -> DataFrame:
     """(category, difficulty, n, rate) by category, by difficulty and over all, in one aggregation."""
-    scored.createOrReplaceTempView("_scored")
-    return scored.sparkSession.sql(
-        "SELECT category, difficulty, count(*) AS n, avg(CASE WHEN passed THEN 1.0D ELSE 0.0D END) AS rate FROM _scored GROUP BY GROUPING SETS ((category), (difficulty), ())"
-    )
+    sets = [[F.col("category")], [F.col("difficulty")], []]
+    return scored.groupingSets(sets, "category", "difficulty").agg(F.count("*").alias("n"), F.avg(F.col("passed").cast("double")).alias("rate"))
 
 
 def gate(rate: float, least: float = 0.6) -> None:

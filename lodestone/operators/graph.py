@@ -17,6 +17,8 @@ EXPORTS = (
 EXPORT_LIST = r"^export\s+\{([^}]+)\}"
 EXPORT_DEFAULT = r"^export\s+default"
 FILE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
+#: Files of an expansion up to which its frontier is broadcast.
+BROADCAST_FILES = 100_000
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -116,8 +118,9 @@ def expand(rows: DataFrame, start: DataFrame, max_hops: int = 2, include_imports
     """Breadth-first expansion: (filepath, hop, rank) in queue order, start files first and never cut.
 
     start: (filepath, rank).  Each hop is one join of a frontier of max_files rows at most with the
-    edges, so that the frontier is what is broadcast; the hops are unrolled.
+    edges; the frontier is broadcast while that bound is small.  The hops are unrolled.
     """
+    few = F.broadcast if max_files <= BROADCAST_FILES else lambda x: x
     seen = start.select("filepath", F.lit(0).alias("hop"), F.col("rank").cast("long").alias("rank"))
     frontier = seen
     first = start.count()  # a query's start files are few
@@ -130,8 +133,8 @@ def expand(rows: DataFrame, start: DataFrame, max_hops: int = 2, include_imports
         if not near or first >= max_files:
             break
         around = near[0] if len(near) == 1 else near[0].unionByName(near[1])
-        met = around.join(F.broadcast(frontier.select("filepath", "rank")), "filepath").select(F.col("to").alias("filepath"), F.struct("rank", "way", "seq", F.col("to").alias("tie")).alias("at"))
-        met = met.join(F.broadcast(seen.select("filepath")), "filepath", "left_anti").groupBy("filepath").agg(F.min("at").alias("at"))
+        met = around.join(few(frontier.select("filepath", "rank")), "filepath").select(F.col("to").alias("filepath"), F.struct("rank", "way", "seq", F.col("to").alias("tie")).alias("at"))
+        met = met.join(few(seen.select("filepath")), "filepath", "left_anti").groupBy("filepath").agg(F.min("at").alias("at"))
         met = met.orderBy("at").limit(max_files)  # each task keeps as many
         frontier = met.select("filepath", F.lit(hop).alias("hop"), (F.row_number().over(Window.orderBy("at")) + hop * 1_000_000).cast("long").alias("rank"))
         seen = seen.unionByName(frontier)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ LIMITS = {"top_k": (1, 50), "max_hops": (0, 5), "max_expanded_chunks": (1, 100)}
 RERANKERS = ("none", "bge", "llm")
 MAX_QUERY = 2000
 EXCERPT, PENALTY = 500, 0.1
+#: Positions of a model's answer that are read; more than any request's hits.
+MAX_PICKS = 200
 
 
 @dataclass(frozen=True)
@@ -61,15 +64,26 @@ def graph_stage(hits: DataFrame, chunks: DataFrame, edges: DataFrame, o: Options
     return near.join(F.broadcast(scores), "id", "left").withColumn("score", F.coalesce("_score", F.lit(0.0))).drop("_score").withColumn("stage", F.lit("graph"))
 
 
+def first_k(hits: DataFrame, k: int) -> DataFrame:
+    """The first k unchanged: what a failed reranker leaves."""
+    return hits.where(F.col("rank") <= k).withColumn("stage", F.lit("reranked"))
+
+
 def rerank_by(hits: DataFrame, scorer: Callable[[str, DataFrame], DataFrame], query: str, k: int) -> DataFrame:
-    """The best k by a scorer that gives (id, rerank_score); missing scores are 0; k or fewer hits stay as they are."""
-    n = F.count("*").over(Window.partitionBy())
-    rows = hits.join(scorer(query, hits), "id", "left").withColumn("_n", n)
-    value = F.when(F.col("_n") <= k, F.col("score")).otherwise(F.coalesce("rerank_score", F.lit(0.0)))
-    order = [F.when(F.col("_n") <= k, F.lit(0.0)).otherwise(-value), F.col("rank")]
-    stage = F.when(F.col("_n") <= k, F.col("stage")).otherwise(F.lit("reranked"))
-    out = rows.withColumn("score", value).withColumn("stage", stage).withColumn("_at", F.row_number().over(Window.orderBy(*order)))
-    return out.where(F.col("_at") <= k).withColumn("rank", F.col("_at")).drop("_n", "_at", "rerank_score")
+    """The best k by a scorer that gives (id, rerank_score); missing scores are 0, ties keep their order.
+
+    k or fewer hits stay as they are; a scorer that fails leaves the first k.
+    """
+    try:
+        scores = scorer(query, hits)
+    except Exception:  # a model's failures are of any kind
+        return first_k(hits, k)
+    few = F.count("*").over(Window.partitionBy()) <= k  # hits are max_expanded_chunks at most
+    rows = hits.join(scores, "id", "left").withColumn("_few", few)
+    value = F.when(F.col("_few"), F.col("score")).otherwise(F.coalesce("rerank_score", F.lit(0.0)))
+    order = [F.when(F.col("_few"), F.lit(0.0)).otherwise(-value), F.col("rank")]
+    out = rows.withColumn("score", value).withColumn("stage", F.lit("reranked")).withColumn("_at", F.row_number().over(Window.orderBy(*order)))
+    return out.where(F.col("_at") <= k).withColumn("rank", F.col("_at")).drop("_few", "_at", "rerank_score")
 
 
 def passage(path: Column, start: Column, end: Column, kind: Column, name: Column, content: Column) -> Column:
@@ -91,25 +105,70 @@ def rank_answer(answer: str, n: int, k: int) -> list[int]:
 
 
 def rerank_by_answer(hits: DataFrame, answer: str, k: int) -> DataFrame:
-    """Hits in the order of a model's answer, with scores falling by a tenth; the first k where it is unusable."""
-    n = hits.count()
-    order = rank_answer(answer, n, k)
-    if n <= k or not order:
-        return hits.where(F.col("rank") <= k)
-    picks = hits.sparkSession.createDataFrame([(i + 1, p + 1) for p, i in enumerate(order)], "rank int, place int")
-    rows = hits.join(F.broadcast(picks), "rank")
-    return rows.withColumn("score", 1 - PENALTY * (F.col("place") - 1)).withColumn("rank", F.col("place")).drop("place").withColumn("stage", F.lit("reranked"))
+    """Hits in the order of a model's answer, with scores falling by a tenth; the first k where it is unusable.
 
-
-def retrieve(store: DataFrame, edges: DataFrame | None, query: Sequence[float], text: str = "", options: Options | None = None, scorer=overlap_scorer) -> DataFrame:
+    Positions beyond the hits don't count; k or fewer hits stay as they are.
+    """
+    picks = F.array(*(F.lit(i + 1) for i in rank_answer(answer, sys.maxsize, MAX_PICKS))).cast("array<int>")
+    n = F.count("*").over(Window.partitionBy())
+    valid = F.slice(F.filter("_picks", lambda i: i <= F.col("_n")), 1, k)
+    rows = hits.withColumn("_picks", picks).withColumn("_n", n).withColumn("_picks", valid)
+    place = F.array_position("_picks", F.col("rank").cast("int"))
+    as_is = (F.col("_n") <= k) | (F.size("_picks") == 0)
+    rows = rows.withColumn("_place", F.when(as_is, F.col("rank").cast("long")).otherwise(place)).where((F.col("_place") > 0) & (F.col("_place") <= k))
+    score = F.when(as_is, F.col("score")).otherwise(1 - PENALTY * (F.col("_place") - 1))
+    return rows.withColumn("score", score).withColumn("rank", F.col("_place").cast("int")).withColumn("stage", F.lit("reranked")).drop("_picks", "_n", "_place")
+
+
+def prompt(query: str, hits: DataFrame) -> str:
+    """The request to a model that ranks: numbered excerpts of the hits, which are 100 at most."""
+    rows = hits.orderBy("rank").select("filepath", "name", F.substring("content", 1, EXCERPT).alias("content")).collect()
+    listed = "\n\n".join(f"[{k}] {r.filepath}: {r.name}\n{r.content}" for k, r in enumerate(rows))
+    return f"Rank the code by relevance to the query. Answer with a JSON array of its numbers, best first.\n\nQuery: {query}\n\n{listed}"
+
+
+def rerank(hits: DataFrame, query: str, o: Options, scorer=overlap_scorer, ask: Callable[[str], str] | None = None) -> DataFrame:
+    """By the reranker's name: none, bge by the scorer, llm by what `ask` says to the prompt; a failure leaves the first k."""
+    if o.reranker == "none":
+        return hits
+    if o.reranker == "bge":
+        return rerank_by(hits, scorer, query, o.rerank_top_k)
+    try:
+        if ask is None:
+            raise ValueError("no model to ask")
+        answer = ask(prompt(query, hits))
+    except Exception:  # a model's failures are of any kind
+        return first_k(hits, o.rerank_top_k)
+    return rerank_by_answer(hits, answer, o.rerank_top_k)
+
+
+def retrieve(store: DataFrame, edges: DataFrame | None, query: Sequence[float], text: str = "", options: Options | None = None, scorer=overlap_scorer, ask=None) -> DataFrame:
     """One lazy plan: vector top-k, graph expansion, rerank; an empty vector stage empties all."""
     o = options or Options()
     hits = vector_stage(store, query, o)
     if o.expand_graph and edges is not None:
         hits = graph_stage(hits, store, edges, o)
-    if o.reranker != "none":
-        hits = rerank_by(hits, scorer, text, o.rerank_top_k)
-    return hits
+    return rerank(hits, text, o, scorer, ask)
+
+
+#: What the service returns of a chunk, as far as the store has it.
+RESULT = ("filepath", "start_line", "end_line", "node_type", "name", "content", "score", "language")
+
+
+def search(store: DataFrame, edges: DataFrame | None, query: str, embed: Callable[[str], Sequence[float]], given: dict | None = None, scorer=overlap_scorer, ask=None) -> DataFrame:
+    """The service: from a query's text to ranked results (RESULT, rank, stage); ValueError for a bad request.
+
+    Options are the service's own with the given ones over them.  Without a graph, or when expansion is
+    turned off, it is the vector stage alone with the reranker's k.
+    """
+    if error := validate(query, given or {}):
+        raise ValueError(error)
+    o = Options(**({"reranker": "llm", "max_expanded_chunks": 15} | (given or {})))
+    if edges is None or not o.expand_graph:
+        hits = vector_stage(store, embed(query), replace(o, top_k=o.rerank_top_k))
+    else:
+        hits = retrieve(store, edges, embed(query), query, o, scorer, ask)
+    return hits.select(*(c for c in RESULT if c in hits.columns), "rank", "stage").orderBy("rank")
 
 
 def stage_counts(results: DataFrame) -> DataFrame:

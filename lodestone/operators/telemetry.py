@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ LLM_PRICES = {
     "gpt-4o-mini": (0.15, 0.60), "gpt-4-turbo": (10.0, 30.0), "gemini-1.5-pro": (1.25, 5.0), "gemini-1.5-flash": (0.075, 0.30),
 }
 DEFAULT_EMBEDDING, DEFAULT_INPUT, DEFAULT_OUTPUT = 0.02, 3.0, 15.0
-RING = 1000
+#: Traces that are kept, and those that performance is read from.
+RING, PERFORMANCE = 1000, 500
+DAY_MS = 24 * 60 * 60 * 1000
 
 
 def prices(spark: SparkSession) -> DataFrame:
@@ -28,14 +32,8 @@ def with_costs(usage: DataFrame, embedding_model: str = "text-embedding-3-small"
     return rows.withColumn("total_cost", F.col("embedding_cost") + F.col("llm_input_cost") + F.col("llm_output_cost")).drop("input_price", "output_price")
 
 
-def floor_percentile(values: Column, q: float) -> Column:
-    """The element at floor(n * q) of the sorted values, 0 if there is none; within one group's bounded list."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.coalesce(F.get(ordered, F.floor(F.size(ordered) * F.lit(q)).cast("int")), F.lit(0.0))
-
-
 def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The same elements without any list: values are counted, and running counts find the places.
+    """The elements at floor(n * share) of each group's sorted values: values are counted, and running counts find the places.
 
     Groups may be of any size: counts combine before the shuffle, and a hot group costs its distinct values.
     """
@@ -51,8 +49,13 @@ def latency(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["duration_ms"], F.lit(0)))
 
 
-def metrics(traces: DataFrame, start: int, end: int) -> DataFrame:
-    """One row over traces from start to end (epoch ms, inclusive); zeros and empty maps without any."""
+def metrics(traces: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """One row over traces from start to end (epoch ms, inclusive); zeros and empty maps without any.
+
+    Without an end it is now, without a start a day before the end.
+    """
+    end = end if end is not None else int(time.time() * 1000)
+    start = start if start is not None else end - DAY_MS
     rows = traces.where(F.col("timestamp").between(start, end)).withColumn("latency", latency(F.col("spans")))
     total = rows.agg(
         F.count("*").alias("requests"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.coalesce(F.sum("token_usage.total_tokens"), F.lit(0)).alias("tokens"),
@@ -74,24 +77,51 @@ def view(traces: DataFrame, n: int = 50) -> DataFrame:
     return recent(traces, min(n, 200)).select("id", "timestamp", cut.alias("query"), "mode", "success", latency(F.col("spans")).alias("latency_ms"), "token_usage.total_tokens", "cost_estimate.total_cost")
 
 
-def cost_by_day(traces: DataFrame, since: int) -> DataFrame:
-    """(day, requests, tokens, cost) by UTC day, and a total row whose day is null."""
+def by_id(traces: DataFrame, key: str) -> DataFrame:
+    return traces.where(F.col("id") == key)
+
+
+def recorded(traces: DataFrame, spans: DataFrame, usage: DataFrame) -> DataFrame:
+    """Traces with their spans and summed tokens, from tables of single records.
+
+    traces: id and more; spans: (id, name, start_ms, end_ms), open ones with a null end; usage: (id,
+    input_tokens, output_tokens).  A trace without records has no spans and zero tokens.
+    """
+    took = spans.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+    listed = took.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "name", "end_ms", "duration_ms"))).alias("_s"))
+    tokens = usage.groupBy("id").agg(F.sum("input_tokens").alias("_i"), F.sum("output_tokens").alias("_o"))
+    rows = traces.join(listed, "id", "left").join(tokens, "id", "left")
+    kind = "array<struct<name:string,start_ms:bigint,end_ms:bigint,duration_ms:bigint>>"
+    ordered = F.transform("_s", lambda x: F.struct(x["name"], x["start_ms"].cast("long"), x["end_ms"].cast("long"), x["duration_ms"].cast("long"))).cast(kind)
+    i, o = (F.coalesce(c, F.lit(0)).cast("long") for c in ("_i", "_o"))
+    use = F.struct(i.alias("input_tokens"), o.alias("output_tokens"), (i + o).alias("total_tokens"))
+    return rows.withColumn("spans", F.coalesce(ordered, F.array().cast(kind))).withColumn("token_usage", use).drop("_s", "_i", "_o")
+
+
+def cost_by_day(traces: DataFrame, since: int, last: int = RING) -> DataFrame:
+    """(day, requests, tokens, cost) by UTC day, and a total row whose day is null, over the `last` traces."""
     day = F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM-dd")
-    return traces.where(F.col("timestamp") >= since).rollup(day.alias("day")).agg(F.count("*").alias("requests"), F.sum("token_usage.total_tokens").alias("tokens"), F.sum("cost_estimate.total_cost").alias("cost"))
+    return recent(traces, last).where(F.col("timestamp") >= since).rollup(day.alias("day")).agg(F.count("*").alias("requests"), F.sum("token_usage.total_tokens").alias("tokens"), F.sum("cost_estimate.total_cost").alias("cost"))
+
+
+def cost_breakdown(traces: DataFrame, since: int, last: int = RING) -> DataFrame:
+    """One row of the three parts of the cost of the `last` traces: embedding, llm_input, llm_output."""
+    part = lambda c: F.coalesce(F.sum(f"cost_estimate.{c}_cost"), F.lit(0.0)).alias(c)
+    return recent(traces, last).where(F.col("timestamp") >= since).agg(*map(part, ("embedding", "llm_input", "llm_output")))
 
 
-def latency_by_stage(traces: DataFrame) -> DataFrame:
-    """(name, n, average, p50, p95, p99) of span durations."""
-    spans = traces.select(F.explode("spans").alias("s")).select("s.name", "s.duration_ms").where("duration_ms is not null")
+def latency_by_stage(traces: DataFrame, last: int = PERFORMANCE) -> DataFrame:
+    """(name, n, average, p50, p95, p99) of span durations of the `last` traces."""
+    spans = recent(traces, last).select(F.explode("spans").alias("s")).select("s.name", "s.duration_ms").where("duration_ms is not null")
     high = exact_percentiles(spans, ["name"], "duration_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
     return spans.groupBy("name").agg(F.count("*").alias("n"), F.avg("duration_ms").alias("average")).join(high, "name")
 
 
-def success_rate(traces: DataFrame) -> DataFrame:
-    return traces.agg(F.coalesce(100.0 * F.count_if("success") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("success_rate"))
+def success_rate(traces: DataFrame, last: int = PERFORMANCE) -> DataFrame:
+    return recent(traces, last).agg(F.coalesce(100.0 * F.count_if("success") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("success_rate"))
 
 
-VIEWS = {"metrics": metrics, "traces": view, "costs": cost_by_day, "latency": latency_by_stage}
+VIEWS = {"metrics": metrics, "traces": view, "costs": cost_by_day, "breakdown": cost_breakdown, "latency": latency_by_stage}
 
 
 def by_view(name: str):

@@ -13,6 +13,8 @@ DIMENSIONS = {
 }
 #: Query vectors times their dimensions that a batch search broadcasts at most.
 BROADCAST_NUMBERS = 4_000_000
+#: Ids that stand in a plan as literals at most.
+LITERAL_IDS = 200
 
 
 def dimension(model: Column) -> Column:
@@ -68,29 +70,45 @@ def top_k(store: DataFrame, query: Sequence[float], k: int = 10, min_score: floa
 def batch_top_k(store: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding", min_score: float | None = None) -> DataFrame:
     """(query_key, key, score, rank): the k nearest rows of each query.
 
-    The query table must be small, which is checked; the store stays where it is, and each task keeps
-    k rows a query before the shuffle.
+    A block of queries of a checked size is broadcast, more queries make more blocks; the store stays
+    where it is, and each task keeps k rows a query before the shuffle.
     """
     bound = queries.agg(F.sum(F.size(vector))).first()[0] or 0
-    if bound > BROADCAST_NUMBERS:
-        raise ValueError(f"{bound} numbers in the queries; search them in blocks of {BROADCAST_NUMBERS}")
     asked = queries.select(F.col(query_key), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"))
-    rows = with_norms(store.select(key, vector), vector).crossJoin(F.broadcast(asked))
+    own = with_norms(store.select(key, vector), vector)
     both = F.col("norm") * F.col("_qn")
-    rows = rows.withColumn("score", F.when(both == 0, F.lit(0.0)).otherwise(dot(F.col(vector), F.col("_q")) / both))
-    if min_score is not None:
-        rows = rows.where(F.col("score") >= min_score)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return rows.select(query_key, key, "score", rank.alias("rank")).where(F.col("rank") <= k)
+
+    def searched(block: DataFrame) -> DataFrame:
+        rows = own.crossJoin(F.broadcast(block)).withColumn("score", F.when(both == 0, F.lit(0.0)).otherwise(dot(F.col(vector), F.col("_q")) / both))
+        if min_score is not None:
+            rows = rows.where(F.col("score") >= min_score)
+        return rows.select(query_key, key, "score", rank.alias("rank")).where(F.col("rank") <= k)
+
+    blocks = -(-2 * bound // BROADCAST_NUMBERS) if bound > BROADCAST_NUMBERS else 1
+    if blocks == 1:
+        return searched(asked)
+    out = None
+    for n in range(blocks):  # by hash: half full on average
+        part = searched(asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def create(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def upsert(store: DataFrame, new: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """Rows of `new` replace those of `store` with their key; of equal keys in `new` any one row stays with `dedupe` order."""
-    fresh = new.dropDuplicates(list(keys))
+def upsert(store: DataFrame, new: DataFrame, keys: Sequence[str] = ("id",), order: str | None = None, vector: str = "embedding") -> DataFrame:
+    """Rows of `new` replace those of `store` with their key; of equal keys in `new` the last one stays.
+
+    Last is the greatest `order`, or without one the last in the order that `new` is read.  Where the
+    store has vectors, new ones must have their dimension.
+    """
+    if vector in store.columns and (some := store.select(F.size(vector).alias("n")).where("n >= 0").first()):
+        new = new.withColumn(vector, checked(F.col(vector), some["n"]))
+    ordered = new.withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
+    fresh = last_wins(ordered, keys, "_at").select(*new.columns)
     return store.join(fresh.select(*keys), list(keys), "left_anti").select(*store.columns).unionByName(fresh)
 
 
@@ -100,12 +118,27 @@ def last_wins(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(kept.alias("_row")).select("_row.*")
 
 
+def _among(store: DataFrame, ids: Sequence, key: str, how: str) -> DataFrame:
+    """Rows whose key is among the ids or not; many ids are a table and not a part of the plan."""
+    if len(ids) <= LITERAL_IDS:
+        hit = F.col(key).isin(*ids) if ids else F.lit(False)
+        return store.where(hit if how == "left_semi" else ~F.coalesce(hit, F.lit(False)))
+    listed = store.sparkSession.createDataFrame([(x,) for x in ids], store.select(key).schema)
+    return store.join(listed, key, how).select(*store.columns)
+
+
 def delete_ids(store: DataFrame, ids: Sequence, key: str = "id") -> DataFrame:
-    return store.where(~F.col(key).isin(*ids)) if ids else store
+    return _among(store, ids, key, "left_anti")
+
+
+def with_ids(store: DataFrame, ids: Sequence, key: str = "id") -> DataFrame:
+    """What `delete_ids` removes; its count is the number of removed rows."""
+    return _among(store, ids, key, "left_semi")
 
 
 def delete_path(store: DataFrame, path: str) -> DataFrame:
-    return store.where(F.col("filepath") != path)
+    """All but a file's rows, which `by_path` gives: their count is the number of removed rows."""
+    return store.where(~F.coalesce(F.col("filepath") == path, F.lit(False)))
 
 
 def by_path(store: DataFrame, path: str) -> DataFrame:

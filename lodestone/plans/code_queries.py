@@ -66,11 +66,11 @@ def outline(spark, d):
     return analyzers.outline(project(spark))
 
 
-@_r.add("SELECT doc_id, 3 AS blocks, 'print(1)' AS code, n_chars + 2 AS first_chars FROM documents WHERE length(text) > 0 AND NOT contains(text, '```')")
+@_r.add("SELECT doc_id, 3 AS blocks, 'print(1)' AS code, n_chars + 2 AS first_chars FROM documents")
 def fence_split(spark, d):
     """Each document as the prose before and after a fence."""
-    docs = read(spark, d, "documents").where("length(text) > 0 and not contains(text, '```')")
-    content = F.concat("text", F.lit("\n\n```python\nprint(1)\n```\nend"))
+    docs = read(spark, d, "documents")
+    content = F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n```python\nprint(1)\n```\nend"))
     blocks = analyzers.fence_blocks(docs.select(F.col("doc_id").cast("string").alias("filepath"), content.alias("content")))
     out = blocks.groupBy("filepath").agg(F.count("*").alias("blocks"), F.max(F.when(F.col("kind") == "code", F.col("body"))).alias("code"), F.max(F.when(F.col("pos") == 0, F.length("body"))).alias("first_chars"))
     return out.select(F.col("filepath").cast("long").alias("doc_id"), "blocks", "code", F.col("first_chars").cast("long").alias("first_chars"))

@@ -66,9 +66,18 @@ def _edges(spark, d):
 _E = "WITH e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, min(l_orderkey * 10 + l_linenumber) AS seq FROM lineitem GROUP BY ALL) "
 
 
-@_r.add(_E + "SELECT src, dst, seq FROM e")
+@_r.add(
+    _E + "SELECT src || '.ts' AS src, dst || '.ts' AS dst, row_number() OVER (PARTITION BY src ORDER BY seq, dst) AS seq FROM e"
+)
 def edges_build(spark, d):
-    return _edges(spark, d)
+    """Each supplier's order lines as the import lines of its file, resolved against the parts' files."""
+    rows = read(spark, d, "lineitem")
+    at = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.col("l_partkey").cast("string").alias("part"))
+    line = lambda x: F.concat(F.lit("import { a } from './p"), x["part"], F.lit("';"))
+    source = F.array_join(F.transform(F.array_sort(F.collect_list(at)), line), "\n")
+    files = rows.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("filepath")).agg(source.alias("content"))
+    parts = rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".ts")).alias("filepath")).distinct().withColumn("content", F.lit("export const a = 1;"))
+    return graph.edges(files.unionByName(parts))
 
 
 @_r.add(_E + "SELECT dst AS src, src AS dst FROM e")
@@ -110,13 +119,9 @@ def bfs_capped(spark, d):
 
 @_r.add(
     _E + ", f AS (SELECT 's1' AS filepath, 1 AS fr UNION ALL SELECT dst, rank + 1 FROM (SELECT dst, row_number() OVER (ORDER BY seq, dst) AS rank FROM e WHERE src = 's1') WHERE rank < 20) "
-    "SELECT id, filepath, rank FROM (SELECT p_partkey AS id, f.filepath, row_number() OVER (ORDER BY fr, p_size, p_partkey) AS rank FROM part JOIN f ON f.filepath = 'p' || p_partkey) WHERE rank <= 10"
+    "SELECT id, filepath, rank FROM (SELECT p_partkey AS id, f.filepath, row_number() OVER (ORDER BY fr, p_size, p_partkey) AS rank FROM part JOIN f ON f.filepath = 'p' || p_partkey) WHERE rank <= 20"
 )
 def expanded_chunks(spark, d):
     chunks = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("filepath"), F.col("p_size").alias("start_line"))
     start = spark.createDataFrame([("s1", 1)], "filepath string, rank int")
-    files = graph.expand(_edges(spark, d), start, 1, max_files=20)
-    found = chunks.join(F.broadcast(files.select("filepath", F.col("rank").alias("file_rank"))), "filepath").orderBy("file_rank", "start_line", "id").limit(10)
-    from pyspark.sql import Window
-
-    return found.select("id", "filepath", F.row_number().over(Window.orderBy("file_rank", "start_line", "id")).alias("rank"))
+    return graph.expanded_chunks(_edges(spark, d), chunks, start, 1, 20).select("id", "filepath", "rank")

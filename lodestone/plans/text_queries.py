@@ -50,10 +50,10 @@ def citation_preview(spark, d):
 
 @_r.add(
     "SELECT conv_id, turn, concat_ws(',', 'text', CASE WHEN regexp_matches(text, 'import\\s+.*from|require\\(') THEN 'deps' END, CASE WHEN regexp_matches(text, 'function\\s+\\w+|const\\s+\\w+\\s*=\\s*(async\\s+)?\\(') THEN 'calls' END, "
-    "CASE WHEN regexp_matches(text, 'function\\s+\\w+|const\\s+\\w+\\s*=\\s*(async\\s+)?\\(') THEN 'complexity' END, CASE WHEN regexp_matches(text, 'interface\\s+\\w+|type\\s+\\w+\\s*=|:\\s*\\w+[\\w<>,\\s]*') THEN 'types' END) AS views FROM conversations WHERE NOT contains(text, '```')"
+    "CASE WHEN regexp_matches(text, 'function\\s+\\w+|const\\s+\\w+\\s*=\\s*(async\\s+)?\\(') THEN 'complexity' END, CASE WHEN regexp_matches(text, 'interface\\s+\\w+|type\\s+\\w+\\s*=|:\\s*\\w+[\\w<>,\\s]*') THEN 'types' END) AS views FROM conversations"
 )
 def answer_views(spark, d):
-    rows = read(spark, d, "conversations").where("not contains(text, '```')")
+    rows = read(spark, d, "conversations")
     return rows.select("conv_id", "turn", F.array_join(analyzers.views(F.col("text"), F.lit("")), ",").alias("views"))
 
 

@@ -16,7 +16,7 @@ def traces(spark, d):
     span = F.array(F.struct(F.col("event_type").alias("name"), F.lit(0).cast("long").alias("start_ms"), F.floor("value").cast("long").alias("end_ms"), F.floor("value").cast("long").alias("duration_ms")))
     return read(spark, d, "events").select(
         F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), F.concat(F.lit("query "), F.repeat(F.lit("x"), (F.col("user_id") % 150).cast("int"))).alias("query"), F.col("event_type").alias("mode"), span.alias("spans"),
-        F.struct(tokens.alias("total_tokens")).alias("token_usage"), F.struct((tokens * 15 / 1_000_000).alias("total_cost")).alias("cost_estimate"), (F.col("user_id") % 10).cast("int").alias("chunks_retrieved"),
+        F.struct(tokens.alias("total_tokens")).alias("token_usage"), F.struct((tokens * 15 / 1_000_000).alias("total_cost"), F.lit(0.02 / 1_000_000).alias("embedding_cost"), (tokens * 3 / 1_000_000).alias("llm_input_cost"), (tokens * 12 / 1_000_000).alias("llm_output_cost")).alias("cost_estimate"), (F.col("user_id") % 10).cast("int").alias("chunks_retrieved"),
         F.element_at(F.array(F.lit("none"), F.lit("bge"), F.lit("llm")), (F.col("user_id") % 3 + 1).cast("int")).alias("reranker_used"), (F.col("event_type") != "error").alias("success"),
     )
 
@@ -25,6 +25,7 @@ _T = (
     "WITH t AS (SELECT event_id AS id, (epoch_us(ts) // 1000) AS timestamp, 'query ' || repeat('x', (user_id % 150)::INT) AS query, event_type AS mode, floor(value)::BIGINT AS ms, (props->>'$.k')::BIGINT AS tokens, (props->>'$.k')::BIGINT * 15 / 1000000.0::DOUBLE AS cost, user_id % 10 AS chunks, "
     "(['none', 'bge', 'llm'])[user_id % 3 + 1] AS reranker, event_type <> 'error' AS success, strftime(ts, '%Y-%m-%d') AS day FROM events) "
 )
+_LAST = lambda n: f"(SELECT * FROM t ORDER BY timestamp DESC, id DESC LIMIT {n})"
 _START, _END = 1704067200000, 1706659199999
 _AT = lambda q: f"list_sort(list(ms))[floor(count(*) * {q}::DOUBLE)::BIGINT + 1]"
 
@@ -49,17 +50,28 @@ def metrics_by_reranker(spark, d):
     return telemetry.metrics(traces(spark, d), _START, _END).select(F.explode("by_reranker_used").alias("reranker_used", "n"))
 
 
-@_r.add(_T + f"SELECT day, count(*) AS requests, sum(tokens)::BIGINT AS tokens, round(sum(cost), 6) AS cost FROM t WHERE timestamp >= {_START} GROUP BY ROLLUP (day)")
+@_r.add(_T + f"SELECT day, count(*) AS requests, sum(tokens)::BIGINT AS tokens, round(sum(cost), 6) AS cost FROM {_LAST(1000)} WHERE timestamp >= {_START} GROUP BY ROLLUP (day)")
 def cost_by_day(spark, d):
     return telemetry.cost_by_day(traces(spark, d), _START).withColumn("cost", F.round("cost", 6))
 
 
-@_r.add(_T + f"SELECT mode AS name, count(*) AS n, round(avg(ms), 6) AS average, {_AT(0.5)} AS p50, {_AT(0.95)} AS p95, {_AT(0.99)} AS p99 FROM t GROUP BY mode")
+@_r.add(_T + f"SELECT mode AS name, count(*) AS n, round(avg(ms), 6) AS average, {_AT(0.5)} AS p50, {_AT(0.95)} AS p95, {_AT(0.99)} AS p99 FROM {_LAST(500)} GROUP BY mode")
 def latency_by_stage(spark, d):
     return telemetry.latency_by_stage(traces(spark, d)).withColumn("average", F.round("average", 6))
 
 
-@_r.add(_T + "SELECT round(100.0::DOUBLE * sum(success::INT) / count(*), 6) AS success_rate FROM t")
+@_r.add(_T + f"SELECT round(0.02 / 1000000.0::DOUBLE * count(*), 9) AS embedding, round(sum(tokens * 3 / 1000000.0::DOUBLE), 6) AS llm_input, round(sum(tokens * 12 / 1000000.0::DOUBLE), 6) AS llm_output FROM {_LAST(1000)} WHERE timestamp >= {_START}")
+def cost_breakdown(spark, d):
+    c = telemetry.cost_breakdown(traces(spark, d), _START)
+    return c.select(F.round("embedding", 9).alias("embedding"), F.round("llm_input", 6).alias("llm_input"), F.round("llm_output", 6).alias("llm_output"))
+
+
+@_r.add(_T + "SELECT id, timestamp, ms FROM t WHERE id = 7")
+def trace_by_id(spark, d):
+    return telemetry.by_id(traces(spark, d), 7).select("id", "timestamp", telemetry.latency(F.col("spans")).alias("ms"))
+
+
+@_r.add(_T + f"SELECT round(100.0::DOUBLE * sum(success::INT) / count(*), 6) AS success_rate FROM {_LAST(500)}")
 def success_rate(spark, d):
     return telemetry.success_rate(traces(spark, d)).select(F.round("success_rate", 6).alias("success_rate"))
 

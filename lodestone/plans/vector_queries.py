@@ -48,13 +48,13 @@ def vector_filtered(spark, d):
 
 _BATCH = (
     "SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s, "
-    "row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q"
+    "row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q"
 )
 
 
 def _batch(spark, d, k=5):
     store = read(spark, d, "embeddings")
-    asked = store.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = store.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return vector.batch_top_k(store, asked, k, "vec_id", "query_id")
 
 
@@ -105,13 +105,13 @@ def mock_embed(spark, d):
 
 
 def _hits(spark, d):
-    """Each of 20 queries' nearest five, others than itself; relevant are those of its label."""
+    """Each query's nearest five, others than itself; relevant are those of its label."""
     labels = read(spark, d, "embeddings").select("vec_id", "label")
     rows = _batch(spark, d, 6).where("query_id <> vec_id")
     own = rows.join(labels, "vec_id").withColumn("name", F.concat(F.lit("dir/"), "label", F.lit("/f"), "label", F.lit(".ts")))
     lists = own.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("files"))
     wanted = F.array(F.concat(F.lit("f"), F.col("label").cast("string"), F.lit(".ts")))
-    return lists.join(F.broadcast(labels.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")), "query_id").select(
+    return lists.join(F.broadcast(labels.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")), "query_id").select(
         F.col("query_id").alias("id"), "files", F.col("files").alias("chunk_names"), wanted.alias("expected_files"), wanted.alias("expected_chunks")
     )
 
@@ -160,17 +160,56 @@ def search_vector_stage(spark, d):
     return retrieval.retrieve(store, None, _query(store), options=o).select("vec_id", F.round("score", 6).alias("score"), "rank", "stage")
 
 
-_GRAPH_STAGE = (
-    f"WITH h AS (SELECT vec_id, label, s, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_SCORED}) WHERE s >= 0 ORDER BY s DESC, vec_id LIMIT 3), f AS (SELECT label, row_number() OVER (ORDER BY min(rank)) AS file_rank FROM h GROUP BY label), "
-    "c AS (SELECT e.vec_id, row_number() OVER (ORDER BY f.file_rank, e.vec_id) AS rank FROM embeddings e JOIN f ON f.label = e.label) SELECT c.vec_id, round(coalesce(h.s, 0), 6) AS score, c.rank, 'graph' AS stage FROM c LEFT JOIN h ON h.vec_id = c.vec_id WHERE c.rank <= 40"
+_NEAR = (
+    f"WITH h AS (SELECT vec_id, label, s, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM ({_SCORED}) WHERE s >= 0 ORDER BY s DESC, vec_id LIMIT 3), f0 AS (SELECT label, row_number() OVER (ORDER BY min(rank)) AS r FROM h GROUP BY label), "
+    # a file imports the next one by label and, if even, the one after
+    "l AS (SELECT DISTINCT label FROM embeddings), g AS (SELECT a.label AS src, b.label AS dst, b.label - a.label AS seq FROM l a JOIN l b ON b.label = a.label + 1 OR (a.label % 2 = 0 AND b.label = a.label + 2)), "
+    "n1 AS (SELECT src AS label, dst AS t, 0 AS way, seq FROM g UNION ALL SELECT dst, src, 1, seq FROM g), m AS (SELECT t AS label, min((f0.r, way, seq, t)) AS place FROM n1 JOIN f0 ON f0.label = n1.label WHERE t NOT IN (SELECT label FROM f0) GROUP BY t), "
+    "f AS (SELECT label, r AS file_rank FROM f0 UNION ALL SELECT label, 1000 + row_number() OVER (ORDER BY place) FROM m), "
+    "c AS (SELECT e.vec_id, e.label, row_number() OVER (ORDER BY f.file_rank, e.vec_id) AS rank FROM embeddings e JOIN f ON f.label = e.label) "
 )
 
 
-@_r.add(_GRAPH_STAGE)
+def _files(spark, d):
+    """Labels stand for files, a chunk's text is its number and label; (store, edges, query vector)."""
+    rows = read(spark, d, "embeddings")
+    path = F.col("label").cast("string")
+    store = rows.select(
+        F.col("vec_id").alias("id"), path.alias("filepath"), F.col("vec_id").alias("start_line"), F.col("vec_id").alias("end_line"), F.lit("function").alias("node_type"),
+        F.concat(F.lit("f"), F.col("vec_id").cast("string")).alias("name"), F.concat_ws(" ", F.concat(F.lit("n"), (F.col("vec_id") % 3).cast("string")), F.concat(F.lit("m"), (F.col("vec_id") % 2).cast("string"))).alias("content"), F.lit("ts").alias("language"), "embedding",
+    )
+    labels = rows.select("label").distinct()
+    a, b = labels.select(F.col("label").alias("a")), labels.select(F.col("label").alias("b"))
+    steps = a.select("a", F.explode(F.when(F.col("a") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("seq"))
+    edges = steps.withColumn("b", F.col("a") + F.col("seq")).join(b, "b").select(F.col("a").cast("string").alias("src"), F.col("b").cast("string").alias("dst"), F.col("seq").cast("long").alias("seq"))
+    return store, edges, [float(x) for x in store.where("id = 0").first()["embedding"]]
+
+
+@_r.add(_NEAR + "SELECT c.vec_id, round(coalesce(h.s, 0), 6) AS score, c.rank, 'graph' AS stage FROM c LEFT JOIN h ON h.vec_id = c.vec_id WHERE c.rank <= 100")
 def search_graph_stage(spark, d):
-    """Labels stand for files; the graph has no edges, so only the hits' own files are expanded."""
-    store = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("filepath"), F.col("vec_id").alias("start_line"), "embedding")
-    edges = spark.createDataFrame([], "src string, dst string, seq long")
-    query = [float(x) for x in store.where("id = 0").first()["embedding"]]
-    o = retrieval.Options(top_k=3, max_expanded_chunks=40, reranker="none")
+    """Vector hits, then the chunks of their files and of files one import away."""
+    store, edges, query = _files(spark, d)
+    o = retrieval.Options(top_k=3, max_hops=1, max_expanded_chunks=100, reranker="none")
     return retrieval.retrieve(store, edges, query, options=o).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank", "stage")
+
+
+@_r.add(
+    _NEAR + "SELECT label::VARCHAR AS filepath, vec_id AS start_line, 'f' || vec_id AS name, s AS score, rank, 'reranked' AS stage FROM (SELECT *, row_number() OVER (ORDER BY s DESC, old) AS rank FROM "
+    "(SELECT vec_id, label, c.rank AS old, ((vec_id % 3 = 1)::INT + (vec_id % 2 = 0)::INT) / 2.0::DOUBLE AS s FROM c WHERE c.rank <= 100)) WHERE rank <= 5"
+)
+def search_service(spark, d):
+    """From a query's text to reranked results, with a graph."""
+    store, edges, query = _files(spark, d)
+    given = {"top_k": 3, "max_hops": 1, "max_expanded_chunks": 100, "reranker": "bge"}
+    return retrieval.search(store, edges, "n1 m0", lambda _: query, given).select("filepath", "start_line", "name", "score", "rank", "stage")
+
+
+@_r.add(
+    _NEAR + "SELECT vec_id AS start_line, CASE c.rank WHEN 3 THEN 1.0::DOUBLE WHEN 1 THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS score, CASE c.rank WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS rank, 'reranked' AS stage FROM c WHERE c.rank IN (1, 3, 10)"
+)
+def search_answer_rerank(spark, d):
+    """The order of a model's answer; a position beyond the hits does not count."""
+    store, edges, query = _files(spark, d)
+    given = {"top_k": 3, "max_hops": 1, "max_expanded_chunks": 100}
+    rows = retrieval.search(store, edges, "n1", lambda _: query, given, ask=lambda _: "best: [2, 0, 4000, 9]")
+    return rows.select("start_line", F.round("score", 6).alias("score"), "rank", "stage")

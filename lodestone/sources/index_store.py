@@ -42,7 +42,10 @@ def missing(spark: SparkSession, path: str, names: tuple[str, ...] = TABLES) ->
 
 
 def truncate(spark: SparkSession, path: str) -> None:
-    """Replace the graph and meta tables by empty ones."""
+    """Replace all tables by empty ones; the vectors' table keeps its columns."""
+    if (chunks := load(spark, path, "embeddings")) is not None:
+        empty = spark.createDataFrame([], chunks.schema)
+        empty.write.mode("overwrite").parquet(f"{path}/embeddings")
     for name, schema in (("graph_nodes", GRAPH_NODES), ("graph_edges", GRAPH_EDGES), ("index_meta", INDEX_META)):
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}")
 

@@ -42,16 +42,6 @@ def test_store_changes(spark):
     assert vector.stats(vector.create(spark, store.schema), "m").first()[:2] == (0, 0)
 
 
-def test_batch_search_checks_its_size(spark, monkeypatch):
-    store = vectors(spark, *STORE)
-    asked = store.select(F.col("id").alias("q"), "embedding")
-    got = vector.batch_top_k(store, asked, 1, "id", "q", min_score=0.1).collect()
-    assert {(r.q, r.id) for r in got} == {("a", "a"), ("b", "b"), ("c", "c")}
-    monkeypatch.setattr(vector, "BROADCAST_NUMBERS", 5)
-    with pytest.raises(ValueError, match="blocks"):
-        vector.batch_top_k(store, asked, 1, "id", "q")
-
-
 def test_embedding_backends(spark):
     rows = spark.createDataFrame([(k, f"t{k}") for k in range(6)], "id int, text string").coalesce(1)
 
@@ -212,8 +202,13 @@ def test_telemetry(spark):
     s = telemetry.latency_by_stage(rows).collect()
     assert [(r.name, r.n, r.p50, r.p95, r.p99) for r in s] == [("retrieval", 30, 150, 280, 290)]
     assert telemetry.recent(rows, 0).count() == 0 and telemetry.view(rows, 500).first().query == "q" * 100 + "..."
-    listed = rows.select(F.explode("spans").alias("s")).groupBy("s.name").agg(telemetry.floor_percentile(F.col("s.duration_ms").cast("double"), 0.95).alias("p")).where("name = 'retrieval'")
-    assert listed.first().p == 280
+    assert telemetry.cost_by_day(rows, 0, last=5).where("day is null").first().requests == 5 and telemetry.latency_by_stage(rows, 3).first().n == 3
+    assert telemetry.metrics(rows).first().requests == 0  # the last day
+    spans = spark.createDataFrame([("a", "y", 5, 9), ("a", "x", 0, 5), ("b", "z", 3, None)], "id string, name string, start_ms long, end_ms long")
+    usage = spark.createDataFrame([("a", 10, 2), ("a", 5, 1)], "id string, input_tokens long, output_tokens long")
+    made = {r.id: r for r in telemetry.recorded(spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), spans, usage).collect()}
+    assert [(x.name, x.duration_ms) for x in made["a"].spans] == [("x", 5), ("y", 4)] and made["a"].token_usage.total_tokens == 18
+    assert made["b"].spans[0].duration_ms is None and made["c"].spans == [] and made["c"].token_usage.total_tokens == 0
     with pytest.raises(ValueError, match="valid: metrics"):
         telemetry.by_view("x")
 
@@ -258,3 +253,51 @@ def test_paths(spark):
     assert row.n == "c/d" and row.s == ".../b/c/d" and row.p is None and row.u == "f#L1-L2"
     lines = spark.createDataFrame([(1, "0:hi"), (2, "zz")], "seq int, line string")
     assert [tuple(r) for r in context.decode_stream(lines).collect()] == [(1, "text", "hi")]
+
+
+def test_search_service(spark):
+    rows = [(f"c{k}", f"{n}.ts", k, k + k % 2, "function", n, f"{n} token {k}", "typescript", v) for k, (n, v) in enumerate([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("a", [0.8, 0.2])], 1)]
+    store = spark.createDataFrame(rows, "id string, filepath string, start_line int, end_line int, node_type string, name string, content string, language string, embedding array<double>")
+    edges = spark.createDataFrame([("a.ts", "c.ts", 1)], "src string, dst string, seq long")
+    embed = lambda text: [1.0, 0.0]
+    found = lambda given, **more: [(r.filepath, r.start_line, round(r.score, 2), r.rank, r.stage) for r in retrieval.search(store, edges, "token 3", embed, given, **more).collect()]
+    one = {"top_k": 1, "rerank_top_k": 2}
+    best = found(one | {"reranker": "bge"})
+    assert [x[:2] for x in best] == [("c.ts", 3), ("a.ts", 1)] and {x[4] for x in best} == {"reranked"}
+
+    def broken(*_):
+        raise RuntimeError("no model")
+
+    first = [("a.ts", 1, 1.0, 1, "reranked"), ("a.ts", 4, 0.0, 2, "reranked")]
+    assert found(one | {"reranker": "bge"}, scorer=broken) == found(one) == found(one, ask=broken) == found(one, ask=lambda p: "none") == first
+    assert found(one, ask=lambda p: "[2, 0]" if "[2] c.ts: c" in p else "")[0] == ("c.ts", 3, 1.0, 1, "reranked")
+    assert len(found(one | {"reranker": "none"})) == 3
+    plain = retrieval.search(store, None, "x", embed, {"rerank_top_k": 3}).collect()
+    assert [r.start_line for r in plain] == [1, 2, 4] and {r.stage for r in plain} == {"vector"}
+    with pytest.raises(ValueError, match="query is required"):
+        retrieval.search(store, edges, " ", embed)
+    files = spark.createDataFrame([("a.ts", "one\ntwo"), ("d/e.ts", "x")], "filepath string, content string")
+    tools = agent.tools(files, store, edges, lambda q, given: retrieval.search(store, edges, q, embed, given))
+    text = tools["search_code"]("token", 2)
+    assert text.startswith("Found 2 relevant code chunks:\n\n[1] a.ts (lines 1-2)\nType: function | Name: a\nScore: 1.000\n\n```typescript\n") and "[2] " in text
+    assert tools["search_code"]("").startswith("Error searching code: query is required")
+    assert tools["read_file"]("a.ts", 2) == "2: two" and tools["list_directory"]() == "d/\na.ts" and tools["get_file_dependencies"]("c.ts") == "Imports: \nImported by: a.ts"
+    assert tools["find_symbol"]("nothing") == "Symbol not found: nothing"
+
+
+def test_store_changes(spark, monkeypatch):
+    store = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", [0.0, 1.0], None)], "id string, embedding array<double>, filepath string")
+    new = spark.createDataFrame([("a", [0.5, 0.5], "y"), ("a", [0.1, 0.9], "z")], "id string, embedding array<double>, filepath string").coalesce(1)
+    assert {r.id: r.filepath for r in vector.upsert(store, new).collect()} == {"a": "z", "b": None}
+    with pytest.raises(Exception, match="dimension mismatch"):
+        vector.upsert(store, spark.createDataFrame([("c", [1.0], "x")], store.schema)).collect()
+    many = [f"n{k}" for k in range(500)] + ["b"]
+    assert [r.id for r in vector.delete_ids(store, many).collect()] == ["a"] and vector.with_ids(store, many).count() == 1
+    assert vector.delete_path(store, "x").count() == 1
+    near = vectors(spark, *STORE)
+    got = vector.batch_top_k(near, near.select(F.col("id").alias("q"), "embedding"), 1, "id", "q", min_score=0.1).collect()
+    assert {(r.q, r.id) for r in got} == {("a", "a"), ("b", "b"), ("c", "c")}
+    queries = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "q int, embedding array<double>")
+    whole = sorted(map(tuple, vector.batch_top_k(store, queries, 1, "id", "q").collect()))
+    monkeypatch.setattr(vector, "BROADCAST_NUMBERS", 6)
+    assert sorted(map(tuple, vector.batch_top_k(store, queries, 1, "id", "q").collect())) == whole and len(whole) == 9
