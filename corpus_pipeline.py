@@ -23,10 +23,10 @@ from lodestone.llm.spark import marked, release, stored
 SECRET_MARK = "[secret]"
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not among `ids`; the ids are broadcast only up to a checked number."""
-    ids = stored(ids.select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents whose key is not among `ids`; these are broadcast only up to a checked number."""
+    ids = stored(ids.select(key).distinct(), "dropped")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*docs.columns)
 
 
 def others(docs: DataFrame) -> list[str]:
@@ -41,8 +41,11 @@ def like(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = classify(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return without(docs, scores.where("not keep"))
+    """Rows are told apart by id and text, so that those with null or shared ids are judged each."""
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    trusted = keyed.join(trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id", "left_semi").select("_row")
+    scores = classify(keyed, trusted, id_col="_row")
+    return without(keyed, scores.where("not keep").select(F.col("doc_id").alias("_row")), "_row").drop("_row")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
