@@ -51,17 +51,40 @@ def call_graph(spark, d):
     return analyzers.call_graph(project(spark)).withColumn("calls", F.array_join("calls", ","))
 
 
-@_r.add()
+_SCORE = " + ".join(f"regexp_matches(x, {_sql(b)})::INT" for b in analyzers.BRANCHES)
+_COMPLEXITY = (
+    "WITH RECURSIVE " + _LINES.removeprefix("WITH ") + f", k AS (SELECT filepath, line, CASE WHEN regexp_matches(x, {_sql(analyzers.FUNCTION_HEAD)}) THEN {_g(analyzers.FUNCTION_HEAD, 3)} || {_g(analyzers.FUNCTION_HEAD, 6)} "
+    f"WHEN regexp_matches(x, {_sql(analyzers.METHOD_HEAD)}) THEN {_g(analyzers.METHOD_HEAD, 2)} ELSE '' END AS name, contains(x, '}}') AS closes, length(replace(x, '}}', '')) - length(replace(x, '{{', '')) AS opens, {_SCORE} AS score FROM t), "
+    "w AS (SELECT *, sum(opens) OVER o AS depth, sum(score) OVER o AS upto FROM k WINDOW o AS (PARTITION BY filepath ORDER BY line)), "
+    "e AS (SELECT h.filepath, h.name, h.line, h.upto - h.score AS before, coalesce(min(n.line), 2147483647) AS stop FROM w h LEFT JOIN w n ON n.filepath = h.filepath AND n.line >= h.line AND n.closes AND n.depth <= h.depth - h.opens "
+    "WHERE h.name NOT IN ('', 'if', 'for', 'while', 'switch') GROUP BY ALL), "
+    "r AS (SELECT filepath, min(line) AS line, arg_min(stop, line) AS stop FROM e GROUP BY filepath UNION ALL SELECT e.filepath, min(e.line), arg_min(e.stop, e.line) FROM r JOIN e ON e.filepath = r.filepath AND e.line > r.stop GROUP BY e.filepath), "
+    "c AS (SELECT e.filepath, e.name, e.line, (w.upto - e.before + 1)::INT AS complexity, (w.line - e.line + 1)::INT AS loc FROM r JOIN e ON e.filepath = r.filepath AND e.line = r.line JOIN w ON w.filepath = e.filepath AND w.line = e.stop) "
+)
+
+
+@_r.add(_COMPLEXITY + "SELECT *, CASE WHEN complexity <= 3 THEN 'Simple' WHEN complexity <= 6 THEN 'Moderate' WHEN complexity <= 10 THEN 'Complex' ELSE 'Very Complex' END AS bucket FROM c")
 def complexity(spark, d):
     return analyzers.complexity(project(spark))
 
 
-@_r.add()
+@_r.add(_COMPLEXITY + "SELECT count(*) AS functions, avg(complexity) AS average, max(complexity) AS highest FROM c")
 def complexity_summary(spark, d):
     return analyzers.complexity_summary(analyzers.complexity(project(spark)))
 
 
-@_r.add()
+_is = lambda rule: f"regexp_matches(x, {_sql(rule)})"
+
+
+@_r.add(
+    _LINES + f", k AS (SELECT filepath, line, x, CASE WHEN {_is(analyzers.FUNCTION_HEAD)} THEN 'FunctionDeclaration' WHEN {_is(analyzers.CLASS)} THEN 'ClassDeclaration' WHEN {_is(analyzers.NAMED_TYPE)} THEN CASE {_g(analyzers.NAMED_TYPE, 2)} WHEN 'interface' THEN 'InterfaceDeclaration' ELSE 'TypeAlias' END "
+    f"WHEN {_is(analyzers.VARIABLE)} AND NOT contains(x, '=>') AND NOT contains(x, 'function') THEN 'VariableDeclaration' WHEN {_is(analyzers.OUTLINE_IMPORT)} THEN 'ImportDeclaration' ELSE '' END AS kind FROM t), "
+    "s AS (SELECT *, CASE WHEN kind IN ('FunctionDeclaration', 'ClassDeclaration') THEN 1 WHEN kind = '' AND x = '}' THEN -1 ELSE 0 END AS step FROM k), "
+    "u AS (SELECT *, sum(step) OVER (PARTITION BY filepath ORDER BY line) AS upto FROM s), "
+    "v AS (SELECT *, least(0, coalesce(min(upto) OVER (PARTITION BY filepath ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lowest FROM u) "
+    f"SELECT filepath, CASE kind WHEN 'ImportDeclaration' THEN 0 ELSE upto - step - lowest END::INT AS depth, kind, CASE kind WHEN 'FunctionDeclaration' THEN {_g(analyzers.FUNCTION_HEAD, 3)} || {_g(analyzers.FUNCTION_HEAD, 6)} WHEN 'ClassDeclaration' THEN {_g(analyzers.CLASS, 2)} "
+    f"WHEN 'VariableDeclaration' THEN {_g(analyzers.VARIABLE, 3)} WHEN 'ImportDeclaration' THEN {_g(analyzers.OUTLINE_IMPORT, 1)} ELSE {_g(analyzers.NAMED_TYPE, 3)} END AS name, line FROM v WHERE kind <> ''"
+)
 def outline(spark, d):
     return analyzers.outline(project(spark))
 
