@@ -10,9 +10,11 @@ from .fingerprints import against_next
 from .gif import store_bytes
 from .jaccard_join import similarity_components
 from .language_id import identify
+from .late_rows import late_sales
 from .packing import pack
 from .quality import classify, trusted_ids
 from .repeats import remove_repeats
+from .resampling import resample
 from .secret_scan import corpus_words, digest, secret_spans
 from .sentence_pieces import encode_decode
 from .token_counts import token_counts
@@ -69,6 +71,14 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late_sales(table(spark, sf_dir, "sales"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_packing,
         op10_repeats,
+        op11_resampling,
+        op13_late_rows,
     )
 }
 
@@ -103,4 +115,27 @@ SELECT shingles.doc_id, len(s) AS n_shingles, min(other) AS component_id, any_va
 FROM shingles JOIN reach ON reach.doc_id = shingles.doc_id JOIN copies ON copies.doc_id = shingles.doc_id GROUP BY shingles.doc_id, len(s)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL}
+#: crc32 as a fold over the bytes of each distinct word, with its table made by eight steps a byte value.
+RESAMPLING_SQL = """
+WITH crc AS (SELECT list(list_reduce([v] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS t FROM range(256) r(v)
+), words AS (
+  SELECT false AS aim, doc_id, unnest(w) AS w FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents)
+  UNION ALL
+  SELECT true, NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) FROM benchmark
+), hashed AS (
+  SELECT w, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(h), 2), lambda i: (strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)), crc
+), counts AS (
+  SELECT bucket, count(*) FILTER (NOT aim) AS s, count(*) FILTER (aim) AS t FROM words JOIN hashed USING (w) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(g, 0)::BIGINT AS weight, coalesce(g, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(gain) AS g FROM words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE NOT aim GROUP BY doc_id) USING (doc_id)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank,
+  n_features AS n_words, n_features >= 20 AND place <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) AS drawn
+FROM ranked
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_jaccard_join": JACCARD_SQL, "op11_resampling": RESAMPLING_SQL}
