@@ -12,6 +12,8 @@ from .jaccard_join import similarity_components
 from .language_id import identify
 from .late_rows import late_sales
 from .packing import pack
+from .personal_data import digest as personal_digest
+from .personal_data import personal_spans
 from .quality import classify, trusted_ids
 from .repeats import remove_repeats
 from .resampling import resample
@@ -75,6 +77,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_digest(personal_spans(table(spark, sf_dir, "documents")))
+
+
 def op13_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return late_sales(table(spark, sf_dir, "sales"))
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_packing,
         op10_repeats,
         op11_resampling,
+        op12_personal_data,
         op13_late_rows,
     )
 }
