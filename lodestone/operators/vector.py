@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .nearest import batch_top_k as batch_top_k
+
 #: Dimension by model.
 DIMENSIONS = {
     "text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536, "text-embedding-004": 768, "nomic-embed-text": 768, "mxbai-embed-large": 1024, "all-minilm": 384,
 }
-#: Query vectors times their dimensions that a batch search broadcasts at most.
-BROADCAST_NUMBERS = 4_000_000
 #: Ids that stand in a plan as literals at most.
 LITERAL_IDS = 200
 
@@ -67,34 +67,6 @@ def top_k(store: DataFrame, query: Sequence[float], k: int = 10, min_score: floa
     return rows.orderBy(F.desc("score"), key).limit(k)
 
 
-def batch_top_k(store: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, vector: str = "embedding", min_score: float | None = None) -> DataFrame:
-    """(query_key, key, score, rank): the k nearest rows of each query.
-
-    A block of queries of a checked size is broadcast, more queries make more blocks; the store stays
-    where it is, and each task keeps k rows a query before the shuffle.
-    """
-    bound = queries.agg(F.sum(F.size(vector))).first()[0] or 0
-    asked = queries.select(F.col(query_key), F.col(vector).alias("_q"), norm(F.col(vector)).alias("_qn"))
-    own = with_norms(store.select(key, vector), vector)
-    both = F.col("norm") * F.col("_qn")
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-
-    def searched(block: DataFrame) -> DataFrame:
-        rows = own.crossJoin(F.broadcast(block)).withColumn("score", F.when(both == 0, F.lit(0.0)).otherwise(dot(F.col(vector), F.col("_q")) / both))
-        if min_score is not None:
-            rows = rows.where(F.col("score") >= min_score)
-        return rows.select(query_key, key, "score", rank.alias("rank")).where(F.col("rank") <= k)
-
-    blocks = -(-2 * bound // BROADCAST_NUMBERS) if bound > BROADCAST_NUMBERS else 1
-    if blocks == 1:
-        return searched(asked)
-    out = None
-    for n in range(blocks):  # by hash: half full on average
-        part = searched(asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def create(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

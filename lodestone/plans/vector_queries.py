@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import embedding, evaluation, retrieval, vector
+from ..operators import ann, embedding, evaluation, retrieval, vector
+from ..sources.shared import new_folder
 from .tables import Registry, read
 
 _r = Registry()
@@ -63,6 +64,43 @@ def vector_batch_topk(spark, d):
     return _batch(spark, d).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _asked(spark, d):
+    store = read(spark, d, "embeddings")
+    return store, store.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@_r.add(f"SELECT query_id, vec_id, round(s, 6) AS score, rank FROM ({_BATCH}) WHERE rank <= 10")
+def vector_ann_all_lists(spark, d):
+    """Every list probed: the index has each row once, and the answers are exact."""
+    store, asked = _asked(spark, d)
+    centers = ann.centroids(store, "vec_id")
+    found = ann.search(ann.indexed(store, centers), centers, asked, 10, "vec_id", "query_id", probes=len(centers))
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@_r.add("SELECT count(*) FILTER (vec_id % 100 = 0) AS queries, (SELECT count(*) FROM embeddings) AS indexed, count(*) FILTER (vec_id % 100 = 0) * least(10, count(*)) AS wanted, true AS enough FROM embeddings")
+def vector_ann_recall(spark, d):
+    """Recall of the ten nearest with as many probes as tuning asks for, against the exact scan: 0.9 or more is enough."""
+    store, asked = _asked(spark, d)
+    centers = ann.centroids(store, "vec_id")
+    index = ann.indexed(store, centers)
+    probes = ann.probes_for(index, centers, "vec_id")
+    found = ann.search(index, centers, asked, 10, "vec_id", "query_id", probes=probes)
+    exact = vector.batch_top_k(store, asked, 10, "vec_id", "query_id")
+    whole = index.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") == 1).alias("indexed"))
+    return ann.recall(found, exact, "vec_id", "query_id").crossJoin(whole).select("queries", "indexed", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@_r.add()
+def vector_ann_topk(spark, d):
+    """The stored index: written by list, and searched with as many probes as tuning asks for."""
+    store, asked = _asked(spark, d)
+    path = new_folder(spark, "index")
+    ann.build(store, path, "vec_id")
+    index, centers = ann.load(spark, path)
+    return ann.search(index, centers, asked, 10, "vec_id", "query_id", probes=ann.probes_for(index, centers, "vec_id"))
+
+
 @_r.add("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id % 3 = 1")
 def store_upsert(spark, d):
     store = read(spark, d, "embeddings").select("vec_id", "label")

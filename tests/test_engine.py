@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-from lodestone.operators import agent, analyzers, catalog, chunking, context, embedding, evaluation, graph, retrieval, telemetry, vector
+from lodestone.operators import agent, analyzers, catalog, chunking, context, embedding, evaluation, graph, nearest, retrieval, telemetry, vector
 from lodestone.plans.tables import project
 from lodestone.schema import GRAPH_EDGES, REPOSITORIES, TRACES
 from lodestone.sources import files as sources
@@ -299,5 +299,5 @@ def test_store_changes(spark, monkeypatch):
     assert {(r.q, r.id) for r in got} == {("a", "a"), ("b", "b"), ("c", "c")}
     queries = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(9)], "q int, embedding array<double>")
     whole = sorted(map(tuple, vector.batch_top_k(store, queries, 1, "id", "q").collect()))
-    monkeypatch.setattr(vector, "BROADCAST_NUMBERS", 6)
+    monkeypatch.setattr(nearest, "BROADCAST_NUMBERS", 6)
     assert sorted(map(tuple, vector.batch_top_k(store, queries, 1, "id", "q").collect())) == whole and len(whole) == 9
