@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import analyzers, chunking
-from .tables import LINES_SQL, Registry, project, read
+from .tables import LINES_SQL, Registry, projects, read
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -22,7 +22,7 @@ _g = lambda rule, g: f"regexp_extract(x, {_sql(rule)}, {g})"
 
 @_r.add()
 def parse_chunks(spark, d):
-    rows = chunking.chunks(project(spark))
+    rows = chunking.chunks(projects(spark, d))
     return rows.select("id", "filepath", "start_line", "end_line", "node_type", "name", "language", *(F.array_join(c, ",").alias(c) for c in ("imports", "exports", "types")))
 
 
@@ -33,7 +33,7 @@ def parse_chunks(spark, d):
     "UNION ALL SELECT filepath, line, 'implements', trim(unnest(string_split(regexp_extract(raw, 'implements\\s+([\\w,\\s]+)', 1), ','))) FROM lines WHERE regexp_extract(raw, 'implements\\s+([\\w,\\s]+)', 1) <> ''"
 )
 def inline_dependencies(spark, d):
-    return analyzers.inline_dependencies(project(spark)).select("filepath", "line", "kind", "to")
+    return analyzers.inline_dependencies(projects(spark, d)).select("filepath", "line", "kind", "to")
 
 
 @_r.add(
@@ -43,12 +43,43 @@ def inline_dependencies(spark, d):
     "CASE r WHEN 1 THEN 'interface' WHEN 2 THEN 'type' WHEN 5 THEN 'variable' ELSE 'function' END AS kind FROM k WHERE r > 0"
 )
 def type_flow(spark, d):
-    return analyzers.type_flow(project(spark)).select("filepath", "line", "name", "kind")
+    return analyzers.type_flow(projects(spark, d)).select("filepath", "line", "name", "kind")
+
+
+#: A file for each item: what a scanner without states loses or invents.
+_TRICKY = """import { load } from './f@';
+const rule = /[{"'`]/g;
+export function f@(a: string): number {
+  return `${[a].map(x => `}${x}`).join("}")}`.length;
+}
+const g@ = async (n: number) => n / 2 / 1;
+app.on('x', (e) => {
+  function inner@() { return e; }
+});
+class C@ {
+  private on: (a: T) => void = rule;
+  run(a) { return /}/.test(a); }
+}
+export { g@, rule as r };
+"""
+_FOUND = "('f@', 'function', 3, 5, 'f@', 'string,number'), ('g@', 'function', 6, 6, '', 'number'), ('anonymous', 'function', 7, 9, '', ''), ('inner@', 'function', 8, 8, '', ''), ('C@', 'class', 10, 13, '', 'C@,T,void'), ('run', 'function', 12, 12, '', ''), ('g@, rule', 'other', 14, 14, '', '')"
+
+
+@_r.add(
+    f"WITH k(name, node_type, start_line, end_line, exports, types) AS (VALUES {_FOUND}) SELECT 'item' || item_id || '.ts' AS filepath, replace(k.name, '@', item_id::VARCHAR) AS name, node_type, start_line, end_line, replace(exports, '@', item_id::VARCHAR) AS exports, replace(types, '@', item_id::VARCHAR) AS types, "
+    f"md5(array_to_string(string_split(replace({_sql(_TRICKY)}, '@', item_id::VARCHAR), chr(10))[start_line:end_line], chr(10))) AS digest, './f' || item_id AS imports FROM items, k"
+)
+def parse_files(spark, d):
+    """The table function in SQL text, over a file for each item."""
+    chunking.register(spark)
+    files = read(spark, d, "items").select(F.concat(F.lit("item"), F.col("item_id").cast("string"), F.lit(".ts")).alias("filepath"), F.replace(F.lit(_TRICKY), F.lit("@"), F.col("item_id").cast("string")).alias("content"))
+    rows = spark.sql("SELECT c.* FROM {files} f, LATERAL parse_file(f.filepath, f.content) c", files=files)
+    return rows.select("filepath", "name", "node_type", "start_line", "end_line", F.array_join("exports", ",").alias("exports"), F.array_join("types", ",").alias("types"), F.md5(F.col("content").cast("binary")).alias("digest"), F.array_join("imports", ",").alias("imports"))
 
 
 @_r.add()
 def call_graph(spark, d):
-    return analyzers.call_graph(project(spark)).withColumn("calls", F.array_join("calls", ","))
+    return analyzers.call_graph(projects(spark, d)).withColumn("calls", F.array_join("calls", ","))
 
 
 _SCORE = " + ".join(f"regexp_matches(x, {_sql(b)})::INT" for b in analyzers.BRANCHES)
@@ -65,12 +96,12 @@ _COMPLEXITY = (
 
 @_r.add(_COMPLEXITY + "SELECT *, CASE WHEN complexity <= 3 THEN 'Simple' WHEN complexity <= 6 THEN 'Moderate' WHEN complexity <= 10 THEN 'Complex' ELSE 'Very Complex' END AS bucket FROM c")
 def complexity(spark, d):
-    return analyzers.complexity(project(spark))
+    return analyzers.complexity(projects(spark, d))
 
 
 @_r.add(_COMPLEXITY + "SELECT count(*) AS functions, avg(complexity) AS average, max(complexity) AS highest FROM c")
 def complexity_summary(spark, d):
-    return analyzers.complexity_summary(analyzers.complexity(project(spark)))
+    return analyzers.complexity_summary(analyzers.complexity(projects(spark, d)))
 
 
 _is = lambda rule: f"regexp_matches(x, {_sql(rule)})"
@@ -86,7 +117,7 @@ _is = lambda rule: f"regexp_matches(x, {_sql(rule)})"
     f"WHEN 'VariableDeclaration' THEN {_g(analyzers.VARIABLE, 3)} WHEN 'ImportDeclaration' THEN {_g(analyzers.OUTLINE_IMPORT, 1)} ELSE {_g(analyzers.NAMED_TYPE, 3)} END AS name, line FROM v WHERE kind <> ''"
 )
 def outline(spark, d):
-    return analyzers.outline(project(spark))
+    return analyzers.outline(projects(spark, d))
 
 
 @_r.add("SELECT doc_id, 3 AS blocks, 'print(1)' AS code, n_chars + 2 AS first_chars FROM documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from .tables import LINES_SQL, Registry, project, read
+from .tables import LINES_SQL, Registry, projects, read
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -29,7 +29,7 @@ IMPORTS_SQL = (
 
 @_r.add(IMPORTS_SQL + "SELECT filepath, symbol, source, is_type, line FROM i")
 def import_rows(spark, d):
-    return graph.imports(project(spark)).select("filepath", "symbol", F.col("from").alias("source"), "is_type", "line")
+    return graph.imports(projects(spark, d)).select("filepath", "symbol", F.col("from").alias("source"), "is_type", "line")
 
 
 _FIRST = "coalesce(" + ", ".join(f"nullif(regexp_extract(raw, {_sql(p)}, 1), '')" for p in graph.EXPORTS) + ")"
@@ -42,17 +42,22 @@ EXPORTS_SQL = (
 
 @_r.add(EXPORTS_SQL + "SELECT filepath, symbol, line FROM e")
 def export_rows(spark, d):
-    return graph.exports(project(spark)).select("filepath", "symbol", "line")
+    return graph.exports(projects(spark, d)).select("filepath", "symbol", "line")
 
 
 @_r.add(EXPORTS_SQL + "SELECT DISTINCT filepath FROM e WHERE symbol = 'hash'")
 def symbol_exporters(spark, d):
-    return graph.exporters(project(spark), "hash")
+    return graph.exporters(projects(spark, d), "hash")
 
 
-@_r.add("SELECT * FROM (VALUES ('src/app.ts', 'src/model/user.ts'), ('src/app.ts', 'src/crypto.ts'), ('src/app.ts', 'src/log.js'), ('src/model/user.ts', 'src/crypto.ts'), ('src/model/user.ts', 'packages/core/base.ts')) t(src, dst)")
+_LINKS = "('src/app.ts', 'src/model/user.ts'), ('src/app.ts', 'src/crypto.ts'), ('src/app.ts', 'src/log.js'), ('src/model/user.ts', 'src/crypto.ts'), ('src/model/user.ts', 'packages/core/base.ts')"
+
+
+@_r.add(f"WITH {LINES_SQL}, l(a, b) AS (VALUES {_LINKS}), p AS (SELECT DISTINCT doc_id // 12 AS n FROM documents), e AS (SELECT 'p' || n || '/' || a AS src, 'p' || n || '/' || b AS dst FROM p, l) "
+    "SELECT src, dst FROM e WHERE src IN (SELECT filepath FROM files) AND dst IN (SELECT filepath FROM files)"
+    " AND (dst NOT LIKE '%packages%' OR replace(dst, 'base.ts', 'package.json') IN (SELECT filepath FROM files))")
 def project_edges(spark, d):
-    files = project(spark)
+    files = projects(spark, d)
     return graph.edges(files, graph.workspace_packages(files)).select("src", "dst")
 
 

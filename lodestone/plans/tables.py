@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +56,33 @@ PROJECT = [
 
 
 def project(spark: SparkSession) -> DataFrame:
+    """The twelve files above, as one project."""
     return spark.createDataFrame(PROJECT, "filepath string, content string")
 
 
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each document: twelve of them in a row make a project in a folder of its own, with a package of its own.
+
+    The document's number and language stand in each file, and its text decides how many copies of a
+    line of code end it.
+    """
+    given = spark.createDataFrame([(k, p, c) for k, (p, c) in enumerate(PROJECT)], "k int, path string, body string")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce(F.length("text") % 4, F.lit(0)).cast("int").alias("n"))
+    number = F.expr("doc_id div 12").cast("string")
+    rows = docs.withColumn("k", (F.col("doc_id") % 12).cast("int")).join(F.broadcast(given), "k")  # twelve rows
+    body = F.replace("body", F.lit("@acme/core"), F.concat(F.lit("@acme/core"), number))
+    code = (F.col("path").rlike("[.][jt]s$")) & (F.col("body") != "")
+    more = F.when(code, F.repeat(F.concat(F.lit("export function own"), F.col("doc_id").cast("string"), F.lit("(a: "), F.coalesce("lang", F.lit("any")), F.lit("): Text {\n  return a && read(a);\n}\n")), F.col("n"))).otherwise(F.lit(""))
+    return rows.select(F.concat(F.lit("p"), number, F.lit("/"), "path").alias("filepath"), F.concat(body, more).alias("content"), "doc_id")
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-PROJECT_SQL = "files(filepath, content) AS (VALUES " + ", ".join(f"({quoted(p)}, {quoted(c)})" for p, c in PROJECT) + ")"
+PROJECT_SQL = (
+    "given(k, path, body) AS (VALUES " + ", ".join(f"({k}, {quoted(p)}, {quoted(c)})" for k, (p, c) in enumerate(PROJECT)) + "), "
+    "files AS (SELECT 'p' || (doc_id // 12) || '/' || path AS filepath, replace(body, '@acme/core', '@acme/core' || (doc_id // 12)) || CASE WHEN regexp_matches(path, '[.][jt]s$') AND body <> '' "
+    "THEN repeat('export function own' || doc_id || '(a: ' || coalesce(lang, 'any') || '): Text {' || chr(10) || '  return a && read(a);' || chr(10) || '}' || chr(10), coalesce(length(text) % 4, 0)) ELSE '' END AS content, doc_id FROM documents JOIN given ON k = doc_id % 12)"
+)
 LINES_SQL = PROJECT_SQL + ", lines AS (SELECT filepath, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM files)"

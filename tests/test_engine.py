@@ -301,3 +301,40 @@ def test_store_changes(spark, monkeypatch):
     whole = sorted(map(tuple, vector.batch_top_k(store, queries, 1, "id", "q").collect()))
     monkeypatch.setattr(nearest, "BROADCAST_NUMBERS", 6)
     assert sorted(map(tuple, vector.batch_top_k(store, queries, 1, "id", "q").collect())) == whole and len(whole) == 9
+
+
+CODE = {
+    "regex": ("const re = /[{]/;\nexport function g() { return 1; }\n", ["g"]),
+    "division": ("function a(x) { return x / 2; } function b(y) { return y / 3 /* } */; }\n", ["a", "b"]),
+    "template": ("const t = `${[1].map(x => `}${x}{`)}`;\nfunction after() {}\n", ["t", "after"]),
+    "argument": ("app.get('/x', async (req, res) => {\n  res.end();\n});\nfunction after() {}\n", ["anonymous", "after"]),
+    "single": ("list.map(x => x + 1);\n", ["anonymous"]),
+    "types": ("function f(cb: (x: number) => void, o: { a: () => void }): () => void { return cb; }\nconst h: (a: A) => B = other;\n", ["f"]),
+    "default": ("export default () => 1;\n", ["anonymous"]),
+    "object": ("send({ go() { return 1; }, on: (e) => e });\n", ["go", "anonymous"]),
+    "abstract": ("abstract class A { abstract x(): void; run(): void { go(); } }\nexport abstract class B { run() {} }\n", ["run"]),
+    "overload": ("function over(a: string): void;\nfunction over(a) { return a; }\nfunction* gen() { yield 1; }\n", ["over"]),
+    "pattern": ("const { a, b } = wrap(() => 1);\nfor (const x of y) { z(); }\n", ["{ a, b }"]),
+    "nested": ("if (x) {\n  function inner() {}\n  class K { m() {} }\n}\n", ["inner", "K", "m"]),
+}
+
+
+@pytest.mark.parametrize("name", CODE)
+def test_script_chunks(name):
+    text, names = CODE[name]
+    assert [r[6] for r in chunking.parse("a.ts", text)] == names
+
+
+def test_markup_only_in_its_own_files():
+    text = "export const App = () => <div className=\"x\">{items.map(i => <Item key={i} text='}' />)} don't {/* } */}</div>;\nfunction Next() { return <><b>it's</b></>; }\n"
+    assert [r[6] for r in chunking.parse("a.tsx", text)] == ["App", "Next"] and [r[6] for r in chunking.parse("a.ts", "const f = <T>(x: T) => x;\nfunction g() {}\n")] == ["f", "g"]
+    assert chunking.parse("a.ts", "export default () => 1;")[0][9] == ["anonymous"]
+
+
+@pytest.mark.parametrize("text", ["const x = a +\n" * 20_000, "const x = [\n" + "  a +\n" * 40_000 + "];\n", "`${" * 5_000, "const f = (a) => a\n" * 5_000, "((((" * 20_000, "<a " * 20_000, "x: {" * 10_000], ids=lambda t: t[:8])
+def test_scanner_takes_linear_time(text):
+    import time
+
+    began = time.time()
+    list(chunking._typescript(text, True))
+    assert time.time() - began < 10
