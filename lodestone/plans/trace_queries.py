@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import telemetry
+from ..sources.shared import new_folder
+from ..streaming import spans
 from .tables import Registry, read
 
 _r = Registry()
@@ -104,3 +106,45 @@ def cost_model(spark, d):
     usage = read(spark, d, "events").select("event_id", model.alias("model"), F.col("user_id").alias("input_tokens"), F.get_json_object("props", "$.k").cast("long").alias("output_tokens"))
     rows = telemetry.with_costs(usage)
     return rows.select("event_id", *(F.round(c, 9).alias(c) for c in ("llm_input_cost", "llm_output_cost", "total_cost")))
+
+
+def records(spark, d):
+    """Four records an event: the start and the end of a span, tokens and a retrieval; a trace is a day of every sixteenth user.
+
+    Every seventh span has no end, every eleventh end no start.
+    """
+    base = read(spark, d, "events").select(
+        F.concat(F.lit("t"), (F.col("user_id") % 16).cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("trace_id"), F.col("ts").cast("timestamp").alias("at"), "event_id", "event_type", F.floor("value").cast("long").alias("ms"),
+        F.get_json_object("props", "$.k").cast("long").alias("k"), (F.col("user_id") % 10).cast("int").alias("found"), F.element_at(F.array(F.lit("none"), F.lit("bge"), F.lit("llm")), (F.col("user_id") % 3 + 1).cast("int")).alias("by"),
+    )
+    span = F.concat(F.lit("s"), F.col("event_id").cast("string"))
+
+    def of(kind, **values):
+        given = {"at": F.col("at"), "kind": F.lit(kind)} | values
+        return base.select(*(given.get(f.name, F.col("trace_id") if f.name == "trace_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], spans.RECORD).schema.fields))
+
+    start = of(spans.START, span_id=F.when(F.col("event_id") % 11 != 5, span), name=F.col("event_type")).where("span_id is not null")
+    end = of(spans.END, span_id=F.when(F.col("event_id") % 7 != 3, span), at=F.timestamp_millis(F.unix_millis("at") + F.col("ms"))).where("span_id is not null")
+    return start.unionByName(end).unionByName(of(spans.TOKENS, input_tokens=F.col("k"), output_tokens=F.lit(1))).unionByName(of(spans.RETRIEVAL, chunks=F.col("found"), reranker=F.col("by")))
+
+
+def _told(traces):
+    took = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["duration_ms"], F.lit(0)))
+    named = F.array_join(F.transform("spans", lambda x: F.concat(x["span_id"], F.lit(":"), x["name"], F.lit(":"), F.coalesce(x["duration_ms"].cast("string"), F.lit("open")))), ",")
+    return traces.select("trace_id", F.size("spans").alias("n_spans"), took.alias("latency_ms"), named.alias("spans"), "total_tokens", "chunks_retrieved", "reranker_used")
+
+
+@_r.add(
+    "WITH t AS (SELECT 't' || (user_id % 16) || '-' || strftime(ts, '%Y%m%d') AS trace_id, epoch_us(ts) // 1000 AS at, event_id, event_type, floor(value)::BIGINT AS ms, (props->>'$.k')::BIGINT AS k, (user_id % 10)::INT AS found, (['none', 'bge', 'llm'])[user_id % 3 + 1] AS who FROM events), "
+    "r AS (SELECT trace_id, sum(coalesce(k, 0) + 1)::BIGINT AS total_tokens, max({'at': at, 'found': found, 'who': who}) AS m FROM t GROUP BY trace_id), "
+    "s AS (SELECT trace_id, count(*)::INT AS n_spans, sum(CASE WHEN event_id % 7 <> 3 THEN ms ELSE 0 END)::BIGINT AS latency_ms, string_agg('s' || event_id || ':' || event_type || ':' || CASE WHEN event_id % 7 <> 3 THEN ms::VARCHAR ELSE 'open' END, ',' ORDER BY at, 's' || event_id) AS spans FROM t WHERE event_id % 11 <> 5 GROUP BY trace_id) "
+    "SELECT r.trace_id, coalesce(n_spans, 0) AS n_spans, coalesce(latency_ms, 0) AS latency_ms, coalesce(spans, '') AS spans, total_tokens, m.found AS chunks_retrieved, m.who AS reranker_used FROM r LEFT JOIN s ON s.trace_id = r.trace_id"
+)
+def trace_pairs(spark, d):
+    return _told(spans.pair_batch(records(spark, d)))
+
+
+@_r.add()
+def trace_stream(spark, d):
+    """The same traces from a stream that is stopped and goes on."""
+    return _told(spans.replay(spark, records(spark, d), new_folder(spark, "spans"), gap_seconds=2 * 86400, late="1 day"))
