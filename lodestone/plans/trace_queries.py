@@ -135,9 +135,9 @@ def _told(traces):
 
 
 @_r.add(
-    "WITH t AS (SELECT 't' || (user_id % 16) || '-' || strftime(ts, '%Y%m%d') AS trace_id, epoch_us(ts) // 1000 AS at, event_id, event_type, floor(value)::BIGINT AS ms, (props->>'$.k')::BIGINT AS k, (user_id % 10)::INT AS found, (['none', 'bge', 'llm'])[user_id % 3 + 1] AS who FROM events), "
-    "r AS (SELECT trace_id, sum(coalesce(k, 0) + 1)::BIGINT AS total_tokens, max({'at': at, 'found': found, 'who': who}) AS m FROM t GROUP BY trace_id), "
-    "s AS (SELECT trace_id, count(*)::INT AS n_spans, sum(CASE WHEN event_id % 7 <> 3 THEN ms ELSE 0 END)::BIGINT AS latency_ms, string_agg('s' || event_id || ':' || event_type || ':' || CASE WHEN event_id % 7 <> 3 THEN ms::VARCHAR ELSE 'open' END, ',' ORDER BY at, 's' || event_id) AS spans FROM t WHERE event_id % 11 <> 5 GROUP BY trace_id) "
+    "WITH t AS (SELECT 't' || (user_id % 16) || '-' || strftime(ts, '%Y%m%d') AS trace_id, epoch_us(ts) // 1000 AS place, event_id, event_type, floor(value)::BIGINT AS ms, (props->>'$.k')::BIGINT AS k, (user_id % 10)::INT AS found, (['none', 'bge', 'llm'])[user_id % 3 + 1] AS who FROM events), "
+    "r AS (SELECT trace_id, sum(coalesce(k, 0) + 1)::BIGINT AS total_tokens, max({'place': place, 'found': found, 'who': who}) AS m FROM t GROUP BY trace_id), "
+    "s AS (SELECT trace_id, count(*)::INT AS n_spans, sum(CASE WHEN event_id % 7 <> 3 THEN ms ELSE 0 END)::BIGINT AS latency_ms, string_agg('s' || event_id || ':' || event_type || ':' || CASE WHEN event_id % 7 <> 3 THEN ms::VARCHAR ELSE 'open' END, ',' ORDER BY place, 's' || event_id) AS spans FROM t WHERE event_id % 11 <> 5 GROUP BY trace_id) "
     "SELECT r.trace_id, coalesce(n_spans, 0) AS n_spans, coalesce(latency_ms, 0) AS latency_ms, coalesce(spans, '') AS spans, total_tokens, m.found AS chunks_retrieved, m.who AS reranker_used FROM r LEFT JOIN s ON s.trace_id = r.trace_id"
 )
 def trace_pairs(spark, d):

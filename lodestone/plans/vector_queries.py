@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ann, embedding, evaluation, retrieval, vector
+from ..sources import index_store, versioned
 from ..sources.shared import new_folder
 from .tables import Registry, read
 
@@ -113,6 +114,23 @@ def store_last_wins(spark, d):
     return vector.last_wins(read(spark, d, "embeddings").select("label", "vec_id"), ["label"], "vec_id")
 
 
+@_r.add()
+def index_upsert(spark, d):
+    """Two transactions over an index of all vectors: the second replaces a third of the chunks, adds some and deletes a fifth."""
+    rows = read(spark, d, "embeddings").select(
+        F.concat(F.lit("r"), (F.col("label") % 3).cast("string")).alias("repository_id"), F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("id"),
+        F.concat(F.lit("f"), F.col("label").cast("string")).alias("filepath"), F.lit(1).cast("long").alias("seq"), "embedding", "vec_id",
+    )
+    nodes = lambda r: r.select("repository_id", "filepath").distinct()
+    edges = lambda r: nodes(r).select("repository_id", F.col("filepath").alias("src"), F.lit("f0").alias("dst"))
+    root = new_folder(spark, "index")
+    index_store.upsert_index(spark, root, rows.drop("vec_id"), nodes(rows), edges(rows), "all-minilm")
+    new = rows.where("vec_id % 3 = 0").withColumn("seq", F.when(F.col("vec_id") % 2 == 0, F.lit(2)).otherwise(F.lit(0)).cast("long")).withColumn("filepath", F.lit("new"))
+    new = new.unionByName(rows.where("vec_id % 3 = 1").withColumn("id", F.concat("id", F.lit("+"))))
+    index_store.upsert_index(spark, root, new.drop("vec_id"), nodes(new), edges(new), "all-minilm", gone=rows.where("vec_id % 5 = 4").select("repository_id", "id"))
+    return versioned.read(spark, root, "embeddings").select("repository_id", "id", "filepath", "seq", F.size("embedding").alias("dimension"))
+
+
 @_r.add("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (1, 2, 3) AND label <> 4")
 def store_delete(spark, d):
     rows = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("filepath"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.vector import last_wins
 from ..schema import GRAPH_EDGES, GRAPH_NODES, INDEX_META
+from . import versioned
 
 TABLES = ("embeddings", "graph_nodes", "graph_edges", "index_meta")
 
@@ -26,6 +27,24 @@ def save_repository(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, path:
     save(edges.dropDuplicates(["src", "dst"]), path, "graph_edges", "repository_id" if "repository_id" in edges.columns else None)
 
 
+def upsert_index(spark: SparkSession, root: str, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, model: str, order: str = "seq", gone: DataFrame | None = None) -> int:
+    """One transaction over chunks (last by `order` wins), nodes, edges and meta; `gone`: (repository_id, id) of chunks to delete.
+
+    Only the buckets of touched keys are rewritten; the version's number is returned.
+    """
+    base, _ = versioned.manifest(spark, root)
+    head = chunks.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dimension")).select(
+        F.lit("1").alias("version"), F.current_timestamp().alias("indexed_at"), F.lit(model).alias("model"), F.col("dimension").cast("int").alias("dimension")
+    )
+    changes = {
+        "embeddings": versioned.Change(["repository_id", "id"], chunks, order, gone),
+        "graph_nodes": versioned.Change(["repository_id", "filepath"], nodes),
+        "graph_edges": versioned.Change(["repository_id", "src", "dst"], edges),
+        "index_meta": versioned.Change(["version"], head, "indexed_at"),
+    }
+    return versioned.commit(spark, root, changes, base)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at))
