@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Callable, Sequence
+import threading
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ LIMITS = {"top_k": (1, 50), "max_hops": (0, 5), "max_expanded_chunks": (1, 100)}
 RERANKERS = ("none", "bge", "llm")
 MAX_QUERY = 2000
 EXCERPT, PENALTY = 500, 0.1
+#: Fixed value: seconds that a reranking model has.
+RERANK_SECONDS = 30.0
 #: Positions of a model's answer that are read; more than any request's hits.
 MAX_PICKS = 200
 
@@ -55,10 +59,18 @@ def vector_stage(store: DataFrame, query: Sequence[float], o: Options) -> DataFr
     return hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumn("stage", F.lit("vector"))
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """A stage's rows, `top_k` at most, computed once and not again by each later use."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def graph_stage(hits: DataFrame, chunks: DataFrame, edges: DataFrame, o: Options) -> DataFrame:
     """Chunks of the hits' files and of files near them, in file order; hits keep their score, others have 0."""
+    hits = _held(hits)
     start = hits.groupBy("filepath").agg(F.min("rank").alias("rank"))
-    known = start.join(chunks.select("filepath").distinct(), "filepath", "left_semi")
+    files = sorted({r.filepath for r in hits.select("filepath").collect() if r.filepath is not None})
+    there = chunks.where(F.col("filepath").isin(files)).select("filepath").distinct()  # the filter reaches the scan
+    known = _held(start.join(F.broadcast(there), "filepath", "left_semi"))
     near = graph.expanded_chunks(edges, chunks.drop("embedding", "norm"), known, o.max_hops, o.max_expanded_chunks)
     scores = hits.select("id", F.col("score").alias("_score"), F.col("rank").alias("vector_rank"))
     return near.join(F.broadcast(scores), "id", "left").withColumn("score", F.coalesce("_score", F.lit(0.0))).drop("_score").withColumn("stage", F.lit("graph"))
@@ -70,20 +82,66 @@ def first_k(hits: DataFrame, k: int) -> DataFrame:
 
 
 def rerank_by(hits: DataFrame, scorer: Callable[[str, DataFrame], DataFrame], query: str, k: int) -> DataFrame:
-    """The best k by a scorer that gives (id, rerank_score); missing scores are 0, ties keep their order.
+    """The best k by a scorer that gives (id, rerank_score), perhaps with an `error`; missing scores are 0, ties keep their order.
 
-    k or fewer hits stay as they are; a scorer that fails leaves the first k.
+    k or fewer hits stay as they are; a scorer that fails, here or in a task, leaves the first k.
     """
     try:
         scores = scorer(query, hits)
     except Exception:  # a model's failures are of any kind
         return first_k(hits, k)
-    few = F.count("*").over(Window.partitionBy()) <= k  # hits are max_expanded_chunks at most
-    rows = hits.join(scores, "id", "left").withColumn("_few", few)
-    value = F.when(F.col("_few"), F.col("score")).otherwise(F.coalesce("rerank_score", F.lit(0.0)))
-    order = [F.when(F.col("_few"), F.lit(0.0)).otherwise(-value), F.col("rank")]
+    if "error" not in scores.columns:
+        scores = scores.withColumn("error", F.lit(None).cast("string"))
+    every = Window.partitionBy()  # hits are max_expanded_chunks at most
+    rows = hits.join(scores.select("id", "rerank_score", "error"), "id", "left")
+    rows = rows.withColumn("_few", F.count("*").over(every) <= k).withColumn("_failed", F.count("error").over(every) > 0)
+    as_is = F.col("_few") | F.col("_failed")
+    value = F.when(as_is, F.col("score")).otherwise(F.coalesce("rerank_score", F.lit(0.0)))
+    order = [F.when(as_is, F.lit(0.0)).otherwise(-value), F.col("rank")]
     out = rows.withColumn("score", value).withColumn("stage", F.lit("reranked")).withColumn("_at", F.row_number().over(Window.orderBy(*order)))
-    return out.where(F.col("_at") <= k).withColumn("rank", F.col("_at")).drop("_few", "_at", "rerank_score")
+    return out.where(F.col("_at") <= k).withColumn("rank", F.col("_at")).drop("_few", "_failed", "_at", "rerank_score", "error")
+
+
+def model_scorer(load: Callable[[], Callable[[str, list[str]], Sequence[float]]], limit_s: float = RERANK_SECONDS) -> Callable[[str, DataFrame], DataFrame]:
+    """A scorer that runs a model in the tasks: `load` gives it once a task, and it scores a batch of passages at a time.
+
+    (id, rerank_score, error): a batch that raises, answers with another number of scores or takes
+    longer than `limit_s` has null scores and says why; the plan then keeps the first k.
+    """
+
+    def scorer(query: str, hits: DataFrame) -> DataFrame:
+        read = passage(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("filepath", "start_line", "end_line", "node_type", "name", "content")))
+        schema = f"id {hits.schema['id'].dataType.simpleString()}, rerank_score double, error string"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model: list = []
+            for batch in batches:
+                scores, error = _within(limit_s, load, model, query, batch.column(1).to_pylist())
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores or [None] * n, pa.float64()), pa.array([error] * n, pa.string())], ["id", "rerank_score", "error"])
+
+        return hits.select("id", read.alias("passage")).mapInArrow(run, schema)
+
+    return scorer
+
+
+def _within(limit_s: float, load: Callable, model: list, query: str, passages: list[str]) -> tuple[list[float] | None, str | None]:
+    """The scores of a batch, or why there are none."""
+    out: list = []
+
+    def work() -> None:
+        try:
+            if not model:
+                model.append(load())
+            scores = [float(x) for x in model[0](query, passages)]
+            out.append((scores, None) if len(scores) == len(passages) else (None, f"{len(scores)} scores for {len(passages)} passages"))
+        except Exception as e:  # a model's failures are of any kind
+            out.append((None, f"{type(e).__name__}: {e}"))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(limit_s)
+    return out[0] if out else (None, f"no answer in {limit_s} s")
 
 
 def passage(path: Column, start: Column, end: Column, kind: Column, name: Column, content: Column) -> Column:
@@ -131,6 +189,7 @@ def rerank(hits: DataFrame, query: str, o: Options, scorer=overlap_scorer, ask:
     """By the reranker's name: none, bge by the scorer, llm by what `ask` says to the prompt; a failure leaves the first k."""
     if o.reranker == "none":
         return hits
+    hits = _held(hits)  # LIMITS bound them
     if o.reranker == "bge":
         return rerank_by(hits, scorer, query, o.rerank_top_k)
     try:
@@ -143,7 +202,7 @@ def rerank(hits: DataFrame, query: str, o: Options, scorer=overlap_scorer, ask:
 
 
 def retrieve(store: DataFrame, edges: DataFrame | None, query: Sequence[float], text: str = "", options: Options | None = None, scorer=overlap_scorer, ask=None) -> DataFrame:
-    """One lazy plan: vector top-k, graph expansion, rerank; an empty vector stage empties all."""
+    """Vector top-k, graph expansion, rerank, each computed once; an empty vector stage empties all."""
     o = options or Options()
     hits = vector_stage(store, query, o)
     if o.expand_graph and edges is not None:

@@ -120,3 +120,22 @@ def by_path(store: DataFrame, path: str) -> DataFrame:
 def stats(store: DataFrame, model: str, vector: str = "embedding") -> DataFrame:
     """One row: count, dimension, model."""
     return store.agg(F.count("*").alias("count"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dimension")).withColumn("model", F.lit(model))
+
+
+def register_search(spark: SparkSession, store: DataFrame, name: str = "search_chunks", key: str = "id", vector: str = "embedding") -> None:
+    """Make a table function known to the session's SQL: `SELECT * FROM search_chunks(query, match_count => 10, min_similarity => 0.3D)`.
+
+    The store's columns but its vectors, and `similarity`, which is greater than `min_similarity`; the
+    best `match_count` rows, ties by key.  Each task keeps as many before they meet.
+    """
+    store.createOrReplaceTempView(f"{name}_store")
+    own = [f for f in store.schema.fields if f.name not in (vector, "norm")]
+    listed, typed = ", ".join(f"`{f.name}`" for f in own), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
+    product = lambda a, b: f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x)"
+    q, v = f"{name}.query_embedding", f"CAST(`{vector}` AS ARRAY<DOUBLE>)"
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(query_embedding ARRAY<DOUBLE>, match_count INT DEFAULT 10, min_similarity DOUBLE DEFAULT 0.3D) RETURNS TABLE ({typed}, similarity DOUBLE) RETURN "
+        f"SELECT {listed}, similarity FROM (SELECT {listed}, similarity, row_number() OVER (ORDER BY similarity DESC, `{key}`) AS _place FROM ("
+        f"SELECT {listed}, coalesce({product(v, q)} / nullif(sqrt({product(v, v)}) * sqrt({product(q, q)}), 0D), 0D) AS similarity FROM {name}_store WHERE `{vector}` IS NOT NULL"
+        f") WHERE similarity > {name}.min_similarity) WHERE _place <= {name}.match_count"
+    )

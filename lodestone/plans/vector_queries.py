@@ -42,6 +42,15 @@ def vector_strict(spark, d):
     return _shown(vector.top_k(store, _query(store), 10, 0.3, strict=True, key="vec_id"))
 
 
+@_r.add(f"SELECT 'defaults' AS asked, vec_id, label, round(s, 6) AS similarity FROM (SELECT * FROM ({_SCORED}) WHERE s > 0.3 ORDER BY s DESC, vec_id LIMIT 10) UNION ALL SELECT 'given', vec_id, label, round(s, 6) FROM (SELECT * FROM ({_SCORED}) WHERE s > 0.1 ORDER BY s DESC, vec_id LIMIT 25)")
+def search_function(spark, d):
+    """The table function in SQL text, with its defaults and with given bounds."""
+    store = read(spark, d, "embeddings")
+    vector.register_search(spark, store, key="vec_id")
+    q = "array(" + ", ".join(f"{x!r}D" for x in _query(store)) + ")"
+    return spark.sql(f"SELECT 'defaults' AS asked, vec_id, label, round(similarity, 6) AS similarity FROM search_chunks({q}) UNION ALL SELECT 'given', vec_id, label, round(similarity, 6) FROM search_chunks({q}, min_similarity => 0.1D, match_count => 25)")
+
+
 @_r.add(f"SELECT vec_id, round(s, 6) AS score FROM ({_SCORED}) WHERE label = 3 AND s >= 0 ORDER BY s DESC, vec_id LIMIT 10")
 def vector_filtered(spark, d):
     store = read(spark, d, "embeddings")

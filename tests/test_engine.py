@@ -338,3 +338,45 @@ def test_scanner_takes_linear_time(text):
     began = time.time()
     list(chunking._typescript(text, True))
     assert time.time() - began < 10
+
+
+def _hits(spark, n=6):
+    rows = [(f"c{k}", f"f{k}.ts", k, k, "function", f"n{k}", "x" * k, 1.0 - k / 10, k + 1, "graph") for k in range(n)]
+    return spark.createDataFrame(rows, "id string, filepath string, start_line int, end_line int, node_type string, name string, content string, score double, rank int, stage string")
+
+
+@pytest.mark.parametrize(("case", "error"), [("raises", "no weights"), ("load", "ZeroDivisionError"), ("slow", "no answer"), ("short", "1 scores for")])
+def test_a_model_that_fails_in_a_task_leaves_the_first_k(spark, case, error):
+    def load():
+        import time
+
+        def raises(query, passages):
+            raise ValueError("no weights")
+
+        def slow(query, passages):
+            time.sleep(20)
+            return [0.0] * len(passages)
+
+        return {"raises": lambda: raises, "load": lambda: 1 / 0, "slow": lambda: slow, "short": lambda: lambda q, p: [1.0]}[case]()
+
+    hits = _hits(spark).coalesce(1)
+    scorer = retrieval.model_scorer(load, limit_s=1.0)
+    assert all(error in r.error and r.rerank_score is None for r in scorer("q", hits).collect())
+    got = retrieval.rerank_by(hits, scorer, "q", 3).orderBy("rank").collect()
+    assert [(r.id, r.score, r.stage) for r in got] == [("c0", 1.0, "reranked"), ("c1", 0.9, "reranked"), ("c2", 0.8, "reranked")]
+
+
+def test_a_model_in_the_tasks_ranks(spark):
+    hits = _hits(spark)
+    scorer = retrieval.model_scorer(lambda: lambda q, p: [float(x.count(q)) for x in p])
+    got = retrieval.rerank_by(hits, scorer, "x", 2).orderBy("rank").collect()
+    assert [(r.id, r.score, r["rank"]) for r in got] == [("c5", 5.0, 1), ("c4", 4.0, 2)]
+    assert [r.id for r in retrieval.rerank_by(hits.limit(2), scorer, "x", 2).orderBy("rank").collect()] == ["c0", "c1"]
+    assert "c3.ts" not in scorer("x", hits.limit(0)).collect()
+
+
+def test_search_function_of_sql(spark):
+    store = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.6, 0.8]), ("d", [0.3, 0.953939]), ("e", [0.0, 0.0]), ("f", None)], "id string, embedding array<float>")
+    vector.register_search(spark, store)
+    asked = lambda more="": [r.id for r in spark.sql(f"SELECT * FROM search_chunks(array(1D, 0D){more}) ORDER BY similarity DESC, id").collect()]
+    assert asked() in (["a", "b", "c"], ["a", "b", "c", "d"]) and asked(", 1") == ["a"] and asked(", 10, 0.5D") == ["a", "b", "c"] and asked(", min_similarity => -1D") == ["a", "b", "c", "d", "e"] and asked(", match_count => 0") == []
