@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,96 @@ def exact_percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[s
     return counted.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * F.lit(q)), F.col(value))).alias(name) for name, q in shares.items()))
 
 
+#: Buckets of the latency sketch for each power of two, and parts that a bracket is cut into.
+_FINE, _PARTS = 64, 4096
+
+
+def latency_bucket(value: Column) -> Column:
+    """The bucket of a whole number that is not negative: itself below 64, then 64 buckets for each power of two.
+
+    Counts by bucket merge by addition, a few thousand rows at most.
+    """
+    v = F.greatest(value.cast("long"), F.lit(0).cast("long"))
+    e = F.length(F.bin(v)) - 1
+    return F.when(v < _FINE, v).otherwise((e - 5) * _FINE + F.call_function("shiftright", v, F.greatest(e - 6, F.lit(0))) - _FINE).cast("long")
+
+
+def bucket_bounds(bucket: int) -> tuple[int, int]:
+    """The least and the greatest number of a bucket."""
+    if bucket < _FINE:
+        return bucket, bucket
+    wide = bucket // _FINE - 1
+    low = (bucket % _FINE + _FINE) << wide
+    return low, low + (1 << wide) - 1
+
+
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], counts: dict[int, int] | None = None) -> dict[str, int | None]:
+    """The elements at floor(n * share) of all sorted values, exactly; values are whole and not negative.
+
+    The counts by bucket (of stored states, or counted here) name a bracket for each share; values in
+    the brackets are counted again in ever finer parts.  Nothing is sorted and no task sees all values.
+    """
+    known = rows.where(F.col(value).isNotNull())
+    if counts is None:
+        counts = {r.b: r.n for r in known.groupBy(latency_bucket(F.col(value)).alias("b")).agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    if not total:
+        return dict.fromkeys(shares)
+    open_, done = {}, {}
+    for name, q in shares.items():
+        place = min(math.floor(total * q), total - 1)
+        for b in sorted(counts):
+            if place < counts[b]:
+                open_[name] = (*bucket_bounds(b), place)
+                break
+            place -= counts[b]
+    while open_:
+        for name in [n for n, (low, high, _) in open_.items() if low == high]:
+            done[name] = open_.pop(name)[0]
+        brackets = sorted({(low, high) for low, high, _ in open_.values()})
+        if not brackets:
+            break
+        step = {b: -(-(b[1] - b[0] + 1) // _PARTS) for b in brackets}
+        number = F.coalesce(*(F.when(F.col(value).between(*b), F.lit(k)) for k, b in enumerate(brackets)))
+        part = F.coalesce(*(F.when(F.col(value).between(*b), F.floor((F.col(value) - b[0]) / step[b])) for b in brackets))
+        found = known.select(F.col(value).cast("long").alias(value)).select(number.alias("k"), part.alias("p")).where("k is not null").groupBy("k", "p").agg(F.count("*").alias("n")).orderBy("k", "p").collect()
+        for name, (low, high, place) in list(open_.items()):
+            k = brackets.index((low, high))
+            for r in (r for r in found if r.k == k):
+                if place < r.n:
+                    a = low + r.p * step[low, high]
+                    open_[name] = (a, min(high, a + step[low, high] - 1), place)
+                    break
+                place -= r.n
+    return done
+
+
+def daily_states(traces: DataFrame) -> DataFrame:
+    """Partial states by day, mode, reranker, success and latency bucket; states of any days merge by addition."""
+    rows = traces.withColumn("latency", latency(F.col("spans")))
+    day = F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM-dd")
+    return rows.groupBy(day.alias("day"), "mode", "reranker_used", "success", latency_bucket(F.col("latency")).alias("bucket")).agg(
+        F.count("*").alias("n"), F.sum("latency").alias("latency"), F.coalesce(F.sum("token_usage.total_tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("cost_estimate.total_cost"), F.lit(0.0)).alias("cost"),
+        F.coalesce(F.sum("chunks_retrieved"), F.lit(0)).alias("chunks"), F.count("chunks_retrieved").alias("n_chunks"),
+    )
+
+
+def merged_metrics(states: DataFrame, traces: DataFrame, first: str, last: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """Metrics of the days from first to last, of their states; percentiles look at the traces only inside their brackets."""
+    shares = {"p50_latency": 0.5, "p95_latency": 0.95, "p99_latency": 0.99} if shares is None else shares
+    own = states.where(F.col("day").between(first, last))
+    counts = {r.bucket: r.n for r in own.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    day = F.date_format(F.timestamp_millis("timestamp"), "yyyy-MM-dd")
+    rows = traces.where(day.between(first, last)).withColumn("latency", latency(F.col("spans")))
+    high = quantiles(rows, "latency", shares, counts)
+    mean = lambda a, b: F.coalesce(F.sum(a) / F.nullif(F.sum(b), F.lit(0)), F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return own.agg(
+        zero(F.sum("n")).alias("requests"), zero(F.sum(F.when(F.col("success"), F.col("n")))).alias("succeeded"), zero(F.sum(F.when(~F.col("success"), F.col("n")))).alias("failed"), zero(F.sum("tokens")).alias("tokens"),
+        F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"), mean("latency", "n").alias("average_latency"), mean("chunks", "n_chunks").alias("average_chunks"), *(F.lit(v or 0).cast("long").alias(k) for k, v in high.items()),
+    )
+
+
 def latency(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["duration_ms"], F.lit(0)))
 
@@ -61,9 +152,9 @@ def metrics(traces: DataFrame, start: int | None = None, end: int | None = None)
         F.count("*").alias("requests"), F.count_if("success").alias("succeeded"), F.count_if(~F.col("success")).alias("failed"), F.coalesce(F.sum("token_usage.total_tokens"), F.lit(0)).alias("tokens"),
         F.coalesce(F.sum("cost_estimate.total_cost"), F.lit(0.0)).alias("cost"), F.coalesce(F.avg("latency"), F.lit(0.0)).alias("average_latency"), F.coalesce(F.avg("chunks_retrieved"), F.lit(0.0)).alias("average_chunks"),
     )
-    high = exact_percentiles(rows.withColumn("_one", F.lit(1)), ["_one"], "latency", {"p95_latency": 0.95}).agg(F.coalesce(F.max("p95_latency"), F.lit(0)).alias("p95_latency"))
+    p95 = quantiles(rows, "latency", {"p95_latency": 0.95})["p95_latency"] or 0
     count = lambda c: rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct(c, "n"))).alias(f"by_{c}"))
-    return total.crossJoin(high).crossJoin(count("mode")).crossJoin(count("reranker_used"))
+    return total.withColumn("p95_latency", F.lit(p95).cast("long")).crossJoin(count("mode")).crossJoin(count("reranker_used"))
 
 
 def recent(traces: DataFrame, n: int, order: str = "timestamp", key: str = "id") -> DataFrame:

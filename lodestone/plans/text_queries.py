@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analyzers, context
+from ..operators import analyzers, context, substring
+from ..sources.shared import new_folder
 from .tables import Registry, read
 
 _r = Registry()
@@ -60,3 +61,11 @@ def answer_views(spark, d):
 @_r.add("SELECT * FROM (VALUES (0, 'chunks', '[1]'), (1, 'text', 'hello'), (2, 'done', '{}'), (3, 'error', 'bad')) t(seq, kind, body)")
 def stream_decode(spark, d):
     return context.decode_stream(spark.createDataFrame([(0, "2:[1]"), (1, "0:hello"), (2, "d:{}"), (3, "3:bad"), (4, "x:?")], "seq int, line string"))
+
+
+@_r.add()
+def substring_search(spark, d):
+    """Documents that hold a word anywhere, from an index of all their trigrams."""
+    path = new_folder(spark, "grams")
+    substring.build(read(spark, d, "documents").select("doc_id", "text", "source"), path, "doc_id", ["text"])
+    return substring.search(spark, path, "License").select("doc_id", "source")

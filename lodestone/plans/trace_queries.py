@@ -42,6 +42,18 @@ def metrics_summary(spark, d):
     return m.select(*(F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in m.columns if not c.startswith("by_")))
 
 
+@_r.add(
+    _T + "SELECT count(*) AS requests, sum(success::INT)::BIGINT AS succeeded, sum((NOT success)::INT)::BIGINT AS failed, coalesce(sum(tokens), 0)::BIGINT AS tokens, round(coalesce(sum(cost), 0), 6) AS cost, round(avg(ms), 6) AS average_latency, round(avg(chunks), 6) AS average_chunks, "
+    f"{_AT(0.5)} AS p50_latency, {_AT(0.95)} AS p95_latency, {_AT(0.99)} AS p99_latency FROM t WHERE day BETWEEN '2024-01-05' AND '2024-01-25'"
+)
+def metrics_merged(spark, d):
+    """Three weeks out of daily partial states."""
+    rows = traces(spark, d)
+    m = telemetry.merged_metrics(telemetry.daily_states(rows), rows, "2024-01-05", "2024-01-25")
+    rounded = {"cost", "average_latency", "average_chunks"}
+    return m.select(*(F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in m.columns))
+
+
 @_r.add(_T + f"SELECT mode, count(*) AS n FROM t WHERE timestamp BETWEEN {_START} AND {_END} GROUP BY mode")
 def metrics_by_mode(spark, d):
     return telemetry.metrics(traces(spark, d), _START, _END).select(F.explode("by_mode").alias("mode", "n"))
