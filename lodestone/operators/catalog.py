@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import repository_id
+from .vector import last_wins
 
 
 def with_ids(rows: DataFrame, url: str = "url") -> DataFrame:
@@ -20,10 +21,14 @@ def ready(repositories: DataFrame) -> DataFrame:
     return rows.withColumn("stars", F.coalesce("stars", F.lit(0))).withColumn("default_branch", F.coalesce("default_branch", F.lit("main"))).withColumn("file_count", F.coalesce("file_count", F.lit(0))).withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
 
 
-def upsert(repositories: DataFrame, new: DataFrame, keep: tuple[str, ...] = ("indexed_at",)) -> DataFrame:
-    """New rows replace those of their id; `keep` columns stay where the new value is null."""
+def upsert(repositories: DataFrame, new: DataFrame, keep: tuple[str, ...] = ("indexed_at",), order: str | None = None) -> DataFrame:
+    """New rows replace those of their id; `keep` columns stay where the new value is null.
+
+    Of new rows with one id the one with the greatest `order` wins, then the greatest row.
+    """
     fresh = F.col("n._new").isNotNull()
-    both = repositories.alias("o").join(new.dropDuplicates(["id"]).withColumn("_new", F.lit(1)).alias("n"), "id", "full")
+    ranked = new.withColumn("_at", F.struct(*([order] if order else []), *new.columns))
+    both = repositories.alias("o").join(last_wins(ranked, ["id"], "_at").select(*new.columns).withColumn("_new", F.lit(1)).alias("n"), "id", "full")
     cols = [F.when(fresh, F.coalesce(f"n.{c}", f"o.{c}") if c in keep else F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in repositories.columns if c != "id"]
     return both.select("id", *cols)
 

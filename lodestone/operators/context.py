@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .retrieval import LIMITS, RERANKERS
+
 MAX_MESSAGES, MAX_CONTENT = 50, 2000
 ROLES = ("user", "assistant")
 
@@ -43,16 +45,21 @@ def last_user_message(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("role") == "user").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
 
 
-def chat_errors(messages: DataFrame) -> DataFrame:
-    """(conv_id, error): the first rule that a conversation breaks; null if none."""
-    rows = messages.groupBy("conv_id").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("role").isNull() | ~F.col("role").isin(*ROLES)).alias("roles"),
-        F.count_if(F.col("text").isNull()).alias("missing"),
-        F.count_if(F.length("text") > MAX_CONTENT).alias("long"),
-    )
-    error = F.when(F.col("n") > MAX_MESSAGES, "too many messages").when(F.col("roles") > 0, "invalid role").when(F.col("missing") > 0, "content is required").when(F.col("long") > 0, "content too long")
-    return rows.select("conv_id", error.alias("error"))
+def chat_errors(messages: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """(conv_id, error): the first rule that a conversation breaks; null if none.
+
+    Too many messages, then each message in order of turn: role, content, length.  With `requests`
+    (conv_id, top_k, reranker) first whether there are messages at all, and last the options.
+    """
+    own = F.when(F.col("role").isNull() | ~F.col("role").isin(*ROLES), "invalid role").when(F.col("text").isNull(), "content is required").when(F.length("text") > MAX_CONTENT, "content too long")
+    rows = messages.withColumn("_own", own).groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by("_own", F.when(F.col("_own").isNotNull(), F.struct("turn", "_own"))).alias("own"))
+    error = F.when(F.col("n") > MAX_MESSAGES, "too many messages").otherwise(F.col("own"))
+    if requests is None:
+        return rows.select("conv_id", error.alias("error"))
+    low, high = LIMITS["top_k"]
+    option = F.when(~F.col("top_k").between(low, high), f"top_k must be between {low} and {high}").when(~F.col("reranker").isin(*RERANKERS), "reranker must be one of " + ", ".join(RERANKERS))
+    both = requests.select("conv_id", "top_k", "reranker").join(rows, "conv_id", "left")
+    return both.select("conv_id", F.when(F.col("n").isNull(), "messages are required").otherwise(F.coalesce(error, option)).alias("error"))
 
 
 def decode_stream(rows: DataFrame) -> DataFrame:

@@ -73,18 +73,35 @@ def workspace_packages(manifests: DataFrame) -> DataFrame:
     return rows.select(F.get_json_object("content", "$.name").alias("package"), parent(F.col("filepath")).alias("directory")).where("package is not null")
 
 
-def candidates(base: Column, follow: bool = True) -> Column:
-    """Files that a resolved path may mean, best first; without `follow` only the path or its `.ts` file."""
-    known = F.concat(F.lit(""), base).rlike("(" + "|".join(e.replace(".", r"\.") for e in FILE_EXTENSIONS) + ")$")
-    spelled = [F.concat(base, F.lit(e)) for e in FILE_EXTENSIONS] + [F.concat(base, F.lit("/index" + e)) for e in FILE_EXTENSIONS]
-    return F.when(known, F.array(base)).otherwise(F.array(*(spelled if follow else spelled[:1])))
+_KNOWN = r"(" + "|".join(e.replace(".", r"\.") for e in FILE_EXTENSIONS) + ")$"
+
+
+def spellings(files: DataFrame, follow: bool = True) -> DataFrame:
+    """(key, exact, choice, dst): the paths under which imports may name a file, two or three each.
+
+    Its own path is exact; without its extension, or as the folder of an index file, it is the better
+    the lower `choice` is.  Without `follow` only `.ts` files may be named without their extension.
+    """
+    path = F.col("filepath")
+    extension = F.regexp_extract(path, _KNOWN, 1)
+    rank = F.array_position(F.array(*map(F.lit, FILE_EXTENSIONS)), extension).cast("int") - 1
+    stem = F.expr("substr(filepath, 1, length(filepath) - length(_e))")
+    key = lambda k, exact, choice: F.struct(k.alias("key"), F.lit(exact).alias("exact"), choice.cast("int").alias("choice"))
+    n = len(FILE_EXTENSIONS)
+    own = files.select("filepath").distinct().withColumn("_e", extension).withColumn("_r", rank)
+    named = F.filter(
+        F.array(key(path, True, F.lit(0)), key(stem, False, F.col("_r")), key(F.regexp_replace(stem, "/index$", ""), False, F.when(stem.endswith("/index"), F.col("_r") + n))),
+        lambda x: x["exact"] | (x["choice"].isNotNull() & (x["choice"] >= 0) & (x["choice"] < (2 * n if follow else 1))),
+    )
+    return own.select(F.explode(named).alias("s"), path.alias("dst")).select("s.*", "dst")
 
 
 def edges(files: DataFrame, packages: DataFrame | None = None, follow: bool = True) -> DataFrame:
     """(src, dst, seq): distinct imports of known files; seq is their order within src.
 
     Relative paths resolve against the importing file, scoped names against workspace packages; other
-    packages are external.  An equi-join with the files gives the existence check.
+    packages are external.  One equi-join with the files' spellings finds the file that is meant: an
+    import is one row in it, whatever its extension may be.
     """
     rows = imports(files).withColumn("at", F.struct("line", "pos"))
     relative = rows.where(F.col("from").startswith(".") | F.col("from").startswith("/"))
@@ -95,9 +112,9 @@ def edges(files: DataFrame, packages: DataFrame | None = None, follow: bool = Tr
         rest = F.array_join(F.slice("parts", 3, F.greatest(F.size("parts") - 2, F.lit(0))), "/")
         scoped = scoped.join(packages, "package").withColumn("base", F.when(rest == "", F.col("directory")).otherwise(normal(F.concat_ws("/", "directory", rest))))
         targets = targets.unionByName(scoped.select("filepath", "at", "base"))
-    tried = targets.select("filepath", "at", F.posexplode(candidates(F.col("base"), follow)).alias("choice", "dst"))
-    known = tried.join(files.select(F.col("filepath").alias("dst")).distinct(), "dst")
-    best = known.groupBy("filepath", "at").agg(F.min_by("dst", "choice").alias("dst"))
+    asked = targets.select("filepath", "at", F.col("base").alias("key"), F.col("base").rlike(_KNOWN).alias("exact"))
+    known = asked.join(spellings(files, follow), ["key", "exact"])
+    best = known.groupBy("filepath", "at").agg(F.min_by("dst", F.struct("choice", "dst")).alias("dst"))
     once = best.groupBy(F.col("filepath").alias("src"), "dst").agg(F.min("at").alias("at"))
     return once.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("at", "dst")).cast("long").alias("seq"))
 

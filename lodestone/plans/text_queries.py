@@ -17,14 +17,27 @@ def last_user_message(spark, d):
     return context.last_user_message(read(spark, d, "conversations"))
 
 
-@_r.add(
-    "SELECT conv_id, CASE WHEN count(*) > 50 THEN 'too many messages' WHEN sum((role IS NULL OR role NOT IN ('user', 'assistant'))::INT) > 0 THEN 'invalid role' WHEN sum((text IS NULL)::INT) > 0 THEN 'content is required' "
-    "WHEN sum((length(text) > 2000)::INT) > 0 THEN 'content too long' END AS error FROM conversations GROUP BY conv_id"
-)
+_OWN = "CASE WHEN role IS NULL OR role NOT IN ('user', 'assistant') THEN 'invalid role' WHEN text IS NULL THEN 'content is required' WHEN length(text) > 2000 THEN 'content too long' END"
+_ERRORS = f"SELECT conv_id, CASE WHEN count(*) > 50 THEN 'too many messages' ELSE arg_min(own, turn) FILTER (own IS NOT NULL) END AS error FROM (SELECT *, {_OWN} AS own FROM conversations) GROUP BY conv_id"
+
+
+@_r.add(_ERRORS)
 def chat_validation(spark, d):
     return context.chat_errors(read(spark, d, "conversations"))
 
 
+@_r.add(
+    f"WITH e AS ({_ERRORS}), r AS (SELECT DISTINCT conv_id + 1 AS conv_id FROM conversations) SELECT r.conv_id, CASE WHEN e.conv_id IS NULL THEN 'messages are required' WHEN error IS NOT NULL THEN error "
+    "WHEN r.conv_id % 60 NOT BETWEEN 1 AND 50 THEN 'top_k must be between 1 and 50' WHEN r.conv_id % 7 = 3 THEN 'reranker must be one of none, bge, llm' END AS error FROM r LEFT JOIN e ON e.conv_id = r.conv_id"
+)
+def chat_requests(spark, d):
+    """A request for the conversation after each one, some without messages or with options out of bounds."""
+    rows = read(spark, d, "conversations")
+    asked = rows.select((F.col("conv_id") + 1).alias("conv_id")).distinct()
+    asked = asked.withColumn("top_k", (F.col("conv_id") % 60).cast("int")).withColumn("reranker", F.when(F.col("conv_id") % 7 == 3, "other").otherwise("bge"))
+    return context.chat_errors(rows, asked)
+
+
 @_r.add("SELECT conv_id, ceil(sum(length(text)) / 4.0)::BIGINT AS input_tokens, sum(ceil(length(text) / 4.0))::BIGINT AS output_tokens FROM conversations GROUP BY conv_id")
 def token_estimate(spark, d):
     return read(spark, d, "conversations").groupBy("conv_id").agg(context.input_tokens(F.sum(F.length("text"))).alias("input_tokens"), F.sum(context.input_tokens(F.length("text"))).alias("output_tokens"))
