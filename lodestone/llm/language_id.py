@@ -113,11 +113,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
 
     if base.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"labelled text has more than {MAX_LANGUAGES} languages")
-    rows = base.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r[0] for r in rows})
+    rows = base.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    coded = rows.column("lang").combine_chunks().dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    langs = sorted(found)
     table = np.full((len(langs), 1 << BITS), 0.5)
-    for lang, gram, n in rows:
-        table[langs.index(lang), gram] += n
+    place = np.array([langs.index(x) for x in found], np.int64)
+    table[place[coded.indices.to_numpy(zero_copy_only=False)], rows.column("gram").to_numpy()] += rows.column("n").to_numpy()
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
@@ -156,8 +158,9 @@ def identify(pages: DataFrame, documents: DataFrame, id_col: str = "page_id", ur
     """One row per row of `pages`: page_id, lang, posterior, text_lang, declared, host.
 
     documents: (text, lang) of labelled text.  A page without text, declaration and host has the overall
-    prior's language; null html and url are empty; repeated rows each count; without any labelled
-    text lang and posterior are null.  Ties go to the first language by name.
+    prior's language; null html and url are empty; null ids are answered like others; repeated rows each
+    count; no pages give no rows; without any labelled text lang and posterior are null.  Ties go to
+    the first language by name.  Other columns are not read.
     """
     langs, log_p = train(documents)
     if not langs:
@@ -182,6 +185,7 @@ def identify(pages: DataFrame, documents: DataFrame, id_col: str = "page_id", ur
     ended = {r["suffix"]: [float(r[f"s{k}"]) for k in range(size)] for r in suffixes.collect()}
 
     def log_likelihood(seen: dict[str, list[float]]):
+        seen = seen or {"": [0.0] * size}  # an empty map has no type
         out = [F.lit(x) for name, counts in seen.items() for x in (name, F.array(*(F.lit(float(np.log((c + 0.5) / (t + 0.5 * (len(seen) + 1))))) for c, t in zip(counts, total, strict=True))))]
         return F.create_map(*out)
 
