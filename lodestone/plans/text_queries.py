@@ -71,9 +71,12 @@ def answer_views(spark, d):
     return rows.select("conv_id", "turn", F.array_join(analyzers.views(F.col("text"), F.lit("")), ",").alias("views"))
 
 
-@_r.add("SELECT * FROM (VALUES (0, 'chunks', '[1]'), (1, 'text', 'hello'), (2, 'done', '{}'), (3, 'error', 'bad')) t(seq, kind, body)")
+@_r.add("SELECT conv_id * 1000 + turn AS seq, (['chunks', 'text', 'done', 'error'])[turn % 5 + 1] AS kind, coalesce(text, '') AS body FROM conversations WHERE turn % 5 < 4")
 def stream_decode(spark, d):
-    return context.decode_stream(spark.createDataFrame([(0, "2:[1]"), (1, "0:hello"), (2, "d:{}"), (3, "3:bad"), (4, "x:?")], "seq int, line string"))
+    """Each message as a protocol line; every fifth kind of line is unknown."""
+    code = F.element_at(F.array(*map(F.lit, "20d3x")), (F.col("turn") % 5 + 1).cast("int"))
+    rows = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat(code, F.lit(":"), F.coalesce("text", F.lit(""))).alias("line"))
+    return context.decode_stream(rows)
 
 
 @_r.add()

@@ -151,10 +151,16 @@ def store_stats(spark, d):
     return vector.stats(read(spark, d, "embeddings"), "all-minilm")
 
 
-@_r.add("SELECT model, coalesce(d, 1536) AS dimension FROM (VALUES ('all-minilm', 384), ('text-embedding-3-large', 3072), ('unknown', NULL)) t(model, d)")
+_MODELS = [*vector.DIMENSIONS, "unknown"]
+
+
+@_r.add(
+    "WITH m(model, d) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in vector.DIMENSIONS.items()) + f") SELECT doc_id, name AS model, coalesce(d, 1536) AS dimension FROM (SELECT doc_id, ({_MODELS})[doc_id % {len(_MODELS)} + 1] AS name FROM documents) LEFT JOIN m ON m.model = name"
+)
 def model_dimension(spark, d):
-    rows = spark.createDataFrame([("all-minilm",), ("text-embedding-3-large",), ("unknown",)], "model string")
-    return rows.withColumn("dimension", vector.dimension(F.col("model")))
+    """Each document with a model of the list or an unknown one."""
+    name = F.element_at(F.array(*map(F.lit, _MODELS)), (F.col("doc_id") % len(_MODELS) + 1).cast("int"))
+    return read(spark, d, "documents").select("doc_id", name.alias("model"), vector.dimension(name).alias("dimension"))
 
 
 _BYTE = "(('0x' || substr(sha256(text), (i % 32) * 2 + 1, 2))::INT / 255.0::DOUBLE * 2 - 1)"
@@ -200,22 +206,27 @@ def eval_summary(spark, d):
     return s.select("cases", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "mrr")), "passed")
 
 
-_CASES = [(1, "Hash and VERIFY", ["hash", "verify"], "auth", "easy"), (2, "nothing here", ["token", "here"], "auth", "hard"), (3, "none", ["a", "b"], "data", "easy"), (4, "", [], "data", "hard")]
-_CASES_SQL = "WITH a(id, text, patterns, category, difficulty) AS (VALUES " + ", ".join(f"({i}, '{t}', {p}::VARCHAR[], '{c}', '{h}')" for i, t, p, c, h in _CASES) + "), s AS (SELECT *, len(list_filter(patterns, lambda p: contains(lower(text), lower(p)))) AS found FROM a), r AS (SELECT *, CASE WHEN len(patterns) > 0 THEN found * 1.0::DOUBLE / len(patterns) ELSE 0 END AS score FROM s) "
+_CASES_SQL = (
+    "WITH a AS (SELECT conv_id * 1000 + turn AS id, coalesce(text, '') AS text, CASE turn % 4 WHEN 0 THEN ['THE', 'de', 'zz'] WHEN 1 THEN ['La', 'und'] WHEN 2 THEN [] ELSE ['.', 'qqq', 'e', 'x'] END::VARCHAR[] AS patterns, role AS category, CASE WHEN conv_id % 2 = 0 THEN 'easy' ELSE 'hard' END AS difficulty FROM conversations), "
+    "s AS (SELECT *, len(list_filter(patterns, lambda p: contains(lower(text), lower(p)))) AS found FROM a), r AS (SELECT *, CASE WHEN len(patterns) > 0 THEN found * 1.0::DOUBLE / len(patterns) ELSE 0 END AS score FROM s) "
+)
 
 
-def _patterns(spark):
-    return evaluation.pattern_score(spark.createDataFrame(_CASES, "id int, text string, patterns array<string>, category string, difficulty string"))
+def _patterns(spark, d):
+    """Each message as an answer, with patterns by its turn."""
+    wanted = F.expr("CASE turn % 4 WHEN 0 THEN array('THE', 'de', 'zz') WHEN 1 THEN array('La', 'und') WHEN 2 THEN cast(array() AS array<string>) ELSE array('.', 'qqq', 'e', 'x') END")
+    rows = read(spark, d, "conversations")
+    return evaluation.pattern_score(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"), wanted.alias("patterns"), F.col("role").alias("category"), F.when(F.col("conv_id") % 2 == 0, "easy").otherwise("hard").alias("difficulty")))
 
 
 @_r.add(_CASES_SQL + "SELECT id, found AS n_found, len(patterns) - found AS n_missed, score, score >= 0.5 AS passed FROM r")
 def pattern_score(spark, d):
-    return _patterns(spark).select("id", F.size("found").alias("n_found"), F.size("missed").alias("n_missed"), "score", "passed")
+    return _patterns(spark, d).select("id", F.size("found").alias("n_found"), F.size("missed").alias("n_missed"), "score", "passed")
 
 
 @_r.add(_CASES_SQL + "SELECT category, difficulty, count(*) AS n, avg((score >= 0.5)::INT) AS rate FROM r GROUP BY GROUPING SETS ((category), (difficulty), ())")
 def pass_rates(spark, d):
-    return evaluation.pass_rates(_patterns(spark))
+    return evaluation.pass_rates(_patterns(spark, d))
 
 
 @_r.add(f"SELECT vec_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, vec_id) AS rank, 'vector' AS stage FROM ({_SCORED}) WHERE s >= 0 ORDER BY s DESC, vec_id LIMIT 10")
