@@ -19,7 +19,7 @@ from . import nearest
 #: Rows that centroids are fitted on at most, rounds of fitting, lists at most, and rows of a file of the index.
 SAMPLE, ROUNDS, MOST_LISTS, FILE_ROWS = 200_000, 12, 4096, 1_000_000
 #: Share of the exact answers that a search is tuned to find, and rows that this is measured on.
-TARGET, TUNING_ROWS = 0.95, 500
+TARGET, TUNING_ROWS = 0.98, 500
 #: The list of rows without a vector, and that of vectors of length 0.
 NO_VECTOR, NO_LENGTH = -1, 0
 
