@@ -31,8 +31,11 @@ from .textcore import distinct_shingles, mix64
 
 NUMERATOR, DENOMINATOR = 3, 4
 SHINGLE = 5
-#: Longest multi-match that is considered, and the cost of a verification in index entries.
-MOST_MATCHES, VERIFY_COST = 4, 40.0
+#: Multi-matches that are considered.  A passage of a few words that texts share gives several adjacent
+#: shingles at once: only a longer multi-match tells such pairs from near copies.
+MATCHES = (1, 2, 3, 4, 6, 8, 12, 16)
+#: The cost of a verification in index entries.
+VERIFY_COST = 40.0
 #: Counters of the frequency sketch: a fixed size for any corpus beyond 2**24 * 32 shingles.
 SKETCH_BITS = (12, 24)
 #: Estimated frequency from which a shingle's entries skip the packing by bins, which must hold a bin.
@@ -118,17 +121,17 @@ def choose_matches(order_frequency: np.ndarray, n: int) -> int:
     Costs are those of partners of like size, whose pair prefix has n - o + l shingles for the overlap o.
     """
     overlap = -(-2 * NUMERATOR * n // (NUMERATOR + DENOMINATOR))
-    lengths = np.cumsum(np.maximum(order_frequency[: n - overlap + MOST_MATCHES], 0))
-    most = min(MOST_MATCHES, overlap_needed(n))
-    cost = [lengths[min(n - overlap + m, len(lengths)) - 1] * (1 + VERIFY_COST / m) for m in range(1, most + 1)]
-    return int(np.argmin(cost)) + 1
+    lengths = np.cumsum(np.maximum(order_frequency[: n - overlap + MATCHES[-1]], 0))
+    able = [m for m in MATCHES if m <= overlap_needed(n)]
+    cost = [lengths[min(n - overlap + m, len(lengths)) - 1] * (1 + VERIFY_COST / m) for m in able]
+    return able[int(np.argmin(cost))]
 
 
 def postings(nodes: DataFrame, sketch: np.ndarray, bits: int, total: int = 0) -> DataFrame:
     """Entries (token, node, n, p, l) of the shingles that more than one node may have in its prefix; p: place in the set's order."""
     shared = nodes.sparkSession.sparkContext.broadcast(sketch)  # 1 << bits bytes
-    typical = float(np.mean(sketch[sketch > 0])) if sketch.any() else 0.0
-    noise = 2 ** (typical / 8) - 1  # what unrelated shingles add to a counter
+    # what unrelated shingles add to a counter: the median of all counters, empty ones too, as frequent shingles fill few
+    noise = 2 ** (float(np.median(sketch)) / 8) - 1
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -139,7 +142,7 @@ def postings(nodes: DataFrame, sketch: np.ndarray, bits: int, total: int = 0) ->
                 if not n:
                     continue
                 level = table[(own >> np.uint64(64 - bits)).astype(np.int64)]
-                first = np.lexsort((own, level))[: n - overlap_needed(n) + MOST_MATCHES]
+                first = np.lexsort((own, level))[: n - overlap_needed(n) + MATCHES[-1]]
                 estimate = np.exp2(level[first] / 8.0) - 1
                 matches = choose_matches(estimate - noise, n)
                 take = n - overlap_needed(n) + matches

@@ -12,7 +12,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from lodestone.llm import fingerprints, gif, secret_scan
+from lodestone.llm import fingerprints, gif, jaccard_join, secret_scan
 from lodestone.llm.components import components
 from lodestone.llm.jaccard_join import similarity_components
 from lodestone.llm.language_id import declared_language, host_levels, identify
@@ -476,6 +476,35 @@ def test_similarity_of_extended_texts(spark):
     assert sum(v[1] != k for k, v in got.items()) > 40
 
 
+def test_similarity_of_pages_from_templates(spark, monkeypatch):
+    """Pages of the same few paragraphs in any order: hardly a pair is a candidate, and the edited copies are found."""
+    rnd = random.Random(5)
+    paragraphs = [" ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(15)) for _ in range(40)]
+    rows = [(k, " ".join(rnd.sample(paragraphs, 8))) for k in range(1200)]
+    rows += [(5000 + k, f"{rows[k][1]} Page {k}") for k in range(0, 1200, 40)]
+    seen = {}
+    write = jaccard_join.stored
+
+    def spy(df, name):
+        out = write(df, name)
+        if name in ("star", "candidates"):
+            seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", spy)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert all(got[5000 + k][1] == k for k in range(0, 1200, 40))
+    assert seen["candidates"] < 3 * len(rows) and seen["star"] < 8 * len(rows)
+
+
+def test_choice_of_matches():
+    choose = jaccard_join.choose_matches
+    assert choose(np.zeros(200), 120) == 1  # nobody to meet
+    assert choose(np.full(200, 50.0), 120) == 16  # common shingles only
+    assert choose(np.full(3, 50.0), 3) in (1, 2, 3) and choose(np.full(1, 9.0), 1) == 1
+
+
 def test_similarity_of_repeated_and_null_ids(spark):
     text = "one two three four five six"
     rows = [(5, text), (5, text), (5, "other words are here too now"), (9, "other words are here too now"), (None, text), (2, None)]
