@@ -1,11 +1,14 @@
-"""Dependency graph: import and export rows, resolution, edges, bounded expansion, statistics."""
+"""Dependency graph: import and export rows, resolution, edges, bounded and whole expansion, statistics."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import normal, parent, trim
+from ..sources.shared import new_folder
 
 #: Line patterns of imports and exports.
 STATIC_IMPORT = r"^import\s+(type\s+)?(?:(\*\s+as\s+\w+)|(?:\{([^}]+)\})|(\w+))?\s*(?:,\s*(?:\{([^}]+)\}))?\s*from\s+['\"]([^'\"]+)['\"]"
@@ -19,6 +22,8 @@ EXPORT_DEFAULT = r"^export\s+default"
 FILE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 #: Files of an expansion up to which its frontier is broadcast.
 BROADCAST_FILES = 100_000
+#: Parts into which the neighbours of each file are cut, so that a hub's do not meet in one task.
+HUB_PARTS = 8
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -159,6 +164,48 @@ def expand(rows: DataFrame, start: DataFrame, max_hops: int = 2, include_imports
     return ordered.select("filepath", "hop", F.row_number().over(Window.orderBy("rank")).alias("rank"))
 
 
+def hops(rows: DataFrame, start: DataFrame, max_hops: int | None = None, include_imports: bool = True, include_dependents: bool = True) -> DataFrame:
+    """(filepath, hop): every file within max_hops of the start files, uncut; without max_hops every file that can be reached.
+
+    A delta iteration.  The edges are read once, into a table of neighbours in buckets by file; each round
+    joins with it only the files that the last round found, so it moves these and never the edges, and the
+    rounds end where nothing new is found.  Each round's files are written to the shared folder, which ends
+    lineage.  Null paths are no files; without start files there are no rows.
+    """
+    spark = rows.sparkSession
+    ways = ([("src", "dst")] if include_imports else []) + ([("dst", "src")] if include_dependents else [])
+    folder, table = new_folder(spark, "hops"), f"neighbours_{uuid.uuid4().hex}"
+
+    def found(hop: int, files: DataFrame) -> DataFrame:
+        path = f"{folder}/hop={hop}"
+        files.write.parquet(path)
+        return spark.read.schema("filepath string").parquet(path)
+
+    def seen(rounds: int) -> DataFrame:
+        paths = [f"{folder}/hop={k}" for k in range(rounds + 1)]
+        return spark.read.schema("filepath string, hop int").option("basePath", folder).parquet(*paths)
+
+    frontier, hop = found(0, start.select("filepath").where("filepath is not null").distinct()), 0
+    if not ways:
+        return seen(hop)
+    near = [rows.select(F.col(a).alias("filepath"), F.col(b).alias("to")) for a, b in ways]
+    near = (near[0] if len(near) == 1 else near[0].unionByName(near[1])).where("filepath <> to")
+    near = near.withColumn("part", F.pmod(F.xxhash64("to"), F.lit(HUB_PARTS)).cast("int"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near.repartition(buckets, "filepath", "part").write.bucketBy(buckets, "filepath", "part").option("path", new_folder(spark, "neighbours")).saveAsTable(table)
+    try:
+        while max_hops is None or hop < max_hops:
+            asked = frontier.select("filepath", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).alias("part"))
+            met = spark.table(table).join(asked, ["filepath", "part"]).select(F.col("to").alias("filepath")).distinct()
+            frontier = found(hop + 1, met.join(seen(hop), "filepath", "left_anti"))
+            if frontier.isEmpty():
+                break
+            hop += 1
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # its files stay
+    return seen(hop)
+
+
 def expanded_chunks(rows: DataFrame, chunks: DataFrame, start: DataFrame, max_hops: int = 2, max_chunks: int = 20, order: str = "start_line") -> DataFrame:
     """Chunks of the expanded files in file order, cut at max_chunks: chunk columns and rank."""
     files = expand(rows, start, max_hops, max_files=max_chunks).select("filepath", F.col("rank").alias("file_rank"))

@@ -112,8 +112,16 @@ def graph_stats(spark, d):
     "SELECT 's1' AS filepath, 0 AS hop UNION ALL SELECT f, 1 FROM h1 UNION ALL SELECT f, 2 FROM h2"
 )
 def bfs_hops(spark, d):
-    start = spark.createDataFrame([("s1", 1)], "filepath string, rank int")
-    return graph.expand(_edges(spark, d), start, 2, max_files=1_000_000).select("filepath", "hop")
+    return graph.hops(_edges(spark, d), spark.createDataFrame([("s1",)], "filepath string"), 2)
+
+
+@_r.add(
+    _E.replace("WITH", "WITH RECURSIVE", 1) + ", a AS (SELECT src AS x, dst AS y FROM e UNION ALL SELECT dst, src FROM e), r AS (SELECT 's1' AS f, 0 AS hop UNION SELECT y, hop + 1 FROM r JOIN a ON x = f WHERE hop < 8) "
+    "SELECT f AS filepath, min(hop) AS hop FROM r GROUP BY f"
+)
+def graph_reach(spark, d):
+    """Everything that one supplier can reach; the SQL looks no further than eight hops, which all fit into."""
+    return graph.hops(_edges(spark, d), spark.createDataFrame([("s1",)], "filepath string"))
 
 
 @_r.add(_E + "SELECT 's1' AS filepath, 1 AS rank UNION ALL SELECT dst, rank + 1 FROM (SELECT dst, row_number() OVER (ORDER BY seq, dst) AS rank FROM e WHERE src = 's1') WHERE rank < 20")

@@ -380,3 +380,41 @@ def test_search_function_of_sql(spark):
     vector.register_search(spark, store)
     asked = lambda more="": [r.id for r in spark.sql(f"SELECT * FROM search_chunks(array(1D, 0D){more}) ORDER BY similarity DESC, id").collect()]
     assert asked() in (["a", "b", "c"], ["a", "b", "c", "d"]) and asked(", 1") == ["a"] and asked(", 10, 0.5D") == ["a", "b", "c"] and asked(", min_similarity => -1D") == ["a", "b", "c", "d", "e"] and asked(", match_count => 0") == []
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_hops_of_a_graph(spark, threshold):
+    """Chains, cycles, a hub, null ends and repeated edges, against a loop."""
+    import random
+    from collections import defaultdict
+
+    rnd = random.Random(4)
+    pairs = [(f"c{k}", f"c{k + 1}") for k in range(5)] + [("c5", "c0"), ("c2", "c2"), ("c3", None), (None, "c9"), ("far", "away")]
+    pairs += [("hub", f"h{k}") for k in range(300)] + [(f"h{rnd.randrange(300)}", f"t{rnd.randrange(40)}") for _ in range(60)] + [("c4", "hub")] * 3
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    start = spark.createDataFrame([("c0",), ("c0",), (None,), ("lonely",)], "filepath string")
+
+    def loop(most, ways):
+        out = defaultdict(set)
+        for a, b in pairs:
+            if a and b:
+                for x, y in ((a, b), (b, a))[ways]:
+                    out[x].add(y)
+        hop = {"c0": 0, "lonely": 0}
+        front = set(hop)
+        while front and (most is None or max(hop[f] for f in front) < most):
+            front = {y for x in front for y in out[x] if y not in hop}
+            hop |= {y: max(hop.values()) + 1 for y in front}
+        return hop
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for most, imports, dependents, ways in ((None, True, True, slice(0, 2)), (2, True, True, slice(0, 2)), (None, True, False, slice(0, 1)), (3, False, True, slice(1, 2))):
+            got = graph.hops(edges, start, most, imports, dependents).collect()
+            assert {r.filepath: r.hop for r in got} == loop(most, ways) and len(got) == len(loop(most, ways))
+        assert graph.hops(edges, start, 0).count() == 2 and graph.hops(edges, start, None, False, False).count() == 2
+        assert graph.hops(edges, start.limit(0)).count() == 0 and graph.hops(edges.limit(0), start).count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("neighbours_")]
