@@ -407,6 +407,36 @@ def test_fingerprints_estimate_sets(spark):
     assert np.array_equal(whole, x) and np.array_equal(fingerprints.from_text(fingerprints.to_text(x)), x)
 
 
+def test_against_next_equals_brute_force(spark, monkeypatch):
+    """Every column of the query against sets of shingles hashed one by one, over several ranges of ids."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 9)
+    rnd = random.Random(8)
+    texts = random_texts(8, 20)[:-1] + [" ".join(rnd.choices([f"w{k}" for k in range(50)], k=n)) for n in (4, 5, 40, 400, 400)]
+    rows = [(k * 3 - 20, t) for k, t in enumerate(texts)]
+    rnd.shuffle(rows)
+    got = {r.doc_id: r for r in fingerprints.against_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def sketch(text):
+        words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        grams = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        # the hash of a shingle is the operator's own; sets, order, cut and likeness are not
+        return sorted({int(fingerprints.shingle_hashes(pa.array([g]))[0][0]) >> 16 for g in grams})[: fingerprints.K]
+
+    def likeness(a, b):
+        union = sorted({*a, *b})[: fingerprints.K]
+        return len({*a} & {*b} & {*union}) / len(union) if union else 1.0
+
+    rows = sorted((k, t or "") for k, t in rows)
+    assert len(got) == len(rows)
+    for (k, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r, own = got[k], sketch(t)
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.fingerprint == "".join(f"{h:012x}" for h in own) and r.edited_fingerprint == "".join(f"{h:012x}" for h in sketch(edited))
+        assert abs(r.near_edited - likeness(own, sketch(edited))) < 1e-12 and abs(r.near_next - likeness(own, sketch(after))) < 1e-12
+
+
 def test_against_next_document(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
     texts = random_texts(5, 40)

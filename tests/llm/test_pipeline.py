@@ -54,3 +54,22 @@ def test_run_is_the_stages(spark, corpus):
     at, _, _ = corpus
     got = corpus_pipeline.run(spark, at)
     assert got.columns[:3] == ["doc_id", "start", "length"] and got.agg({"length": "sum"}).first()[0] > 0
+
+
+def test_near_copies_of_shared_ids(spark):
+    """All texts of an id that several rows share stay, each once; columns may have the stages' own names."""
+    kind = "doc_id long, text string, _row string, _nth int, component_id long, count long"
+    words = lambda p: " ".join(f"{p}{k}" for k in range(30))
+    rows = [(7, words("a")), (7, words("b")), (7, words("b")), (9, words("b") + " more"), (11, words("c")), (None, words("d")), (None, words("d")), (3, None), (3, None)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], kind)
+    out = corpus_pipeline.near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == sorted([(7, words("a")), (7, words("b")), (11, words("c")), (-1, words("d")), (-1, words("d")), (3, "")])
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_quality_keeps_clashing_columns(spark, corpus):
+    at, rows, _ = corpus
+    docs = spark.read.parquet(f"{at}/documents.parquet").selectExpr("*", "'own' as _row", "1 as keep", "2 as threshold")
+    out = corpus_pipeline.quality(spark, docs, at)
+    assert out.columns == docs.columns and {r._row for r in out.collect()} == {"own"} and out.count() == 40
