@@ -4,12 +4,13 @@ quality: documents that the n-gram classifier rejects go.  near_copies: the leas
 near copies stays.  repeats: bytes under 100-byte strings that also start earlier go, and documents
 that lose all their text.  secrets: spans of secrets are replaced by a mark.  packing: the rest is
 packed into sequences of 2048 tokens.  Null texts count as empty in every stage; an empty documents
-table gives no pieces.
+table gives no pieces.  Rows with one id are one document, of which each text stays once; rows with a
+null id are judged each and all stay.  Columns beside doc_id and text may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.jaccard_join import BROADCAST_IDS, similarity_components
@@ -33,6 +34,14 @@ def others(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c not in ("doc_id", "text")]
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A name that no column of `docs` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def like(docs: DataFrame, out: DataFrame) -> DataFrame:
     """`out` with the columns of documents in their order; n_chars follows the text."""
     if "n_chars" in docs.columns:
@@ -42,21 +51,22 @@ def like(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by id and text, so that those with null or shared ids are judged each."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    trusted = keyed.join(trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id", "left_semi").select("_row")
-    scores = classify(keyed, trusted, id_col="_row")
-    return without(keyed, scores.where("not keep").select(F.col("doc_id").alias("_row")), "_row").drop("_row")
+    row = free(docs, "_row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    trusted = keyed.join(trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")), "doc_id", "left_semi").select(row)
+    scores = classify(keyed, trusted, id_col=row)
+    return without(keyed, scores.where("not keep").select(F.col("doc_id").alias(row)), row).drop(row)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = stored(similarity_components(docs), "groups")
     firsts = without(docs, groups.where("doc_id <> component_id"))
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return firsts
-    # rows with one id are one document
-    once = firsts.join(repeated.select("doc_id"), "doc_id", "left_semi").select(*docs.columns, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).alias("_nth"))
-    return without(firsts, repeated).unionByName(once.where("_nth = 1").drop("_nth"))
+    # rows with one id are one document: none of its texts goes, and none stays twice
+    once = firsts.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return without(firsts, repeated).unionByName(once)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
