@@ -315,7 +315,8 @@ def store_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Per row: doc_id, n_bytes, payload_bytes, payload_sha256 and tail_crc32 of what is read back,
     media_bytes, media_sha256, feature (frames, duration and the summed grey histogram), and media
-    with `with_media`.  Without `compress` the code stream is flat: larger, quicker.  Null and empty texts are 64 zero bytes; repeated rows give repeated rows.
+    with `with_media`.  Without `compress` the code stream is flat: larger, quicker.  Null and empty texts are 64 zero bytes;
+    repeated rows give repeated rows; a null id stays null; no rows give none; other columns are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -233,7 +233,8 @@ def secret_spans(
     """Per row of `docs`: doc_id, spans (array of kind, start, end in code points, end exclusive), `keep` columns, and with `redact` the text whose spans are replaced by it.
 
     words: dictionary of `guess_cost`, most frequent first (default: the built-in list).  Null and
-    empty texts have no spans; repeated rows give repeated rows.  One narrow pass, no shuffle.
+    empty texts have no spans; repeated rows give repeated rows; a null id stays null; no rows give
+    none; columns other than `keep` are not read, whatever their names.  One narrow pass, no shuffle.
     """
     ranks = Dictionary(words) if words is not None else _RANKS
     kept = [f"k{k}" for k in range(len(keep))]

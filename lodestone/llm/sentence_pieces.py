@@ -117,7 +117,8 @@ def pieces(path: str) -> Pieces:
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, then ids (array) and decoded, or their sha256 with `digests`.
 
-    Null and empty texts have no ids and decode to the empty text; repeated rows give repeated rows.
+    Null and empty texts have no ids and decode to the empty text; repeated rows give repeated rows; a null
+    id stays null; no rows give none; other columns are not read, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,8 @@ def counter(path: str) -> TokenCounter:
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
-    Null and empty texts have 0 tokens; repeated rows give repeated rows; a null id stays null.
+    Null and empty texts have 0 tokens; repeated rows give repeated rows; a null id stays null;
+    no rows give none; other columns are not read, whatever their names.
     The plan is one narrow pass: no shuffle, no state beyond bounded tables in each worker.
     """
 

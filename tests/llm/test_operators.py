@@ -761,3 +761,21 @@ def test_jaccard_sql_agrees(spark):
     want = con.execute(ORACLE_SQL["op4_jaccard_join"])
     assert [c[0] for c in want.description] == got.columns
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_narrow_operators_on_odd_tables(spark):
+    """Null ids, repeated rows and columns with the operators' own names; then no rows."""
+    clash = "n_bytes n_tokens spans media feature ids decoded i t k0 lang".split()
+    texts = [None, "", "pay to a@b.org", "pay to a@b.org", 'password = "x9Qz!77kkT"']
+    docs = spark.createDataFrame([(None if k == 2 else 5, t, *["x"] * len(clash)) for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
+    for run in (
+        lambda x: token_counts(x, public_tokenizers.path("byte_bpe_50k.json")),
+        lambda x: encode_decode(x, public_tokenizers.path("piece_bpe_32k.model"), digests=True),
+        lambda x: gif.store_bytes(x),
+        lambda x: secret_scan.digest(secret_scan.secret_spans(x)),
+    ):
+        rows = [tuple(r) for r in run(docs).collect()]
+        assert sorted(r[0] is None for r in rows) == [False] * 4 + [True]
+        # a null text is the empty one, and the repeated text has one result under both ids
+        assert len({r[1:] for r in rows}) <= 3
+        assert run(docs.limit(0)).count() == 0
