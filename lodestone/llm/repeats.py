@@ -8,7 +8,9 @@ Burrows-Wheeler transform in the order of `length`-byte contexts (ties by place)
 the match length to the row above sampled where a run begins.  Inside a run a match grows by one byte to
 the left, so the samples, streamed right to left, give the matching statistics of all other positions;
 matches of `length` have an earlier start and are marked.  A key whose phrases outgrow a shard is split:
-its strings are routed one by one by their own hashes, and only the first of each stays.
+its strings are routed one by one by their own hashes, and only the first of each stays.  On the way to the
+dictionary a task deals the phrases of a key by their own bytes where it holds many of them, and leaves a
+mark at the key, so that no task receives all phrases under one gram.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ HELD = 3_000_000
 SHARD_BYTES = 1 << 20
 #: Bytes of the phrases under one key from which its strings are routed one by one.
 HOT_BYTES = 1 << 20
+#: Different phrases of one key that reach its own task: this number over all tasks, and from one task at least the second.
+KEY_ROWS, LEAST_KEY_ROWS = 8192, 16
 #: Bits of a place in a slice of texts, whose offsets Arrow keeps in 31.
 PLACE_BITS = 31
 #: Ids up to which a table of ids is broadcast (16 bytes each, thrice), and keys.
@@ -246,20 +250,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     # as many as read the texts at least, so that a task's phrases follow from a split's size
     tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    bins = 4 * tasks
+    bins, many = 4 * tasks, max(LEAST_KEY_ROWS, KEY_ROWS // tasks)
     span = np.dtype([("d", "<i8"), ("t", "<i8"), ("s", "<i8"), ("e", "<i8")])
 
     def settle(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Spans of later occurrences, and the first of each by bin."""
+        """Spans of later occurrences, and the first of each by bin.
+
+        More than `many` phrases of a key go to bins from `bins` on, by their bytes; a row without
+        strings marks the key in its own bin.
+        """
         rows, first = _first_of_each(np.concatenate(held))
         later = rows[~first]
         d, t, s, e = _merged(later["d"], later["t"], later["s"], later["s"] + later["n"] + length - 1)
         if len(d):
             yield _pack(-1, d, t, s, e)
         rows = rows[first]
-        where = (rows["m"] >> np.uint64(20)).astype(np.int64) % bins
+        heads = np.flatnonzero(np.append(True, rows["m"][1:] != rows["m"][:-1]))
+        count = np.diff(np.append(heads, len(rows)))
+        spread = np.repeat(count > many, count)
+        marks = np.zeros(int((count > many).sum()), _KEY)
+        marks["m"] = rows["m"][heads[count > many]]
+        rows, spread = np.concatenate([rows, marks]), np.append(spread, np.zeros(len(marks), bool))
+        where = (np.where(spread, rows["c"], rows["m"]) >> np.uint64(20)).astype(np.int64) % bins + bins * spread
         by = np.argsort(where, kind="stable")
-        edges = np.searchsorted(where[by], np.arange(bins + 1))
+        edges = np.searchsorted(where[by], np.arange(2 * bins + 1))
         for b in np.flatnonzero(np.diff(edges)):
             part = rows[by[edges[b] : edges[b + 1]]]
             yield _pack(int(b), *(part[c] for c in _KEY.names))
@@ -319,14 +333,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 else:
                     held.setdefault(b, []).append(_unpack(n, raw, _KEY))
         for b in list(held):
-            rows, first = _first_of_each(np.concatenate(held.pop(b)))
+            rows = np.concatenate(held.pop(b))
+            marked = np.unique(rows["m"][rows["n"] == 0])
+            rows = rows[rows["n"] > 0]
+            if not len(rows):
+                continue
+            rows, first = _first_of_each(rows)
             later = rows[~first]
             if len(later):
                 yield rows_of(*_merged(later["d"], later["t"], later["s"], later["s"] + later["n"] + length - 1), None)
             rows = rows[first]
             same = rows["m"][1:] == rows["m"][:-1]
-            # shared by other bytes, or perhaps repeating inside itself
-            rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (rows["r"] > 0)]
+            # shared by other bytes, here or (marked) elsewhere, or perhaps repeating inside itself
+            shared = np.append(False, same) | np.append(same, False) if b < bins else True
+            rows = rows[shared | np.isin(rows["m"], marked) | (rows["r"] > 0)]
             if len(rows):
                 yield rows_of(rows["d"], rows["t"], rows["s"], rows["s"] + rows["n"] + length - 1, rows["m"].astype(np.int64))
 

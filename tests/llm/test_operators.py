@@ -597,12 +597,14 @@ def test_run_index_gives_matching_statistics():
         assert len(own.runs) < len(strings) / 4 and len(own.sampled) < len(strings) / 4
 
 
-@pytest.mark.parametrize("hot", [1, 2000, 1 << 20])
-def test_repeats_under_a_hot_key(spark, monkeypatch, hot):
-    """A passage between different ends in every document: its keys are split string by string."""
+@pytest.mark.parametrize("hot, many", [(1, 16), (2000, 1000), (2000, 2), (1 << 20, 1000), (1 << 20, 1), (1 << 20, 10)])
+def test_repeats_under_a_hot_key(spark, monkeypatch, hot, many):
+    """A passage between different ends in every document: its keys are split string by string, its phrases dealt by their bytes."""
     from lodestone.llm import repeats
 
     monkeypatch.setattr(repeats, "HOT_BYTES", hot)
+    monkeypatch.setattr(repeats, "KEY_ROWS", 0)
+    monkeypatch.setattr(repeats, "LEAST_KEY_ROWS", many)
     rnd = random.Random(43)
     prose = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
     passage = prose(130)
