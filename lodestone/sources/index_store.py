@@ -20,11 +20,14 @@ def save(df: DataFrame, path: str, name: str, by: str | None = None) -> None:
     writer.parquet(f"{path}/{name}")
 
 
-def save_repository(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, order: str = "start_line") -> None:
-    """Replace one repository's rows: chunks deduplicated by id (the last one stays), edges distinct."""
+def save_repository(chunks: DataFrame, nodes: DataFrame, edges: DataFrame, path: str, order: str = "start_line", model: str | None = None) -> None:
+    """Replace one repository's rows: chunks deduplicated by id (the last one stays), edges distinct; with `model` the meta row of the whole index follows."""
     save(last_wins(chunks, ["repository_id", "id"], order), path, "embeddings", "repository_id")
     save(nodes, path, "graph_nodes", "repository_id" if "repository_id" in nodes.columns else None)
     save(edges.dropDuplicates(["src", "dst"]), path, "graph_edges", "repository_id" if "repository_id" in edges.columns else None)
+    if model is not None:
+        spark = chunks.sparkSession
+        save(meta(model, load(spark, path, "graph_nodes"), load(spark, path, "embeddings")), path, "index_meta")
 
 
 def upsert_index(spark: SparkSession, root: str, chunks: DataFrame, nodes: DataFrame, edges: DataFrame, model: str, order: str = "seq", gone: DataFrame | None = None) -> int:
@@ -77,12 +80,16 @@ def import_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def meta(spark: SparkSession, model: str, dimension: int, files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row of counts and configuration."""
-    n = files.agg(F.count("*").alias("files")).crossJoin(chunks.agg(F.count("*").alias("chunks")))
-    return n.select(F.lit("1").alias("version"), F.current_timestamp().alias("indexed_at"), F.lit(model).alias("model"), F.lit(dimension).alias("dimension"), "files", "chunks")
+def meta(model: str, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row of counts and configuration; the dimension is that of the longest vector (0 without vectors)."""
+    size = F.coalesce(F.max(F.size("embedding")), F.lit(0)) if "embedding" in chunks.columns else F.lit(0)
+    file = [c for c in ("repository_id", "filepath") if c in files.columns]
+    n = files.agg(F.countDistinct(*file).alias("files")).crossJoin(chunks.agg(F.count("*").alias("chunks"), size.cast("int").alias("dimension")))
+    return n.select(F.lit("1").alias("version"), F.current_timestamp().alias("indexed_at"), F.lit(model).alias("model"), "dimension", "files", "chunks")
 
 
-def status(index: DataFrame | None) -> dict[str, bool]:
-    ready = index is not None and not index.isEmpty()
-    return {"ready": ready, "indexed": ready}
+def status(spark: SparkSession, path: str, embedding: str | None = None, llm: str | None = None) -> dict:
+    """Whether there is a store and whether it holds chunks, the last meta row (None without one), and the models named."""
+    chunks, about = load(spark, path, "embeddings"), load(spark, path, "index_meta")
+    last = about.orderBy(F.col("indexed_at").desc()).first() if about is not None else None
+    return {"ready": chunks is not None, "indexed": chunks is not None and not chunks.isEmpty(), "meta": last.asDict() if last else None, "embedding": embedding, "llm": llm}

@@ -237,10 +237,29 @@ def test_scan_and_index(spark, tmp_path):
     index_store.save_repository(chunks.where("repository_id = 'r2'").withColumn("start_line", F.lit(9)), nodes, edges, at)
     kept = {(r.repository_id, r.start_line) for r in index_store.load(spark, at, "embeddings").collect()}
     assert kept == {("r1", 2), ("r2", 9)} and index_store.load(spark, at, "graph_edges").count() == 1
+    assert index_store.status(spark, at, "mock")["meta"] is None
     index_store.truncate(spark, at)
     assert index_store.load(spark, at, "graph_edges").count() == 0
 
 
+def test_index_meta_and_status(spark, tmp_path):
+    """The save writes the meta row over all repositories; status reads it, and tells a missing store from an empty one."""
+    at = str(tmp_path / "index")
+    nothing = {"ready": False, "indexed": False, "meta": None, "embedding": "mock", "llm": None}
+    assert index_store.status(spark, at, "mock") == nothing
+    chunks = spark.createDataFrame([("r1", "i", 1, [1.0, 0.0]), ("r1", "i", 2, [0.0, 1.0]), ("r2", "j", 3, None)], "repository_id string, id string, start_line int, embedding array<float>")
+    nodes = spark.createDataFrame([("r1", "f"), ("r1", "g"), ("r2", "g")], "repository_id string, filepath string")
+    edges = spark.createDataFrame([("r1", "f", "g")], "repository_id string, src string, dst string")
+    for r in ("r1", "r2"):
+        mine = f"repository_id = '{r}'"
+        index_store.save_repository(chunks.where(mine), nodes.where(mine), edges.where(mine), at, model="mock")
+    got = index_store.status(spark, at, "mock", "none")
+    assert got["ready"] and got["indexed"] and got["llm"] == "none" and index_store.missing(spark, at) == []
+    assert {k: got["meta"][k] for k in ("version", "model", "dimension", "files", "chunks")} == {"version": "1", "model": "mock", "dimension": 2, "files": 3, "chunks": 2}
+    index_store.truncate(spark, at)
+    assert index_store.status(spark, at, "mock") == nothing | {"ready": True}
+
+
 def test_daily_stream(spark, tmp_path):
     trace_rows(spark).write.parquet(str(tmp_path / "in"))
     query = streaming.daily(streaming.read(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
