@@ -20,7 +20,7 @@ EXPORTS = (
 EXPORT_LIST = r"^export\s+\{([^}]+)\}"
 EXPORT_DEFAULT = r"^export\s+default"
 FILE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-#: Files of an expansion up to which its frontier is broadcast.
+#: Rows of an expansion's files up to which they are broadcast.
 BROADCAST_FILES = 100_000
 #: Parts into which the neighbours of each file are cut, so that a hub's do not meet in one task.
 HUB_PARTS = 8
@@ -170,7 +170,8 @@ def hops(rows: DataFrame, start: DataFrame, max_hops: int | None = None, include
     A delta iteration.  The edges are read once, into a table of neighbours in buckets by file; each round
     joins with it only the files that the last round found, so it moves these and never the edges, and the
     rounds end where nothing new is found.  Each round's files are written to the shared folder, which ends
-    lineage.  Null paths are no files; without start files there are no rows.
+    lineage.  Files are broadcast by their counted number alone: Parquet's bytes say little of the rows, and
+    the parts multiply them.  Null paths are no files; without start files there are no rows.
     """
     spark = rows.sparkSession
     ways = ([("src", "dst")] if include_imports else []) + ([("dst", "src")] if include_dependents else [])
@@ -185,6 +186,9 @@ def hops(rows: DataFrame, start: DataFrame, max_hops: int | None = None, include
         paths = [f"{folder}/hop={k}" for k in range(rounds + 1)]
         return spark.read.schema("filepath string, hop int").option("basePath", folder).parquet(*paths)
 
+    def held(files: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(files) if n <= BROADCAST_FILES else files.hint("merge")
+
     frontier, hop = found(0, start.select("filepath").where("filepath is not null").distinct()), 0
     if not ways:
         return seen(hop)
@@ -193,14 +197,15 @@ def hops(rows: DataFrame, start: DataFrame, max_hops: int | None = None, include
     near = near.withColumn("part", F.pmod(F.xxhash64("to"), F.lit(HUB_PARTS)).cast("int"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near.repartition(buckets, "filepath", "part").write.bucketBy(buckets, "filepath", "part").option("path", new_folder(spark, "neighbours")).saveAsTable(table)
+    new = total = frontier.count()
     try:
-        while max_hops is None or hop < max_hops:
+        while new and (max_hops is None or hop < max_hops):
             asked = frontier.select("filepath", F.explode(F.sequence(F.lit(0), F.lit(HUB_PARTS - 1))).alias("part"))
-            met = spark.table(table).join(asked, ["filepath", "part"]).select(F.col("to").alias("filepath")).distinct()
-            frontier = found(hop + 1, met.join(seen(hop), "filepath", "left_anti"))
-            if frontier.isEmpty():
-                break
-            hop += 1
+            met = spark.table(table).join(held(asked, new * HUB_PARTS), ["filepath", "part"]).select(F.col("to").alias("filepath")).distinct()
+            frontier = found(hop + 1, met.join(held(seen(hop), total), "filepath", "left_anti"))
+            new = frontier.count()
+            if new:
+                hop, total = hop + 1, total + new
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")  # its files stay
     return seen(hop)

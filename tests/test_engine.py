@@ -401,6 +401,22 @@ def test_search_function_of_sql(spark):
     assert asked() in (["a", "b", "c"], ["a", "b", "c", "d"]) and asked(", 1") == ["a"] and asked(", 10, 0.5D") == ["a", "b", "c"] and asked(", min_similarity => -1D") == ["a", "b", "c", "d", "e"] and asked(", match_count => 0") == []
 
 
+def test_hops_broadcast_by_counted_rows(spark, monkeypatch):
+    """Many files in few bytes of Parquet: more than the bound are not broadcast, whatever the threshold for bytes."""
+    monkeypatch.setattr(graph, "BROADCAST_FILES", 1000)
+    edges = spark.range(40_000).select(F.lit("hub").alias("src"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("dst"))
+    confs = {"spark.sql.maxBroadcastTableSize": "4m", "spark.sql.autoBroadcastJoinThreshold": "10m"}
+    old = {k: spark.conf.get(k) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        got = graph.hops(edges, spark.createDataFrame([("hub",)], "filepath string")).groupBy("hop").count().collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {r.hop: r["count"] for r in got} == {0: 1, 1: 40_000}
+
+
 @pytest.mark.parametrize("threshold", ["10m", "-1"])
 def test_hops_of_a_graph(spark, threshold):
     """Chains, cycles, a hub, null ends and repeated edges, against a loop."""
