@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64
+#: Three code points ahead of any place, so that one walk over a text gives all its trigrams.
+_TRIGRAM = r"(?=(\P{Cs}{3}))"
 
 
 def trigrams(text: Column) -> Column:
     """The distinct runs of three characters of a text in lower case."""
-    low = F.lower(text)
-    places = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(low, i, 3)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TRIGRAM), F.lit(1)))
 
 
 def _bucket(c: Column, buckets: int) -> Column:
@@ -30,7 +30,7 @@ def build(rows: DataFrame, path: str, key: str, texts: list[str], buckets: int =
     A common trigram has a posting for each row that has it, over as many files as tasks wrote them.
     """
     grams = F.array_distinct(F.flatten(F.array(*(trigrams(F.coalesce(F.col(t), F.lit(""))) for t in texts))))
-    posted = rows.select(F.col(key).alias("key"), F.explode(grams).alias("gram")).distinct().withColumn("bucket", _bucket(F.col("gram"), buckets))
+    posted = rows.select(F.col(key).alias("key"), F.explode(grams).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
     spread = F.pmod(F.xxhash64("key"), F.lit(4))  # a bucket's files are sorted by trigram, for the statistics of their row groups
     posted.repartition("bucket", spread).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/postings")
     held = rows.withColumn("bucket", _bucket(F.col(key), buckets))
@@ -47,7 +47,8 @@ def candidates(spark: SparkSession, path: str, needle: str) -> DataFrame | None:
         return None
     asked = spark.createDataFrame([(g,) for g in grams], "gram string").select("gram", _bucket(F.col("gram"), about.buckets).alias("b")).collect()
     postings = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(sorted({r.b for r in asked})) & F.col("gram").isin(grams))
-    return postings.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("key")
+    held = postings.groupBy("key").agg(F.count_distinct("gram").alias("n"))  # rows may share a key
+    return held.where(F.col("n") == len(grams)).select("key")
 
 
 def search(spark: SparkSession, path: str, needle: str) -> DataFrame:

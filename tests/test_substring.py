@@ -28,6 +28,23 @@ def test_search_equals_scan(spark):
     assert substring.search(spark, none, "abc").count() == 0 and substring.search(spark, none, "XYZ").count() == 2
 
 
+def test_long_texts_and_shared_keys(spark):
+    """The time for the trigrams of a text grows with its length, not with its square; rows of one key count once."""
+    import time
+
+    rnd = random.Random(5)
+    long = "".join(rnd.choice("abcé日😀 \n") for _ in range(300_000))
+    rows = spark.createDataFrame([(1, long), (2, "x😀y\nz"), (3, "abcd"), (3, "bcde"), (3, "abcde")], "id long, content string")
+    began = time.time()
+    got = {r.id: set(r.g) for r in rows.where("id < 3").select("id", substring.trigrams(F.col("content")).alias("g")).collect()}
+    assert time.time() - began < 30
+    assert got == {k: {t[i : i + 3] for i in range(len(t) - 2)} for k, t in ((1, long), (2, "x😀y\nz"))}
+    path = new_folder(spark, "test-grams")
+    substring.build(rows, path, "id", ["content"], buckets=2)
+    assert sorted(r.content for r in substring.search(spark, path, "BCD").collect()) == ["abcd", "abcde", "bcde"]
+    assert [r.id for r in substring.search(spark, path, "😀y\n").collect()] == [2]
+
+
 def test_registered_search_equals_scan(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.doc_id for r in QUERIES["substring_search"](spark, sf).collect()}
