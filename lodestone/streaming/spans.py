@@ -1,7 +1,7 @@
 """Traces from a stream of single records: starts and ends of spans, token counts, retrieval reports.
 
-Records of a trace wait in state until none has come for `gap`; a timer then closes the trace.  The
-order in which records come does not matter.  A span whose end never came stays open (null end and
+Records of a trace wait in state, packed by batch, until none has come for `gap`; a trace has one timer,
+which then closes it.  The order in which records come does not matter.  A span whose end never came stays open (null end and
 duration); an end without a start is no span.  Tokens add up; of the retrieval reports the last by
 time counts, then by number of chunks and name.
 """
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ START, END, TOKENS, RETRIEVAL = "start", "end", "tokens", "retrieval"
 TRACE = (
     "trace_id string, spans array<struct<start_ms:long,span_id:string,name:string,end_ms:long,duration_ms:long>>, input_tokens long, output_tokens long, total_tokens long, chunks_retrieved int, reranker_used string"
 )
-_HELD = "at_ms long, kind string, span_id string, name string, input_tokens long, output_tokens long, chunks int, reranker string"
+_HELD = pa.schema([("at_ms", pa.int64()), ("kind", pa.string()), ("span_id", pa.string()), ("name", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64()), ("chunks", pa.int32()), ("reranker", pa.string())])
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -43,31 +45,51 @@ def _folded(trace_id: str, rows: list[tuple]) -> dict:
     return {"trace_id": trace_id, "spans": spans, "input_tokens": tokens[0], "output_tokens": tokens[1], "total_tokens": sum(tokens), "chunks_retrieved": best[1] if best else 0, "reranker_used": best[2] if best else "none"}
 
 
+def _packed(frame: pd.DataFrame, at_ms: np.ndarray) -> bytes:
+    """The records of a batch as one Arrow stream."""
+    columns = [pa.array(at_ms, pa.int64()), *(pa.array(frame[f.name], f.type, from_pandas=True) for f in _HELD if f.name != "at_ms")]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _HELD) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=_HELD))
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(held: list[bytes]) -> list[tuple]:
+    table = pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in held)
+    return list(zip(*(c.to_pylist() for c in table.columns), strict=True))
+
+
 class _Traces(StatefulProcessor):
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getListState("held", _HELD)
+        self.handle, self.held, self.latest = handle, handle.getListState("held", "records binary"), handle.getValueState("latest", "at_ms long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new, latest = [], None
         for frame in rows:
-            frame = frame.astype(object).where(frame.notna(), None)
-            at = [int(pd.Timestamp(x).timestamp() * 1000) for x in frame["at"]]
-            latest = max([*at, latest or at[0]])
-            whole = lambda c, frame=frame: [None if v is None else int(v) for v in frame[c]]
-            new += list(zip(at, frame["kind"], frame["span_id"], frame["name"], whole("input_tokens"), whole("output_tokens"), whole("chunks"), frame["reranker"], strict=True))
+            at = frame["at"].astype("datetime64[us]").to_numpy().view(np.int64) // 1000
+            if key[0] is not None and len(at):  # heartbeats are no trace
+                new.append((_packed(frame, at),))
+                latest = int(at.max()) if latest is None else max(latest, int(at.max()))
         if new:
             self.held.appendList(new)
-            self.handle.registerTimer(latest + self.gap_ms)
+            before = self.latest.get()
+            if before is None or before[0] < latest:
+                if before is not None:
+                    self.handle.deleteTimer(before[0] + self.gap_ms)
+                self.latest.update((latest,))
+                self.handle.registerTimer(latest + self.gap_ms)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        rows = [tuple(r) for r in self.held.get()]
-        if not rows or max(r[0] for r in rows) + self.gap_ms > expiredTimerInfo.getExpiryTimeInMs():
+        latest = self.latest.get()
+        if latest is None or latest[0] + self.gap_ms > expiredTimerInfo.getExpiryTimeInMs():
             return  # closed already, or a later record has a timer of its own
+        rows = _unpacked([r[0] for r in self.held.get()])
         self.held.clear()
+        self.latest.clear()
         trace = _folded(key[0], rows)
         if trace["spans"] or trace["total_tokens"] or trace["reranker_used"] != "none":
             yield pd.DataFrame([trace])

@@ -43,3 +43,46 @@ def test_a_late_end_does_not_open_a_second_trace(spark):
 
 def test_no_records(spark):
     assert spans.replay(spark, records(spark, ROWS[0]).limit(0), new_folder(spark, "test-spans")).count() == 0 and spans.pair_batch(records(spark, ROWS[0]).limit(0)).count() == 0
+
+
+def test_a_trace_has_one_timer_and_packed_state():
+    """Records in many batches: one timer a trace, and an entry of state a batch, so that closing reads them once."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    class Held(list):
+        reads = 0
+
+        def appendList(self, rows):  # noqa: N802
+            self.extend(rows)
+
+        def get(self):
+            self.reads += 1
+            return iter(self)
+
+    class Value:
+        now = None
+
+        def get(self):
+            return self.now
+
+        def update(self, value):
+            self.now = value
+
+        def clear(self):
+            self.now = None
+
+    held, timers = Held(), set()
+    handle = SimpleNamespace(getListState=lambda *a: held, getValueState=lambda *a: Value(), registerTimer=timers.add, deleteTimer=timers.discard)
+    traces = spans._Traces(1000)
+    traces.init(handle)
+    for k in range(20):
+        rows = [(pd.Timestamp(k * 500 + j, unit="ms"), "start" if j < 50 else "end", f"s{k}-{j % 50}", "n", None, None, None, None) for j in range(100)]
+        assert not list(traces.handleInputRows(("a",), iter([pd.DataFrame(rows, columns=["at", "kind", "span_id", "name", "input_tokens", "output_tokens", "chunks", "reranker"])]), None))
+    assert timers == {19 * 500 + 99 + 1000} and len(held) == 20
+    expired = lambda ms: list(traces.handleExpiredTimer(("a",), None, SimpleNamespace(getExpiryTimeInMs=lambda: ms)))
+    assert expired(5000) == [] and held.reads == 0
+    (closed,) = expired(timers.pop())
+    got = closed["spans"][0]
+    assert held.reads == 1 and not held and len(got) == 1000 and {s["duration_ms"] for s in got} == {50} and got[0] == {"start_ms": 0, "span_id": "s0-0", "name": "n", "end_ms": 50, "duration_ms": 50}
