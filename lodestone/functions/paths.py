@@ -34,7 +34,9 @@ def short(path: Column, segments: int = 2, mark: str = "") -> Column:
 def normal(path: Column) -> Column:
     """A path without `.`, `..` and empty segments; `..` at the root goes."""
     step = lambda done, s: F.when(s.isin("", "."), done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
-    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    folded = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    plain = F.rtrim(F.regexp_replace(path, r"(?<![^/])\.?(?:/|\z)", ""), F.lit("/"))  # only `..` needs the fold
+    return F.when(path.rlike(r"(?<![^/])\.\.(?:/|\z)"), folded).otherwise(plain)
 
 
 def parent(path: Column) -> Column:

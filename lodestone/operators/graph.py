@@ -52,6 +52,21 @@ def imports(files: DataFrame) -> DataFrame:
     return rows.select("filepath", "symbol", "from", "is_type", "line", (F.col("kind") * 10_000 + F.col("at")).alias("pos"))
 
 
+def import_sources(files: DataFrame) -> DataFrame:
+    """(filepath, from, at): a row for each statement that imports a symbol; `at` grows with line and kind.
+
+    The rows of `imports` without their symbols, which edges don't need.
+    """
+    part = lambda g: F.regexp_extract("text", STATIC_IMPORT, g)
+    rows = lines(files).where(F.col("text").contains("import") | F.col("text").contains("require"))
+    # each pattern is a column of its own, read more than once below, and so runs once on a line
+    rows = rows.select("filepath", "line", *(part(g).alias(f"g{g}") for g in range(2, 7)), F.regexp_extract("text", DYNAMIC_IMPORT, 1).alias("dynamic"), F.regexp_extract("text", REQUIRE, 1).alias("required"))
+    named = (F.col("g2") != "") | (F.col("g4") != "") | F.when(F.col("g3") != "", F.col("g3")).otherwise(F.col("g5")).rlike(r"[^\s,]")
+    kinds = F.array(F.when(named & (F.col("g6") != ""), F.col("g6")), F.when(F.col("dynamic") != "", F.col("dynamic")), F.when(F.col("required") != "", F.col("required")))
+    found = rows.select("filepath", "line", F.posexplode(kinds).alias("kind", "from")).where(F.col("from").isNotNull())
+    return found.select("filepath", "from", (F.col("line").cast("long") * 3 + F.col("kind")).alias("at"))
+
+
 def exports(files: DataFrame) -> DataFrame:
     """(filepath, symbol, line, pos): the first rule that matches a line gives its symbols."""
     first = F.coalesce(*(F.nullif(F.regexp_extract("text", r, 1), F.lit("")) for r in EXPORTS))
@@ -106,9 +121,10 @@ def edges(files: DataFrame, packages: DataFrame | None = None, follow: bool = Tr
 
     Relative paths resolve against the importing file, scoped names against workspace packages; other
     packages are external.  One equi-join with the files' spellings finds the file that is meant: an
-    import is one row in it, whatever its extension may be.
+    import is one row in it, whatever its extension may be.  The spellings are settled to one file each
+    before it, and what it finds is dealt once, by the importing file.
     """
-    rows = imports(files).withColumn("at", F.struct("line", "pos"))
+    rows = import_sources(files)
     relative = rows.where(F.col("from").startswith(".") | F.col("from").startswith("/"))
     relative = relative.withColumn("base", normal(F.when(F.col("from").startswith("/"), F.col("from")).otherwise(F.concat_ws("/", parent(F.col("filepath")), "from"))))
     targets = relative.select("filepath", "at", "base")
@@ -118,7 +134,8 @@ def edges(files: DataFrame, packages: DataFrame | None = None, follow: bool = Tr
         scoped = scoped.join(packages, "package").withColumn("base", F.when(rest == "", F.col("directory")).otherwise(normal(F.concat_ws("/", "directory", rest))))
         targets = targets.unionByName(scoped.select("filepath", "at", "base"))
     asked = targets.select("filepath", "at", F.col("base").alias("key"), F.col("base").rlike(_KNOWN).alias("exact"))
-    known = asked.join(spellings(files, follow), ["key", "exact"])
+    meant = spellings(files, follow).groupBy("key", "exact").agg(F.min(F.struct("choice", "dst")).alias("to"))
+    known = asked.join(meant, ["key", "exact"]).select("filepath", "at", "to.choice", "to.dst").repartition("filepath")
     best = known.groupBy("filepath", "at").agg(F.min_by("dst", F.struct("choice", "dst")).alias("dst"))
     once = best.groupBy(F.col("filepath").alias("src"), "dst").agg(F.min("at").alias("at"))
     return once.select("src", "dst", F.row_number().over(Window.partitionBy("src").orderBy("at", "dst")).cast("long").alias("seq"))

@@ -79,7 +79,7 @@ def edges_build(spark, d):
     rows = read(spark, d, "lineitem")
     at = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.col("l_partkey").cast("string").alias("part"))
     line = lambda x: F.concat(F.lit("import { a } from './p"), x["part"], F.lit("';"))
-    source = F.array_join(F.transform(F.array_sort(F.collect_list(at)), line), "\n")
+    source = F.array_join(F.transform(F.sort_array(F.collect_list(at)), line), "\n")
     files = rows.groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit(".ts")).alias("filepath")).agg(source.alias("content"))
     parts = rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(".ts")).alias("filepath")).distinct().withColumn("content", F.lit("export const a = 1;"))
     return graph.edges(files.unionByName(parts))

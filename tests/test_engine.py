@@ -453,3 +453,34 @@ def test_hops_of_a_graph(spark, threshold):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("neighbours_")]
+
+
+def test_edges_are_dealt_once_by_file(spark):
+    """One shuffle by the importing file after the join, none for the aggregations and the order; paths normalise as a loop does."""
+    import re
+
+    from lodestone.functions.paths import normal
+
+    texts = ["import { a } from './p1';\nimport b, { c } from './p2';\nimport './p3';\nimport {  } from './p3';\nconst x = require('./sub/../p1'); import('./p2');", "import * as p from '../p1.ts';"]
+    files = spark.createDataFrame([("m.ts", texts[0]), ("sub/n.ts", texts[1]), *((f"p{k}.ts", "") for k in range(1, 4)), ("p1.js", "")], "filepath string, content string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = graph.edges(files)
+        plan = edges._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 4, plan
+        assert sorted(map(tuple, edges.collect())) == [("m.ts", "p1.ts", 1), ("m.ts", "p2.ts", 2), ("sub/n.ts", "p1.ts", 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+    def loop(path):
+        out = []
+        for s in path.split("/"):
+            if s == "..":
+                out = out[:-1]
+            elif s not in ("", "."):
+                out.append(s)
+        return "/".join(out)
+
+    paths = ["", "/", ".", "..", "./a", "/./a", "a//b/.", "a/./b/", "a/b..", "..a/b", ".a/.b", "...", "a/../b", "../../a/b/..", "//a///b//", "./", "a/.\n", "a/\n", "a/..b/./c"]
+    assert [tuple(r) for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", normal(F.col("p"))).collect()] == [(p, loop(p)) for p in paths]
