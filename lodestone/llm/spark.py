@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at a time inside a task; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to a Python worker; Spark's own limit of 64 MB is held by JVM and worker at once, for each task.
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _scratch: list[tuple[SparkSession, str]] = []
 
@@ -32,12 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_BYTES, or one row, for what the session runs from now on; a limit of its own stays."""
+    if spark.conf.get(_BATCH_LIMIT, None) is None:
+        spark.conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage ends there.
 
     The files outlive a lost executor; they are removed when the process ends or by `release`.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
@@ -90,6 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def id_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only what an operator reads, nulls as empty texts, so that other columns can't clash."""
+    bounded_batches(df.sparkSession)
     return df.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
